@@ -108,7 +108,7 @@ def c17(spark, sf):
 @query(
     "c20_place_address",
     "WITH " + KG_SQL + f"""
-SELECT e.s AS uri, NULL AS "streetAddress", NULL AS "addressLocality", max(r.o) AS "addressRegion", NULL AS "postalCode", max(c.o) AS "addressCountry"
+SELECT e.s AS uri, CAST(NULL AS VARCHAR) AS "streetAddress", CAST(NULL AS VARCHAR) AS "addressLocality", max(r.o) AS "addressRegion", CAST(NULL AS VARCHAR) AS "postalCode", max(c.o) AS "addressCountry"
 FROM kg e JOIN kg t ON t.s = e.o AND t.p = '{RDF_TYPE}' AND t.o = '{SCHEMA}PostalAddress'
 JOIN kg c ON c.s = e.o AND c.p = '{SCHEMA}addressCountry' JOIN kg r ON r.s = e.o AND r.p = '{SCHEMA}addressRegion'
 WHERE e.o_kind = 'uri' GROUP BY e.s""",
