@@ -90,101 +90,119 @@ def _two(col: Column) -> Column:
     return F.lpad(col.cast("string"), 2, "0")
 
 
-def iso_datetime(col: Column | str, zone: Column | str | None = None) -> Column:
-    """H7: text to ISO with the zone's offset; midnight gives a date; text without a
-    date gives ``''``; an impossible date or unknown zone gives the error text."""
-    raw = _c(col)
-    name = F.lit(DEFAULT_ZONE) if zone is None else F.coalesce(_c(zone), F.lit(DEFAULT_ZONE))
+def iso_datetimes(values: Column, zone: Column | None = None) -> Column:
+    """H7 for a list. Staged over arrays (text, parts, wall clock, instant), so each
+    text is cleaned and matched once."""
+    name = F.lit(DEFAULT_ZONE) if zone is None else F.coalesce(zone, F.lit(DEFAULT_ZONE))
     tz = zone_id(name)
-    text = F.regexp_replace(F.replace(french_month_to_en(raw), F.lit(" h "), F.lit("h")), "(?i)halifax", "")
-
-    part = lambda pattern, i: F.regexp_extract(text, pattern, i)
-    is_iso = text.rlike(_ISO)
-    is_dmy = ~is_iso & text.rlike(_DMY)
-    is_mdy = ~is_iso & ~is_dmy & text.rlike(_MDY)
-    month_no = lambda m: (F.floor((F.instr(F.lit(_MONTH), m) - 1) / 4) + 1).cast("int")
-    pick = lambda iso, dmy, mdy: (
-        F.when(is_iso, iso).when(is_dmy, dmy).when(is_mdy, mdy)
-    )
-    year = pick(part(_ISO, 1), part(_DMY, 3), part(_MDY, 3)).cast("int")
-    month = pick(
-        part(_ISO, 2).try_cast("int"),
-        month_no(F.lower(part(_DMY, 2))),
-        month_no(F.lower(part(_MDY, 1))),
-    )
-    day = pick(part(_ISO, 3), part(_DMY, 1), part(_MDY, 2)).try_cast("int")
-
-    # the clock of a written date is looked for outside the date itself
-    rest = F.regexp_replace(F.regexp_replace(text, _DMY, " "), _MDY, " ")
-    clock = lambda i: F.regexp_extract(rest, _CLOCK, i)
-    half = F.lower(F.regexp_extract(rest, _HOUR_AMPM, 2))
-    half_hour = F.regexp_extract(rest, _HOUR_AMPM, 1)
-    has_clock = rest.rlike(_CLOCK)
-    pm = F.coalesce(F.nullif(F.substring(F.lower(clock(4)), 1, 1), F.lit("")), F.nullif(half, F.lit("")))
-    base_hour = F.when(has_clock, clock(1)).otherwise(half_hour).try_cast("int")
-    written_hour = (
-        F.when(pm.isNull(), base_hour)
-        .when(pm == "p", base_hour % 12 + 12)
-        .otherwise(base_hour % 12)
-    )
-    nz = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
-    hour = F.when(is_iso, nz(part(_ISO, 4))).otherwise(F.coalesce(written_hour, F.lit(0)))
-    minute = F.when(is_iso, nz(part(_ISO, 5))).when(has_clock, nz(clock(2))).otherwise(0)
-    second = F.when(is_iso, nz(part(_ISO, 6))).when(has_clock, nz(clock(3))).otherwise(0)
-    stamp = F.concat(
-        F.lpad(year.cast("string"), 4, "0"), F.lit("-"), _two(month), F.lit("-"), _two(day), F.lit(" "),
-        _two(hour), F.lit(":"), _two(minute), F.lit(":"), _two(second),
-    )
-    wall = stamp.try_cast("timestamp_ntz")
-
-    offset = F.when(is_iso, F.nullif(part(_ISO, 7), F.lit("")))
-    shift = F.when(offset.isin("z", "utc"), F.lit(0)).otherwise(
-        F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
-        * (
-            F.substring(offset, 2, 2).try_cast("int") * 60
-            + F.substring(F.replace(offset, F.lit(":"), F.lit("")), 4, 2).try_cast("int")
+    part = lambda x, pattern, i: F.regexp_extract(x, pattern, i)
+    number = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
+    month_no = lambda m: ((F.instr(F.lit(_MONTH), F.lower(m)) - 1) / 4 + 1).cast("int")
+
+    def clean(v: Column) -> Column:
+        text = F.replace(french_month_to_en(v), F.lit(" h "), F.lit("h"))
+        return F.struct(v.alias("raw"), F.regexp_replace(text, "(?i)halifax", "").alias("text"))
+
+    def split(x: Column) -> Column:
+        """Which form is it, and what is left for the clock."""
+        t = x["text"]
+        form = F.when(t.rlike(_ISO), "iso").when(t.rlike(_DMY), "dmy").when(t.rlike(_MDY), "mdy")
+        rest = F.regexp_replace(F.regexp_replace(t, _DMY, " "), _MDY, " ")
+        return F.struct(x["raw"].alias("raw"), t.alias("text"), form.alias("form"), rest.alias("rest"))
+
+    def fields(x: Column) -> Column:
+        t, rest, form = x["text"], x["rest"], x["form"]
+        iso, dmy = form == "iso", form == "dmy"
+        pick = lambda a, b, c: F.when(iso, a).when(dmy, b).when(form == "mdy", c)
+        has_clock = rest.rlike(_CLOCK)
+        pm = F.lower(
+            F.substring(F.concat(part(rest, _CLOCK, 4), part(rest, _HOUR_AMPM, 2)), 1, 1)
         )
-    )
+        return F.struct(
+            x["raw"].alias("raw"),
+            t.rlike(r"\d").alias("digits"),
+            pick(part(t, _ISO, 1), part(t, _DMY, 3), part(t, _MDY, 3)).try_cast("int").alias("year"),
+            pick(
+                part(t, _ISO, 2).try_cast("int"), month_no(part(t, _DMY, 2)), month_no(part(t, _MDY, 1))
+            ).alias("month"),
+            pick(part(t, _ISO, 3), part(t, _DMY, 1), part(t, _MDY, 2)).try_cast("int").alias("day"),
+            F.when(iso, number(part(t, _ISO, 4)))
+            .when(has_clock, number(part(rest, _CLOCK, 1)))
+            .otherwise(number(part(rest, _HOUR_AMPM, 1)))
+            .alias("hour"),
+            F.when(iso, number(part(t, _ISO, 5))).when(has_clock, number(part(rest, _CLOCK, 2))).otherwise(0).alias("minute"),
+            F.when(iso, number(part(t, _ISO, 6))).when(has_clock, number(part(rest, _CLOCK, 3))).otherwise(0).alias("second"),
+            F.when(~iso, F.nullif(pm, F.lit(""))).alias("half"),
+            F.when(iso, F.nullif(part(t, _ISO, 7), F.lit(""))).alias("offset"),
+        )
+
+    def wall(x: Column) -> Column:
+        hour = F.when(x["half"] == "p", x["hour"] % 12 + 12).when(x["half"] == "a", x["hour"] % 12).otherwise(x["hour"])
+        stamp = F.concat(
+            F.lpad(x["year"].cast("string"), 4, "0"), F.lit("-"), _two(x["month"]), F.lit("-"), _two(x["day"]),
+            F.lit(" "), _two(hour), F.lit(":"), _two(x["minute"]), F.lit(":"), _two(x["second"]),
+        )
+        shift = F.when(F.startswith(x["offset"], F.lit("-")), -1).otherwise(1) * (
+            number(F.substring(x["offset"], 2, 2)) * 60 + number(F.substring(F.replace(x["offset"], F.lit(":"), F.lit("")), 4, 2))
+        )
+        return F.struct(
+            x["raw"].alias("raw"), x["digits"].alias("digits"), x["year"].alias("year"),
+            stamp.try_cast("timestamp_ntz").alias("wall"),
+            F.when(x["offset"].isin("z", "utc"), 0).when(x["offset"].isNotNull(), shift).alias("shift"),
+        )
+
     safe = F.coalesce(tz, F.lit("Etc/UTC"))
-    utc = F.when(
-        offset.isNotNull(), wall - F.make_dt_interval(mins=shift)
-    ).otherwise(F.convert_timezone(safe, F.lit("UTC"), wall))
-    local = F.convert_timezone(F.lit("UTC"), safe, utc)
-    gap = F.call_function("date_diff", F.to_date(local), F.to_date(utc)) * 1440 + (
-        (F.hour(local) - F.hour(utc)) * 60 + F.minute(local) - F.minute(utc)
-    )
-    lexical = F.concat(
-        F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(gap < 0, "-").otherwise("+"),
-        _two(F.floor(F.abs(gap) / 60)),
-        F.lit(":"),
-        _two(F.abs(gap) % 60),
-    )
-    shown = F.when(F.date_format(local, "HH:mm:ss") == "00:00:00", F.date_format(local, "yyyy-MM-dd")).otherwise(
-        lexical
-    )
-    bad = lambda why: F.concat(
-        F.lit("Bad input for date/time: "), raw, F.lit(".  (#<ArgumentError: "), why, F.lit(">)")
-    )
-    return (
-        F.when(raw.isNull(), "")
-        .when(tz.isNull(), bad(F.concat(F.lit("Invalid Timezone: "), name)))
-        .when(year.isNull(), F.when(text.rlike(r"\d"), bad(F.lit("invalid date"))).otherwise(""))
-        .when(local.isNull(), bad(F.lit("argument out of range")))
-        .otherwise(shown)
-    )
+
+    def instant(x: Column) -> Column:
+        utc = F.when(
+            x["shift"].isNotNull(), x["wall"] - F.make_dt_interval(mins=x["shift"])
+        ).otherwise(F.convert_timezone(safe, F.lit("UTC"), x["wall"]))
+        return F.struct(x["raw"].alias("raw"), x["digits"].alias("digits"), x["year"].alias("year"), utc.alias("utc"))
+
+    def local(x: Column) -> Column:
+        return F.struct(
+            x["raw"].alias("raw"), x["digits"].alias("digits"), x["year"].alias("year"), x["utc"].alias("utc"),
+            F.convert_timezone(F.lit("UTC"), safe, x["utc"]).alias("local"),
+        )
+
+    def shown(x: Column) -> Column:
+        here, utc = x["local"], x["utc"]
+        gap = F.datediff(here, utc) * 1440 + (F.hour(here) - F.hour(utc)) * 60 + F.minute(here) - F.minute(utc)
+        full = F.concat(
+            F.date_format(here, "yyyy-MM-dd'T'HH:mm:ss"), F.when(gap < 0, "-").otherwise("+"),
+            _two((F.abs(gap) / 60).cast("int")), F.lit(":"), _two(F.abs(gap) % 60),
+        )
+        bad = lambda why: F.concat(
+            F.lit("Bad input for date/time: "), x["raw"], F.lit(".  (#<ArgumentError: "), why, F.lit(">)")
+        )
+        return (
+            F.when(x["raw"].isNull(), "")
+            .when(tz.isNull(), bad(F.concat(F.lit("Invalid Timezone: "), name)))
+            .when(x["year"].isNull(), F.when(x["digits"], bad(F.lit("invalid date"))).otherwise(""))
+            .when(here.isNull(), bad(F.lit("argument out of range")))
+            .when(F.date_format(here, "HH:mm:ss") == "00:00:00", F.date_format(here, "yyyy-MM-dd"))
+            .otherwise(full)
+        )
+
+    out = values
+    for step in (clean, split, fields, wall, instant, local, shown):
+        out = F.transform(out, step)
+    return out
+
+
+def iso_datetime(col: Column | str, zone: Column | str | None = None) -> Column:
+    """H7: text to ISO with the zone's offset; midnight gives a date; text without a
+    date gives ``''``; an impossible date or unknown zone gives the error text."""
+    return F.get(iso_datetimes(F.array(_c(col)), None if zone is None else _c(zone)), F.lit(0))
 
 
 def convert_datetimes(values: Column | str) -> Column:
     """H8: take ``time_zone: X`` items out, read the rest in that zone, drop repeats."""
     items = _c(values)
-    is_zone = lambda t: F.startswith(t, F.lit("time_zone:"))
-    zone = F.element_at(
-        F.transform(F.filter(items, is_zone), lambda t: F.trim(F.get(F.split(t, ":"), F.lit(1)))), -1
-    )
-    zone = F.when(F.exists(items, is_zone), zone)
-    rest = F.filter(items, lambda t: ~F.coalesce(is_zone(t), F.lit(False)))
-    return F.array_distinct(F.transform(rest, lambda t: iso_datetime(t, zone)))
+    is_zone = lambda t: F.coalesce(F.startswith(t, F.lit("time_zone:")), F.lit(False))
+    zones = F.filter(items, is_zone)
+    zone = F.trim(F.get(F.split(F.get(zones, F.size(zones) - 1), ":"), F.lit(1)))
+    return F.array_distinct(iso_datetimes(F.filter(items, lambda t: ~is_zone(t)), zone))
 
 
 def convert_dates(values: Column | str) -> Column:
@@ -253,3 +271,18 @@ def guard_archive_date(col: Column | str, as_of: str) -> Column:
     c = F.coalesce(_c(col), now + years(1))
     far = (c < now - years(10)) | (c > now + years(10))
     return F.when(far, now + years(1)).otherwise(c)
+
+
+def utc_instant(col: Column | str) -> Column:
+    """Zone-less UTC time of an ISO text; a missing offset counts as UTC."""
+    c = F.trim(_c(col))
+    wall = F.coalesce(
+        F.replace(F.substring(c, 1, 19), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz"),
+        F.replace(F.substring(c, 1, 16), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz"),
+        F.substring(c, 1, 10).try_cast("timestamp_ntz"),
+    )
+    offset = F.regexp_extract(c, r"T.*([+-]\d{2}:?\d{2})$", 1)
+    minutes = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1) * (
+        F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, -2, 2).try_cast("int")
+    )
+    return F.when(offset == "", wall).otherwise(wall - F.make_dt_interval(mins=minutes))

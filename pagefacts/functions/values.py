@@ -36,10 +36,23 @@ def is_aborted(col: Column | str) -> Column:
     return F.coalesce(F.contains(_c(col), F.lit(ABORT)), F.lit(False))
 
 
+def json_list(col: Column | str) -> Column:
+    """Elements of a text that is exactly one JSON list; null for anything else.
+
+    Reading it inside one more list makes text after the list an error, which
+    ``from_json`` would otherwise skip.
+    """
+    c = _c(col)
+    outer = F.from_json(
+        F.concat(F.lit("["), c, F.lit("]")), f"array<{STRINGS}>", {"allowSingleQuotes": "false"}
+    )
+    return F.when(F.size(outer) == 1, F.get(outer, F.lit(0)))
+
+
 def to_array(col: Column | str) -> Column:
     """H1: a JSON list becomes an array, anything else a one-element array; null is empty."""
     c = _c(col)
-    parsed = F.when(F.startswith(c, F.lit("[")), F.from_json(c, STRINGS, {"mode": "PERMISSIVE"}))
+    parsed = F.when(F.startswith(c, F.lit("[")), json_list(c))
     return F.when(c.isNull(), F.array().cast(STRINGS)).otherwise(F.coalesce(parsed, F.array(c)))
 
 
@@ -48,7 +61,7 @@ def ensure_array(col: Column | str) -> Column:
     c = _c(col)
     return F.when(c.isNull(), F.array().cast(STRINGS)).otherwise(
         F.coalesce(
-            F.when(F.ltrim(c).startswith("["), F.from_json(c, STRINGS)),
+            F.when(F.ltrim(c).startswith("["), json_list(c)),
             F.array(F.coalesce(F.when(c.rlike(r'^\s*"'), F.get_json_object(c, "$")), c)),
         )
     )
@@ -59,34 +72,39 @@ def is_link_text(values: Column | str) -> Column:
     return F.coalesce(F.startswith(F.get(_c(values), F.lit(0)), F.lit("[")), F.lit(False))
 
 
-def _group(text: Column) -> Column:
-    """One ``[search, class, [label, uri]...]`` text as a struct."""
-    items = F.from_json(text, STRINGS)
-    hits = F.filter(F.slice(items, 3, 1 << 30), lambda h: F.startswith(h, F.lit("[")))
-    pairs = F.transform(hits, lambda h: F.from_json(h, STRINGS))
-    kept = F.filter(pairs, lambda p: p.isNotNull() & ~F.array_contains(p, "abort"))
-    links = F.transform(
-        kept,
-        lambda p: F.struct(F.get(p, F.lit(0)).alias("label"), F.get(p, F.lit(1)).alias("uri")),
-    )
-    return F.struct(
-        F.get(items, F.lit(0)).alias("search"), F.get(items, F.lit(1)).alias("class"), links.alias("links")
-    )
-
-
 def parse_links(col: Column | str) -> Column:
-    """H3: link groups of a stored value; unparsable text gives no groups."""
+    """H3: link groups of a stored value; unparsable text gives no groups.
+
+    Staged over arrays (texts, items, hits), so each JSON text is read once.
+    """
     c = _c(col)
+    none = F.array().cast(STRINGS)
     texts = (
-        F.when(c.rlike(r"^\s*\[\s*\["), F.from_json(c, STRINGS))
-        .when(c.rlike(r'^\s*\[\s*"'), F.array(c))
-        .otherwise(F.array().cast(STRINGS))
+        F.when(c.rlike(r"^\s*\[\s*\["), json_list(c)).when(c.rlike(r'^\s*\[\s*"'), F.array(c)).otherwise(none)
     )
-    usable = F.filter(
-        F.coalesce(texts, F.array().cast(STRINGS)),
-        lambda t: t.isNotNull() & (t != "[]") & F.from_json(t, STRINGS).isNotNull(),
+    items = F.filter(F.transform(F.coalesce(texts, none), json_list), lambda i: F.size(i) > 0)
+    halves = F.transform(
+        items,
+        lambda i: F.struct(
+            F.get(i, F.lit(0)).alias("search"),
+            F.get(i, F.lit(1)).alias("class"),
+            F.transform(
+                F.filter(F.slice(i, 3, 1 << 30), lambda h: F.startswith(h, F.lit("["))),
+                lambda h: F.from_json(h, STRINGS),
+            ).alias("pairs"),
+        ),
     )
-    return F.transform(usable, _group).cast(LINKS)
+    return F.transform(
+        halves,
+        lambda g: F.struct(
+            g["search"].alias("search"),
+            g["class"].alias("class"),
+            F.transform(
+                F.filter(g["pairs"], lambda p: p.isNotNull() & ~F.array_contains(p, "abort")),
+                lambda p: F.struct(F.get(p, F.lit(0)).alias("label"), F.get(p, F.lit(1)).alias("uri")),
+            ).alias("links"),
+        ),
+    ).cast(LINKS)
 
 
 def _uris(groups: Column) -> Column:

@@ -8,9 +8,8 @@ comparison engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagefacts.sources import schemas
@@ -40,229 +39,181 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def supplier_name(key: Column) -> Column:
-    return F.concat(F.lit("Supplier#"), F.lpad(key.cast("string"), 9, "0"))
+def _kg_uri(key: str) -> str:
+    return f"concat('{DEFAULT.kg_base}', if(({key}) % 2 = 0, 'K', 'S'), cast({key} as string))"
 
 
-def supplier_uri(key: Column) -> Column:
-    mark = F.when(key % 2 == 0, F.lit("K")).otherwise(F.lit("S"))
-    return F.concat(F.lit(DEFAULT.kg_base), mark, key.cast("string"))
+def _supplier(key: str) -> str:
+    return f"concat('Supplier#', lpad(cast({key} as string), 9, '0'))"
 
 
 def websites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").select(
-        k.cast("bigint").alias("id"),
-        F.col("n_name").alias("name"),
-        F.lower("n_name").alias("seedurl"),
-        F.when(k % 10 == 9, "kg-example")
-        .otherwise(F.concat(F.lit("http://kg.example.org/g"), k.cast("string")))
-        .alias("graph_name"),
-        F.when(k % 2 == 0, "en").otherwise("fr").alias("default_language"),
-        (k % 4).cast("int").alias("schedule_every_days"),
-        F.when(
-            k % 6 != 5,
-            F.expr("timestamp_ntz'2001-08-02 00:00:00' - make_dt_interval(0, n_nationkey * 7)"),
-        ).alias("last_refresh"),
-        F.concat(F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":30")).alias("schedule_time"),
+    return table(spark, sf_dir, "nation").selectExpr(
+        "cast(n_nationkey as bigint) as id",
+        "n_name as name",
+        "lower(n_name) as seedurl",
+        "if(n_nationkey % 10 = 9, 'kg-example', concat('http://kg.example.org/g', n_nationkey)) as graph_name",
+        "if(n_nationkey % 2 = 0, 'en', 'fr') as default_language",
+        "cast(n_nationkey % 4 as int) as schedule_every_days",
+        "if(n_nationkey % 6 <> 5, timestamp_ntz'2001-08-02 00:00:00' - make_dt_interval(0, n_nationkey * 7), null) "
+        "as last_refresh",
+        "concat(lpad(n_nationkey % 24, 2, '0'), ':30') as schedule_time",
     )
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """21 rules per website: seven properties, three rules each."""
-    rules = (
-        table(spark, sf_dir, "nation")
-        .select(F.col("n_nationkey").cast("bigint").alias("website_id"))
-        .withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(7))))
-        .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    rules = table(spark, sf_dir, "nation").selectExpr(
+        "cast(n_nationkey as bigint) as website_id", "n_nationkey % 5 as kind", "explode(sequence(0, 20)) as i"
     )
-    line, m, kind = F.col("line"), F.col("m"), F.col("website_id") % 5
-    place_or_org = kind.isin(3, 4)
-    prop = (
-        F.when((line == 1) & (kind == 3), 8)
-        .when((line == 1) & (kind == 4), 9)
-        .when((line == 5) & (kind == 3), 10)
-        .when((line == 5) & (kind == 4), 11)
-        .when((line == 6) & (m == 1) & ~place_or_org, 14)
-        .otherwise(line)
-    )
-    language = F.when(
-        line.isin(1, 5), F.when(m == 0, "en").when(m == 1, "fr").otherwise("")
-    ).otherwise("")
-    algorithm = (
-        F.when(m == 2, F.concat(F.lit("manual=Rule "), line.cast("string")))
-        .when(line == 1, F.when(m == 0, "xpath=//title").otherwise("xpath=//h1"))
-        .when(line == 2, "xpath=//time/@datetime;time_zone=Eastern Time (US & Canada)")
-        .when(line == 5, "if_xpath=//article;css=article p")
-        .when(line == 6, "xpath=//nav//a/@href")
-        .otherwise("xpath_sanitize=(//article/p)[1];ruby=$array.first")
-    )
-    return rules.select(
-        (F.col("website_id") * 100 + line * 10 + m).alias("id"),
-        algorithm.alias("algorithm_value"),
-        (m != 2).alias("selected"),
-        F.lit(None).cast("string").alias("selected_by"),
-        language.alias("language"),
-        F.lit(False).alias("render_js"),
-        prop.cast("bigint").alias("property_id"),
+    return rules.selectExpr("website_id", "kind", "i div 3 + 1 as line", "i % 3 as m").selectExpr(
+        "website_id * 100 + line * 10 + m as id",
+        """case when m = 2 then concat('manual=Rule ', line)
+             when line = 1 then if(m = 0, 'xpath=//title', 'xpath=//h1')
+             when line = 2 then 'xpath=//time/@datetime;time_zone=Eastern Time (US & Canada)'
+             when line = 5 then 'if_xpath=//article;css=article p'
+             when line = 6 then 'xpath=//nav//a/@href'
+             else 'xpath_sanitize=(//article/p)[1];ruby=$array.first' end as algorithm_value""",
+        "m <> 2 as selected",
+        "cast(null as string) as selected_by",
+        "case when line in (1, 5) and m = 0 then 'en' when line in (1, 5) and m = 1 then 'fr' else '' end as language",
+        "false as render_js",
+        """cast(case when line = 1 and kind = 3 then 8 when line = 1 and kind = 4 then 9
+             when line = 5 and kind = 3 then 10 when line = 5 and kind = 4 then 11
+             when line = 6 and m = 1 and kind not in (3, 4) then 14 else line end as bigint) as property_id""",
         "website_id",
-        F.concat(F.lit("rule "), line.cast("string")).alias("label"),
-        ((F.col("website_id") + line) % 4 == 0).alias("auto_review"),
+        "concat('rule ', line) as label",
+        "(website_id + line) % 4 = 0 as auto_review",
     )
 
 
 def webpages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    res = F.floor(k / 2)
-    site = res % 25
-    return table(spark, sf_dir, "orders").select(
-        k.alias("id"),
-        F.concat(
-            F.lit("http://site"), site.cast("string"), F.lit(".example/p/"), k.cast("string")
-        ).alias("url"),
-        F.when(k % 2 == 0, "en").otherwise("fr").alias("language"),
-        F.concat(F.lit("adr:r"), res.cast("string")).alias("rdf_uri"),
-        F.when(res % 5 == 3, 2).when(res % 5 == 4, 3).otherwise(1).cast("bigint").alias("rdfs_class_id"),
-        site.cast("bigint").alias("website_id"),
-        F.col("o_orderdate").cast("timestamp_ntz").alias("archive_date"),
-        F.when(k % 50 == 0, 1).when(k % 50 == 2, 2).cast("bigint").alias("jsonld_output_id"),
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as id", "o_orderdate", "o_orderkey div 2 as res", "(o_orderkey div 2) % 25 as site"
+    )
+    return orders.selectExpr(
+        "id",
+        "concat('http://site', site, '.example/p/', id) as url",
+        "if(id % 2 = 0, 'en', 'fr') as language",
+        "concat('adr:r', res) as rdf_uri",
+        "cast(case res % 5 when 3 then 2 when 4 then 3 else 1 end as bigint) as rdfs_class_id",
+        "cast(site as bigint) as website_id",
+        "cast(o_orderdate as timestamp_ntz) as archive_date",
+        "cast(case id % 50 when 0 then 1 when 2 then 2 end as bigint) as jsonld_output_id",
     )
 
 
-def _group(name: Column, cls: str, uri: Column | None) -> Column:
-    parts = [F.lit('["'), name, F.lit(f'","{cls}"')]
-    if uri is not None:
-        parts += [F.lit(',["'), name, F.lit('","'), uri, F.lit('"]')]
-    return F.concat(*parts, F.lit("]"))
-
-
-def _manual(mark: str, name: Column, uri: Column) -> Column:
-    return F.concat(
-        F.lit(f'["{mark}","Place",["'), name, F.lit('","'), uri, F.lit('"]]')
-    )
+def _group(key: str, cls: str, linked: bool = True) -> str:
+    name = _supplier(key)
+    link = f""", ',["', {name}, '","', {_kg_uri(key)}, '"]'""" if linked else ""
+    return f"""concat('["', {name}, '","{cls}"'{link}, ']')"""
 
 
-def _pair(first: Column, second: Column) -> Column:
-    return F.concat(F.lit("["), first, F.lit(","), second, F.lit("]"))
+def _manual(mark: str, key: str) -> str:
+    return f"""concat('["{mark}","Place",["', {_supplier(key)}, '","', {_kg_uri(key)}, '"]]')"""
 
 
-def _location() -> Column:
-    k, nxt, v = F.col("l_suppkey"), F.col("l_suppkey") + 1, F.col("l_partkey") % 10
-    name, uri = supplier_name(k), supplier_uri(k)
-    name2, uri2 = supplier_name(nxt), supplier_uri(nxt)
-    one = _group(name, "Place", uri)
-    bare = _group(name, "Place", None)
-    return (
-        F.when(v == 0, _pair(one, _manual("Manually deleted", name2, uri2)))
-        .when(v == 1, bare)
-        .when(v == 2, _pair(bare, _manual("Manually added", name2, uri2)))
-        .when(v.isin(3, 4), _pair(one, _group(name2, "Place", uri2)))
-        .when(v == 5, _pair(one, _manual("Manually deleted", name, uri)))
-        .otherwise(one)
-    )
+def _location() -> str:
+    k, nxt = "l_suppkey", "l_suppkey + 1"
+    one, bare = _group(k, "Place"), _group(k, "Place", linked=False)
+    pair = lambda a, b: f"concat('[', {a}, ',', {b}, ']')"
+    return f"""case l_partkey % 10
+      when 0 then {pair(one, _manual("Manually deleted", nxt))}
+      when 1 then {bare}
+      when 2 then {pair(bare, _manual("Manually added", nxt))}
+      when 3 then {pair(one, _group(nxt, "Place"))}
+      when 4 then {pair(one, _group(nxt, "Place"))}
+      when 5 then {pair(one, _manual("Manually deleted", k))}
+      else {one} end"""
 
 
-def _dates(time: str) -> Column:
-    at = lambda days: F.concat(
-        F.date_format(F.date_add(F.col("l_shipdate").cast("date"), days), "yyyy-MM-dd"),
-        F.lit(f"T{time}-04:00"),
-    )
-    two = F.concat(F.lit('["'), at(0), F.lit('","'), at(1), F.lit('"]'))
-    return F.when(F.col("l_quantity") > 25, two).otherwise(at(0))
+def _dates(time: str) -> str:
+    at = lambda d: f"concat(cast(date_add(cast(l_shipdate as date), {d}) as string), 'T{time}-04:00')"
+    return f"""if(l_quantity > 25, concat('["', {at(0)}, '","', {at(1)}, '"]'), {at(0)})"""
 
 
-def _cache() -> Column:
-    line, k = F.col("l_linenumber"), F.col("l_suppkey")
-    quantity = F.col("l_quantity").cast("bigint").cast("string")
-    price = (
-        F.when(F.col("l_discount") == 0, "NaN")
-        .when(F.col("l_partkey") % 5 == 0, F.concat(F.lit('["'), quantity, F.lit('","","12.5"]')))
-        .otherwise(quantity)
-    )
-    site_kind = F.floor(F.col("l_orderkey") / 2) % 5
-    is_end = (k % 3 == 1) & ~site_kind.isin(3, 4)
-    image = F.concat(F.lit("http://img.example.org/"), F.col("l_partkey").cast("string"), F.lit(".jpg"))
-    return (
-        F.when(line == 1, F.when(F.col("l_tax") == 0.08, "").otherwise(F.col("p_name")))
-        .when(line == 2, F.when(F.col("l_partkey") % 17 == 0, "error: no date").otherwise(_dates("20:00:00")))
-        .when(line == 3, _location())
-        .when(line == 4, price)
-        .when(line == 5, F.when(F.col("l_tax") == 0, '["abort_update",{"error":"timeout"}]').otherwise(F.col("p_type")))
-        .when(line == 6, F.when(is_end, _dates("22:00:00")).otherwise(image))
-        .when(line == 7, _group(supplier_name(k), "Organization", supplier_uri(k)))
-    )
+def _cache() -> str:
+    return f"""case l_linenumber
+      when 1 then if(l_tax = 0.08, '', p_name)
+      when 2 then if(l_partkey % 17 = 0, 'error: no date', {_dates("20:00:00")})
+      when 3 then {_location()}
+      when 4 then case when l_discount = 0 then 'NaN'
+        when l_partkey % 5 = 0 then concat('["', cast(l_quantity as bigint), '","","12.5"]')
+        else cast(cast(l_quantity as bigint) as string) end
+      when 5 then if(l_tax = 0, '["abort_update",{{"error":"timeout"}}]', p_type)
+      when 6 then if(l_suppkey % 3 = 1 and (l_orderkey div 2) % 5 not in (3, 4), {_dates("22:00:00")},
+        concat('http://img.example.org/', l_partkey, '.jpg'))
+      when 7 then {_group("l_suppkey", "Organization")} end"""
 
 
 def statements(spark: SparkSession, sf_dir: str, with_cache: bool = True) -> DataFrame:
     """Newest value per (page, rule). The top-1 filter is pushed below the shuffle,
     so a page or rule with very many rows is reduced on the map side."""
-    keys = ["l_orderkey", "l_linenumber", F.col("l_suppkey") % 3]
-    newest = Window.partitionBy(*keys).orderBy(
+    newest = Window.partitionBy("l_orderkey", "l_linenumber", "m").orderBy(
         F.col("l_shipdate").desc(), "l_partkey", "l_suppkey", "l_extendedprice"
     )
     rows = (
         table(spark, sf_dir, "lineitem")
+        .withColumns({"m": F.expr("l_suppkey % 3")})
         .withColumn("_rn", F.row_number().over(newest))
         .filter("_rn = 1")
-        .drop("_rn")
     )
     if with_cache:
         part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
         rows = rows.join(part, rows.l_partkey == part.p_partkey)
-        cache = _cache()
-    else:
-        cache = F.lit(None).cast("string")
-    code = F.concat("l_returnflag", "l_linestatus")
-    m = F.col("l_suppkey") % 3
-    rule = F.col("l_linenumber") * 10 + m
-    return rows.select(
-        (F.col("l_orderkey") * 100 + rule).alias("id"),
-        cache.alias("cache"),
-        F.when(code.isin("AF", "NO"), "ok")
-        .when(code.isin("AO", "RO"), "updated")
-        .when(code == "NF", "initial")
-        .otherwise("problem")
-        .alias("status"),
-        F.when(F.col("l_tax") > 0.04, DEFAULT.origin_refresh).otherwise("review").alias("status_origin"),
-        F.expr("l_shipdate + interval 1 day").alias("cache_refreshed"),
-        F.col("l_shipdate").alias("cache_changed"),
-        F.expr("l_shipdate - interval 1 day").alias("created_at"),
-        ((F.floor(F.col("l_orderkey") / 2) % 25) * 100 + rule).cast("bigint").alias("source_id"),
-        F.col("l_orderkey").alias("webpage_id"),
-        (m != 2).alias("selected_individual"),
-        (F.col("l_quantity") > 45).alias("manual"),
+    return rows.selectExpr(
+        "l_orderkey * 100 + l_linenumber * 10 + m as id",
+        f"{_cache() if with_cache else 'cast(null as string)'} as cache",
+        """case concat(l_returnflag, l_linestatus) when 'AF' then 'ok' when 'NO' then 'ok' when 'AO' then 'updated'
+             when 'RO' then 'updated' when 'NF' then 'initial' else 'problem' end as status""",
+        f"if(l_tax > 0.04, '{DEFAULT.origin_refresh}', 'review') as status_origin",
+        "l_shipdate + interval 1 day as cache_refreshed",
+        "l_shipdate as cache_changed",
+        "l_shipdate - interval 1 day as created_at",
+        "cast(((l_orderkey div 2) % 25) * 100 + l_linenumber * 10 + m as bigint) as source_id",
+        "l_orderkey as webpage_id",
+        "m <> 2 as selected_individual",
+        "l_quantity > 45 as manual",
     )
 
 
-def driver_store(spark: SparkSession, sf_dir: str, with_cache: bool = True) -> Store:
-    empty = lambda schema: spark.createDataFrame([], schema)
-    part = table(spark, sf_dir, "part")
-    exceptions = part.filter("p_partkey % 40 = 7").select(
-        F.col("p_name").alias("name"),
-        F.when(F.col("p_partkey") % 80 == 7, 2).otherwise(3).cast("bigint").alias("rdfs_class_id"),
-        F.lit(None).cast("string").alias("uri"),
+def _exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        table(spark, sf_dir, "part")
+        .filter("p_partkey % 40 = 7")
+        .selectExpr(
+            "p_name as name",
+            "cast(if(p_partkey % 80 = 7, 2, 3) as bigint) as rdfs_class_id",
+            "cast(null as string) as uri",
+        )
+        .distinct()
     )
-    events = table(spark, sf_dir, "events")
-    messages = events.filter("event_type = 'signup'").select(
-        F.col("props").alias("message"),
-        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("artifact"),
-        F.col("ts").alias("created_at"),
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        table(spark, sf_dir, "events")
+        .filter("event_type = 'signup'")
+        .selectExpr("props as message", "concat('user ', user_id) as artifact", "ts as created_at")
     )
+
+
+OUTPUTS = [(1, "none", "{}"), (2, "short", '{"@explicit":true,"name":{},"startDate":{}}')]
+
+
+def driver_store(spark: SparkSession, sf_dir: str, with_cache: bool = True) -> Store:
+    """The store over the given tables; ``with_cache=False`` leaves the values out, for
+    queries that never read them."""
     return Store(
-        websites=websites(spark, sf_dir),
-        rdfs_classes=spark.createDataFrame(CLASSES, schemas.RDFS_CLASSES),
-        properties=spark.createDataFrame(PROPERTIES, schemas.PROPERTIES),
-        sources=sources(spark, sf_dir),
-        webpages=webpages(spark, sf_dir),
-        statements=statements(spark, sf_dir, with_cache),
-        search_exceptions=exceptions.distinct(),
-        jsonld_outputs=empty(schemas.JSONLD_OUTPUTS).union(
-            spark.createDataFrame(
-                [(1, "none", "{}"), (2, "short", '{"@explicit":true,"name":{},"startDate":{}}')],
-                schemas.JSONLD_OUTPUTS,
-            )
-        ),
-        messages=messages,
+        websites=lambda: websites(spark, sf_dir),
+        rdfs_classes=lambda: spark.createDataFrame(CLASSES, schemas.RDFS_CLASSES),
+        properties=lambda: spark.createDataFrame(PROPERTIES, schemas.PROPERTIES),
+        sources=lambda: sources(spark, sf_dir),
+        webpages=lambda: webpages(spark, sf_dir),
+        statements=lambda: statements(spark, sf_dir, with_cache),
+        search_exceptions=lambda: _exceptions(spark, sf_dir),
+        jsonld_outputs=lambda: spark.createDataFrame(OUTPUTS, schemas.JSONLD_OUTPUTS),
+        messages=lambda: _messages(spark, sf_dir),
     )
 
 
@@ -272,33 +223,29 @@ def knowledge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "supplier")
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .selectExpr("s_suppkey as k", f"{_kg_uri('s_suppkey')} as uri", "s_name", "n_name", "r_name")
     )
-    k = F.col("s_suppkey")
-    uri = supplier_uri(k)
-    address = F.concat(uri, F.lit("#PostalAddress"))
-    cls = F.when(k % 3 == 0, "Organization").when(k % 3 == 1, "Person").otherwise("Place")
-
-    def row(s: Column, p: str, o: Column, kind: str, lang: str = "") -> Column:
-        return F.struct(
-            s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(lang).alias("lang")
-        )
-
-    name = F.col("s_name")
-    triples = F.array(
-        row(uri, RDF_TYPE, F.concat(F.lit(SCHEMA), cls), "uri"),
-        F.when(k % 3 == 2, row(uri, RDF_TYPE, F.lit(DEFAULT.ontology_base + "Venue"), "uri")),
-        F.when(k % 4 == 0, row(uri, SCHEMA + "name", name, "literal", "en")),
-        F.when(k % 4 <= 1, row(uri, SCHEMA + "name", name, "literal", "fr")),
-        F.when(k % 4 >= 2, row(uri, SCHEMA + "name", name, "literal")),
-        F.when(k % 7 == 0, row(uri, SCHEMA + "alternateName", F.concat(F.lit("House "), name), "literal")),
-        row(uri, SCHEMA + "address", address, "uri"),
-        row(address, RDF_TYPE, F.lit(SCHEMA + "PostalAddress"), "uri"),
-        row(address, SCHEMA + "addressCountry", F.col("n_name"), "literal"),
-        row(address, SCHEMA + "addressRegion", F.col("r_name"), "literal"),
-    )
-    return (
-        rows.select(F.explode(F.filter(triples, lambda t: t.isNotNull())).alias("t"))
-        .select(F.lit("").alias("graph_id"), "t.*", F.lit("").alias("datatype"), F.lit(None).cast("int").alias("pos"))
+    cls = "case k % 3 when 0 then 'Organization' when 1 then 'Person' else 'Place' end"
+    address = "concat(uri, '#PostalAddress')"
+
+    def row(s: str, p: str, o: str, kind: str = "literal", lang: str = "", when: str | None = None) -> str:
+        text = f"named_struct('s', {s}, 'p', '{p}', 'o', {o}, 'o_kind', '{kind}', 'lang', '{lang}')"
+        return f"if({when}, {text}, null)" if when else text
+
+    facts = [
+        row("uri", RDF_TYPE, f"concat('{SCHEMA}', {cls})", "uri"),
+        row("uri", RDF_TYPE, f"'{DEFAULT.ontology_base}Venue'", "uri", when="k % 3 = 2"),
+        row("uri", SCHEMA + "name", "s_name", lang="en", when="k % 4 = 0"),
+        row("uri", SCHEMA + "name", "s_name", lang="fr", when="k % 4 <= 1"),
+        row("uri", SCHEMA + "name", "s_name", when="k % 4 >= 2"),
+        row("uri", SCHEMA + "alternateName", "concat('House ', s_name)", when="k % 7 = 0"),
+        row("uri", SCHEMA + "address", address, "uri"),
+        row(address, RDF_TYPE, f"'{SCHEMA}PostalAddress'", "uri"),
+        row(address, SCHEMA + "addressCountry", "n_name"),
+        row(address, SCHEMA + "addressRegion", "r_name"),
+    ]
+    return rows.selectExpr(f"inline(filter(array({', '.join(facts)}), t -> t is not null))").selectExpr(
+        "'' as graph_id", "*", "'' as datatype", "cast(null as int) as pos"
     )
 
 

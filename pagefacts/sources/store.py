@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,8 +10,10 @@ from pagefacts.functions import values as V
 from pagefacts.sources import schemas
 
 
-@dataclass(frozen=True)
 class Store:
+    """The nine tables as attributes. A table may be given as a function; it is then
+    planned only when a query asks for it."""
+
     websites: DataFrame
     rdfs_classes: DataFrame
     properties: DataFrame
@@ -22,8 +24,23 @@ class Store:
     jsonld_outputs: DataFrame
     messages: DataFrame
 
-    def with_(self, **tables: DataFrame) -> "Store":
-        return replace(self, **tables)
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        unknown = set(tables) - set(schemas.TABLES)
+        if unknown:
+            raise ValueError(f"no such tables: {sorted(unknown)}")
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        found = self._tables[name]
+        if not isinstance(found, DataFrame):
+            found = self._tables[name] = found()
+        return found
+
+    def with_(self, **tables: DataFrame | Callable[[], DataFrame]) -> "Store":
+        """The same store with some tables replaced."""
+        return Store(**{**self._tables, **tables})
 
 
 def typed(statements: DataFrame) -> DataFrame:
