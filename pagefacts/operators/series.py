@@ -34,17 +34,29 @@ def _explode(rows: DataFrame, *triples_: Column) -> DataFrame:
     return rows.select(F.explode(F.array(*triples_)).alias("t")).select("t.*")
 
 
-def split_by_position(graph: DataFrame, link: str, cls: str) -> DataFrame:
+CONTACTS = (SCHEMA + "contactPoint", SCHEMA + "ContactPoint")
+OFFERS = (SCHEMA + "offers", SCHEMA + "Offer")
+
+
+def split_by_position(graph: DataFrame, *kinds: tuple[str, str]) -> DataFrame:
     """Every annotated value of a linked node moves to a node of its position.
 
-    The node, its link and the moved values are removed; values without a position stay.
+    ``kinds`` are (link, class) pairs, all handled in one pass. The node, its link and
+    the moved values are removed; values without a position stay.
     """
     facts = triples(graph)
-    links = facts.filter((F.col("p") == link) & (F.col("s") == F.col("graph_id"))).select(
-        "graph_id", F.col("s").alias("owner"), F.col("o").alias("node")
+    classes = F.col("cls")
+    pairs = F.lit(None).cast("string")
+    for link, cls in kinds:
+        pairs = F.when(F.col("p") == link, cls).otherwise(pairs)
+    links = (
+        facts.filter(F.col("p").isin(*[k[0] for k in kinds]) & (F.col("s") == F.col("graph_id")))
+        .select("graph_id", F.col("s").alias("owner"), F.col("p").alias("link"), F.col("o").alias("node"), pairs.alias("cls"))
+    )
+    typed = facts.filter((F.col("p") == RDF_TYPE) & F.col("o").isin(*[k[1] for k in kinds])).select(
+        "graph_id", F.col("s").alias("node"), F.col("o").alias("cls")
     )
-    typed = facts.filter((F.col("p") == RDF_TYPE) & (F.col("o") == cls)).select("graph_id", F.col("s").alias("node"))
-    nodes = links.join(typed, ["graph_id", "node"], "left_semi").distinct()
+    nodes = links.join(typed, ["graph_id", "node", "cls"], "left_semi").distinct()
     placed = (
         annotations(graph)
         .join(facts.drop("pos"), list(TRIPLE_COLUMNS), "left_semi")
@@ -52,18 +64,18 @@ def split_by_position(graph: DataFrame, link: str, cls: str) -> DataFrame:
     )
     moved = nodes.join(placed, ["graph_id", "node"])
     value = (F.col("o"), F.col("o_kind"), F.col("lang"), F.col("datatype"))
-    node, owner = F.col("node"), F.col("owner")
+    node, owner, link = F.col("node"), F.col("owner"), F.col("link")
     new = F.concat(node, F.lit("_"), F.col("pos").cast("string"))
     delete = _explode(
         moved,
         _triple("graph_id", owner, link, node, "uri"),
-        _triple("graph_id", node, RDF_TYPE, F.lit(cls), "uri"),
+        _triple("graph_id", node, RDF_TYPE, classes, "uri"),
         _triple("graph_id", node, F.col("p"), *value),
     )
     insert = _explode(
         moved,
         _triple("graph_id", owner, link, new, "uri"),
-        _triple("graph_id", new, RDF_TYPE, F.lit(cls), "uri"),
+        _triple("graph_id", new, RDF_TYPE, classes, "uri"),
         _triple("graph_id", new, F.col("p"), *value),
     )
     return rewrite(graph, delete, insert)
@@ -71,12 +83,12 @@ def split_by_position(graph: DataFrame, link: str, cls: str) -> DataFrame:
 
 def contact_series(graph: DataFrame) -> DataFrame:
     """I4."""
-    return split_by_position(graph, SCHEMA + "contactPoint", SCHEMA + "ContactPoint")
+    return split_by_position(graph, CONTACTS)
 
 
 def offer_series(graph: DataFrame) -> DataFrame:
     """I5."""
-    return split_by_position(graph, SCHEMA + "offers", SCHEMA + "Offer")
+    return split_by_position(graph, OFFERS)
 
 
 def series_variant(graph: DataFrame) -> DataFrame:
