@@ -13,7 +13,7 @@ from pagefacts.checks.rollup_queries import _BUILD_KEY, _INDEX, _nested_sql
 from pagefacts.operators import graph as G
 from pagefacts.operators import jsonld as D
 from pagefacts.plans import publish as P
-from pagefacts.session import durable_dir
+from pagefacts.session import cut_lineage, durable_dir
 from pagefacts.sources import exports as X
 from pagefacts.sources.driver_tables import KG_SQL, driver_store, knowledge_graph, store_sql, table
 from pagefacts.vocab import DEFAULT, RDF_TYPE, SCHEMA
@@ -98,7 +98,7 @@ def a9b(spark, sf):
 def i8(spark, sf):
     graph = stored_graph(spark, sf)
     known = knowledge_graph(spark, sf)
-    return D.frame(G.drop_annotations(G.enrich(graph, known)))
+    return D.frame(cut_lineage(G.drop_annotations(G.enrich(graph, known)), "enriched"))
 
 
 _FRAMED = f"""

@@ -78,12 +78,15 @@ def french_month_to_en(col: Column | str) -> Column:
     return c
 
 
+_KNOWN = ";".join(f"{name}={zone}" for name, zone in ZONES.items())
+_IDS = f"|{'|'.join(sorted(zoneinfo.available_timezones()))}|"
+
+
 def zone_id(name: Column) -> Column:
     """Zone of a descriptive name or a zone id; null if unknown."""
-    c = F.when(name.isin(sorted(zoneinfo.available_timezones())), name)
-    for known, zone in ZONES.items():
-        c = F.when(name == known, F.lit(zone)).otherwise(c)
-    return c
+    described = F.try_element_at(F.str_to_map(F.lit(_KNOWN), F.lit(";"), F.lit("=")), name)
+    is_id = F.contains(F.lit(_IDS), F.concat(F.lit("|"), name, F.lit("|")))
+    return F.coalesce(described, F.when(is_id, name))
 
 
 def _two(col: Column) -> Column:
@@ -205,11 +208,14 @@ def convert_datetimes(values: Column | str) -> Column:
     return F.array_distinct(iso_datetimes(F.filter(items, lambda t: ~is_zone(t)), zone))
 
 
-def convert_dates(values: Column | str) -> Column:
-    """H9: as above, cut to the calendar day; unreadable items give an error text."""
+def convert_dates(values: Column | str, read: Column | None = None) -> Column:
+    """H9: as above, cut to the calendar day; unreadable items give an error text.
+
+    ``read`` is the result of H8, if already at hand.
+    """
     items = _c(values)
     return F.transform(
-        convert_datetimes(items),
+        convert_datetimes(items) if read is None else read,
         lambda d: F.when(d.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(d, 1, 10)).otherwise(
             F.concat(F.lit("input: "), F.to_json(items), F.lit(" error: invalid date"))
         ),

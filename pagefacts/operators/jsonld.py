@@ -121,7 +121,7 @@ def _children(facts: DataFrame, parents: DataFrame, specs: tuple[Child, ...], ad
     )
     keys = ["graph_id", "parent", "prop", "s"]
     docs = (
-        split_hot(rows.unionByName(head), keys)
+        split_hot(rows.unionByName(head), keys, sized_by=facts.select("graph_id", "s"))
         .groupBy(*keys, "part")
         .agg(F.array_sort(F.collect_list(_entry(F.col("k"), "v"))).alias("es"))
     )
@@ -177,7 +177,7 @@ def frame(
         )
     expected = "array(" + ",".join(f"'{p}'" for p in (*EVENT_PROPS, *(c.prop for c in EVENT_CHILDREN))) + ")"
     docs = (
-        split_hot(rows, ["graph_id", "cls"])
+        split_hot(rows, ["graph_id", "cls"], sized_by=facts.select("graph_id"))
         .groupBy("graph_id", "cls", "part")
         .agg(F.array_sort(F.collect_list(_entry(F.col("k"), "v"))).alias("es"))
     )
@@ -203,7 +203,7 @@ def to_node_texts(facts: DataFrame) -> DataFrame:
     ids = facts.select("graph_id", "s").distinct().selectExpr("graph_id", "s", "'@id' as k", f"{_TEXT.format(c='s')} as v")
     rows = facts.select("graph_id", "s", "k", "v").unionByName(ids)
     grouped = (
-        split_hot(rows, ["graph_id", "s"])
+        split_hot(rows, ["graph_id", "s"], sized_by=facts.select("graph_id", "s"))
         .groupBy("graph_id", "s", "part")
         .agg(F.array_sort(F.collect_list(_entry(F.col("k"), "v"))).alias("es"))
     )

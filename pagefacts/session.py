@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,13 +20,34 @@ OPTIONS = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Switch on adaptive execution with skew handling; leaves sizing to the cluster."""
+    """Switch on adaptive execution with skew handling; leaves sizing to the cluster.
+
+    Also makes the package importable for Python workers on every executor.
+    """
     for key, value in OPTIONS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="pagefacts-")) / "pagefacts.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, f"{root.name}/{file.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
+
+
 def durable_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a private one only where none is configured."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagefacts.sources import schemas
+from pagefacts.sources.captures import load_captures
 from pagefacts.sources.store import Store
 from pagefacts.vocab import DEFAULT, RDF_TYPE, SCHEMA
 
@@ -250,7 +251,7 @@ def knowledge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return load_captures(spark, f"{sf_dir}/pages.parquet")
 
 
 _P = "\n".join(
