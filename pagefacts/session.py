@@ -48,13 +48,18 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_private: dict[str, str] = {}
+
+
 def durable_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a private one only where none is configured."""
+    """The shared folder the cluster names; a private one only where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="pagefacts-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    app = spark.sparkContext.applicationId
+    if app not in _private:
+        _private[app] = tempfile.mkdtemp(prefix="pagefacts-")
+    return _private[app]
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
