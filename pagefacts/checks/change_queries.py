@@ -102,8 +102,12 @@ kept AS (
 
 @query(
     "j1_refresh",
-    store_sql(f"SELECT {OUT.replace('status,', '''CASE WHEN auto_review AND status = 'initial' AND open THEN 'updated' ELSE status END AS status,''')} FROM refreshed",
-              CLOSURE_SQL, SCAFFOLD_SQL, _REFRESH_SQL, callbacks("kept", "refreshed", AS_OF)),
+    store_sql(f"SELECT {OUT} FROM reviewed WHERE NOT is_new OR first_save OR saved", CLOSURE_SQL, SCAFFOLD_SQL, _REFRESH_SQL,
+              callbacks("kept", "refreshed", AS_OF),
+              """
+auto_saves AS (SELECT * EXCLUDE (changed) REPLACE (cache AS old_cache, auto_review AND status = 'initial' AND open AS saved,
+  CASE WHEN auto_review AND status = 'initial' AND open THEN 'updated' ELSE status END AS status), saved AS first_save FROM refreshed)""",
+              callbacks("auto_saves", "reviewed", AS_OF)),
 )
 def j1(spark, sf):
     store = driver_store(spark, sf)

@@ -15,6 +15,7 @@ from pagefacts.functions import dates as D
 from pagefacts.functions import values as V
 from pagefacts.operators.rollups import as_time
 from pagefacts.operators.star import rules
+from pagefacts.session import cut_lineage
 from pagefacts.sources.store import Store
 from pagefacts.vocab import ADDED, DEFAULT, DELETED, REVIEWED, Vocabulary
 
@@ -74,7 +75,7 @@ def apply_callbacks(
     """
     cache, old, label = F.col("cache"), F.col("old_cache"), F.col("label")
     is_uri = F.col("value_datatype") == "xsd:anyURI"
-    stage = {"_saved": saved}
+    stage = {"_saved": saved}  # a second call starts over
     if "_links" not in rows.columns:
         linked = saved & (is_uri | (label == "Location"))
         stage["_links"] = F.when(linked, V.parse_links(cache))
@@ -161,8 +162,13 @@ def property_closure(store: Store) -> DataFrame:
     """All properties per class, following nested classes.
 
     A recursive query over two small dimensions; a class already on the path is not
-    entered again, so cycles end.
+    entered again, so cycles end. Its few rows are written once per store, as several
+    steps of a refresh ask for them.
     """
+    return store.once("closure", lambda: cut_lineage(_closure(store), "closure"))
+
+
+def _closure(store: Store) -> DataFrame:
     spark = store.properties.sparkSession
     cls = store.rdfs_classes.select("id", "name")
     props = store.properties.select("id", "rdfs_class_id", "value_datatype", "expected_class")
@@ -214,14 +220,18 @@ def refresh(store: Store, formatted: DataFrame, as_of: str, vocab: Vocabulary =
     )
     saved = usable & save_decision(F.col("value"), F.col("status"), F.col("cache"), F.col("is_new"))
     rows = rows.withColumns({"_save": saved, "_open": _is(F.col("captured")) & ~locked})
-    linked = F.col("_save") & ((F.col("value_datatype") == "xsd:anyURI") | (F.col("label") == "Location"))
+    # a new statement that is saved neither now nor by automatic review does not come
+    # into being; decided here, on plain columns, so the filter stays small when pushed down
+    rows = rows.filter(~F.col("is_new") | F.col("_save") | (F.col("auto_review") & F.col("_open")))
+    linked = (F.col("value_datatype") == "xsd:anyURI") | (F.col("label") == "Location")
     rows = rows.withColumns(
         {
-            "_value_links": F.when(linked, V.parse_links("value")),
-            "_old_links": F.when(linked, V.parse_links("old_cache")),
+            "_value_links": F.when(F.col("_save") & linked, V.parse_links("value")),
+            "_old_links": F.when(F.col("_open") & linked, V.parse_links("old_cache")),
         }
     )
-    rows = rows.withColumns({"_links": with_manual_links(F.col("_value_links"), F.col("_old_links"))})
+    kept = with_manual_links(F.col("_value_links"), F.col("_old_links"))
+    rows = rows.withColumns({"_links": F.when(F.col("_save"), kept).otherwise(F.col("_old_links"))})
     merged = (F.col("value_datatype") == "xsd:anyURI") & (F.size("_links") > F.size("_value_links"))
     value = F.when(merged, V.links_text(F.col("_links"))).otherwise(F.col("value"))
     rows = rows.withColumns(
@@ -231,8 +241,11 @@ def refresh(store: Store, formatted: DataFrame, as_of: str, vocab: Vocabulary =
         }
     )
     rows = apply_callbacks(rows, F.col("_save"), as_of, vocab)
-    auto = F.col("auto_review") & (F.col("status") == "initial") & F.col("_open")
-    rows = rows.withColumn("status", F.when(_is(auto), "updated").otherwise(F.col("status")))
+    # Rules with automatic review; the change of status is a save of its own
+    auto = _is(F.col("auto_review") & (F.col("status") == "initial") & F.col("_open"))
+    rows = rows.withColumns({"_auto": auto, "old_cache": F.col("cache")})
+    rows = rows.withColumn("status", F.when(F.col("_auto"), "updated").otherwise(F.col("status")))
+    rows = apply_callbacks(rows, F.col("_auto"), as_of, vocab)
     return rows.select(*STATEMENT)
 
 

@@ -29,6 +29,7 @@ class Store:
         if unknown:
             raise ValueError(f"no such tables: {sorted(unknown)}")
         self._tables = tables
+        self._memo: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in self._tables:
@@ -40,7 +41,16 @@ class Store:
 
     def with_(self, **tables: DataFrame | Callable[[], DataFrame]) -> "Store":
         """The same store with some tables replaced."""
-        return Store(**{**self._tables, **tables})
+        other = Store(**{**self._tables, **tables})
+        if not {"properties", "rdfs_classes"} & set(tables):
+            other._memo = self._memo
+        return other
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A small frame derived from classes and properties, made once per store."""
+        if name not in self._memo:
+            self._memo[name] = make()
+        return self._memo[name]
 
 
 def typed(statements: DataFrame) -> DataFrame:
