@@ -9,7 +9,8 @@ from pagefacts.checks.registry import AS_OF, MIDDLE, query
 from pagefacts.functions import dates as D
 from pagefacts.operators import changes as J
 from pagefacts.operators import star as S
-from pagefacts.sources.driver_tables import driver_store, store_sql, table
+from pagefacts.sources import schemas
+from pagefacts.sources.driver_tables import driver_store, literal_rows, store_sql, table
 from pagefacts.vocab import DEFAULT
 
 _COLS = [c.strip() for c in OUT.split(",")]
@@ -346,9 +347,9 @@ def _list_store(spark, sf):
         F.lit(True).alias("selected_individual"), F.lit(False).alias("manual"),
     )
     labels = [(901, "Webpage URL List"), (902, "URI List"), (903, "RDF Class")]
-    props = spark.createDataFrame([(i, n, "", "", 1, "") for i, n in labels], store.properties.schema)
-    rule = spark.createDataFrame(
-        [(i, "", True, None, "", False, i, 0, n, False) for i, n in labels], store.sources.schema
+    props = literal_rows(spark, [(i, n, "", "", 1, "") for i, n in labels], schemas.PROPERTIES)
+    rule = literal_rows(
+        spark, [(i, "", True, None, "", False, i, 0, n, False) for i, n in labels], schemas.SOURCES
     )
     known = store.webpages.withColumn(
         "url",

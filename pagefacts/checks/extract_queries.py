@@ -11,7 +11,7 @@ from pagefacts.checks.registry import AS_OF, QUERIES, ORACLES, query
 from pagefacts.operators import extract as X
 from pagefacts.operators import legacy as Y
 from pagefacts.session import durable_dir
-from pagefacts.sources.driver_tables import captures, driver_store, sources, store_sql, table
+from pagefacts.sources.driver_tables import captures, driver_store, literal_rows, sources, store_sql, table
 from pagefacts.streaming import jobs as T
 from pagefacts.vocab import DEFAULT
 
@@ -29,7 +29,7 @@ RULES = [
 
 def _asked(spark, sf):
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("webpage_id"), "url", F.lit(0).alias("rule_set"))
-    rules = spark.createDataFrame([(0, i, a) for i, a in RULES], "rule_set int, source_id long, algorithm_value string")
+    rules = literal_rows(spark, [(0, i, a) for i, a in RULES], "rule_set int, source_id bigint, algorithm_value string")
     return pages, rules
 
 
@@ -72,7 +72,9 @@ def l15(spark, sf):
 def l10(spark, sf):
     """A rule that notes the title, goes to the page's own address again and reads its heading."""
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("webpage_id"), "url", F.lit(0).alias("rule_set"))
-    rules = spark.createDataFrame([(0, 1, "xpath=//title;url=$url;xpath=//h1")], "rule_set int, source_id long, algorithm_value string")
+    rules = literal_rows(
+        spark, [(0, 1, "xpath=//title;url=$url;xpath=//h1")], "rule_set int, source_id bigint, algorithm_value string"
+    )
     out = X.extract(pages, rules, captures(spark, sf))
     return out.select("webpage_id", "source_id", (F.size("values") == 2).alias("found"), F.size("trace").alias("steps"))
 

@@ -40,6 +40,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few fixed rows as a local relation. Unlike rows sent from Python its size is known
+    to the planner, so it is broadcast by the usual size check instead of making the large
+    side move by a column of few values."""
+
+    def literal(v) -> str:
+        if v is None:
+            return "null"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(v).lower() if isinstance(v, bool) else str(v)
+
+    fields = [f.split() for f in schema.split(", ")]
+    values = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in rows)
+    casts = ", ".join(f"cast({name} as {kind}) as {name}" for name, kind in fields)
+    return spark.sql(f"select {casts} from values {values} as t({', '.join(name for name, _ in fields)})")
+
+
 def _kg_uri(key: str) -> str:
     return f"concat('{DEFAULT.kg_base}', if(({key}) % 2 = 0, 'K', 'S'), cast({key} as string))"
 
@@ -207,13 +225,13 @@ def driver_store(spark: SparkSession, sf_dir: str, with_cache: bool = True) -> S
     queries that never read them."""
     return Store(
         websites=lambda: websites(spark, sf_dir),
-        rdfs_classes=lambda: spark.createDataFrame(CLASSES, schemas.RDFS_CLASSES),
-        properties=lambda: spark.createDataFrame(PROPERTIES, schemas.PROPERTIES),
+        rdfs_classes=lambda: literal_rows(spark, CLASSES, schemas.RDFS_CLASSES),
+        properties=lambda: literal_rows(spark, PROPERTIES, schemas.PROPERTIES),
         sources=lambda: sources(spark, sf_dir),
         webpages=lambda: webpages(spark, sf_dir),
         statements=lambda: statements(spark, sf_dir, with_cache),
         search_exceptions=lambda: _exceptions(spark, sf_dir),
-        jsonld_outputs=lambda: spark.createDataFrame(OUTPUTS, schemas.JSONLD_OUTPUTS),
+        jsonld_outputs=lambda: literal_rows(spark, OUTPUTS, schemas.JSONLD_OUTPUTS),
         messages=lambda: _messages(spark, sf_dir),
     )
 
