@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagefacts.llm.licenses import TEMPLATES, THRESHOLD, bigrams
 from pagefacts.llm.quality_rules import ERROR, MAX_REPEAT_PERCENT, MIN_WORDS, RISK, RULES
 
 ORACLES: dict[str, str] = {}
@@ -64,3 +65,21 @@ words AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i
 items AS (SELECT k, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT k, item_id::VARCHAR AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY k)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)"""
+
+
+def _licenses() -> str:
+    rows = ", ".join(
+        "('{}', [{}])".format(name, ", ".join(f"'{g}'" for g in bigrams(text))) for name, text in sorted(TEMPLATES.items())
+    )
+    return rf"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT DISTINCT k, u FROM (SELECT k, unnest(list_concat([t], string_split(t, chr(10)), string_split(regexp_replace(t, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), chr(1)))) AS u FROM d)),
+w AS (SELECT k, u, regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS ws FROM u),
+g AS (SELECT k, u, list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS g FROM w WHERE len(ws) > 1),
+x(id, b) AS (VALUES {rows}),
+m AS (SELECT k, u, id, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, x WHERE len(g) < 200),
+best AS (SELECT k, u, max(dice) AS dice, min(id) FILTER (f) AS id FROM (SELECT *, dice = max(dice) OVER (PARTITION BY k, u) AS f FROM m WHERE dice >= {THRESHOLD!r}) GROUP BY 1, 2),
+doc AS (SELECT k, max(dice) AS dice, min(id) FILTER (f) AS license, count(*) AS n_units FROM (SELECT *, dice = max(dice) OVER (PARTITION BY k) AS f FROM best) GROUP BY 1)
+SELECT doc_id, license, dice, coalesce(n_units, 0) AS n_units FROM d LEFT JOIN doc USING (k)"""
+
+
+ORACLES["op2_license_scan"] = _licenses()

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagefacts.llm import decontaminate, line_dedup, packing, quality_rules, token_counts
-from pagefacts.llm.common import table
+from pagefacts.llm import decontaminate, language_id, licenses, line_dedup, packing, quality_rules, token_counts, warc
+from pagefacts.llm.common import crc_mod, table
 from pagefacts.llm.oracles import ORACLES
+from pagefacts.session import durable_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,6 +22,24 @@ def query(fn):
     return fn
 
 
+@query
+def op2_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{durable_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(pages, folder)
+    found = warc.records(warc.read_chunks(spark, folder, with_data=False))
+    kind = pages.schema["page_id"].dataType
+    return found.select(
+        F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
 @query
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -41,6 +61,17 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = language_id.fit(docs, ~held_out)
+    named = language_id.identify(docs.select("doc_id", "text"), model)
+    return named.select("row.doc_id", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans")).withColumn(
+        "held_out", held_out
+    )
+
+
 @query
 def op10_decontamination(spark, sf_dir):
     out = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
