@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagefacts.llm import decontaminate, language_id, licenses, line_dedup, packing, quality_rules, token_counts, warc
+from pagefacts.llm import decontaminate, language_id, licenses, line_dedup, ngram_join, packing, quality_rules, token_counts, warc
 from pagefacts.llm.common import crc_mod, table
 from pagefacts.llm.oracles import ORACLES
 from pagefacts.session import durable_dir
@@ -22,6 +22,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.link_counts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
