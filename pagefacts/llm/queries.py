@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagefacts.llm import decontaminate, language_id, licenses, line_dedup, ngram_join, packing, quality_rules, token_counts, warc
+from pagefacts.llm import decontaminate, katz, language_id, licenses, line_dedup, ngram_join, packing, quality_rules, token_counts, warc
 from pagefacts.llm.common import crc_mod, table
 from pagefacts.llm.oracles import ORACLES
 from pagefacts.session import durable_dir
@@ -77,6 +77,13 @@ def op8_language_id(spark, sf_dir):
     )
 
 
+@query
+def op9_katz_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 7) == 2
+    return katz.score(docs, katz.fit(docs, ~held_out)).withColumn("held_out", held_out)
+
+
 @query
 def op10_decontamination(spark, sf_dir):
     out = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
