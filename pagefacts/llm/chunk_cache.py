@@ -9,7 +9,7 @@ from collections.abc import Callable
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Entries of one generation of a worker's cache, and the longest chunk that is kept (characters).
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
 KEPT_CHUNK = 128
 
 #: Texts that are cut into chunks at a time.
@@ -34,11 +34,11 @@ class ChunkCache:
 
     What is missing in a group of texts is encoded in one call. A full generation becomes the
     older one and what is still used moves on from there, so memory stays bounded and frequent
-    chunks stay known.
+    chunks stay known. ``split`` may name smaller chunks whose values add up to a chunk's value.
     """
 
-    def __init__(self, source: str, value: Callable, fixed: dict | None = None):
-        self.tokenizer, self.value, self.fixed = load_tokenizer(source), value, fixed or {}
+    def __init__(self, source: str, value: Callable, fixed: dict | None = None, split: Callable | None = None):
+        self.tokenizer, self.value, self.fixed, self.split = load_tokenizer(source), value, fixed or {}, split
         self.young, self.old, self.passing = dict(self.fixed), {}, []
 
     def covering(self, chunks: list[list[str]]) -> Callable:
@@ -47,26 +47,36 @@ class ChunkCache:
             self.young.pop(chunk, None)
         if len(self.young) > CACHE_ENTRIES + len(self.fixed):
             self.old, self.young = self.young, dict(self.fixed)
-        missing = set().union(*chunks).difference(self.young)
-        fresh = []
-        for chunk in missing:
+        fresh, composed = set(), []
+        for chunk in set().union(*chunks).difference(self.young):
             if (known := self.old.get(chunk)) is not None:
                 self.young[chunk] = known
+            elif self.split and (parts := self.split(chunk)):
+                composed.append((chunk, parts))
+                fresh.update(p for p in parts if p not in self.young)
             else:
-                fresh.append(chunk)
-        self.passing = [c for c in fresh if len(c) > KEPT_CHUNK]
-        for chunk, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
+                fresh.add(chunk)
+        encoded = list(fresh)
+        self.passing = [c for c in encoded if len(c) > KEPT_CHUNK]
+        for chunk, e in zip(encoded, self.tokenizer.encode_batch(encoded, add_special_tokens=False), strict=True):
             self.young[chunk] = self.value(e.ids)
+        for chunk, parts in composed:
+            first, *rest = (self.young[p] for p in parts)
+            for value in rest:
+                first = first + value
+            self.young[chunk] = first
+            if len(chunk) > KEPT_CHUNK:
+                self.passing.append(chunk)
         return self.young.__getitem__
 
 
 _kept: dict = {}
 
 
-def worker_cache(name: str, source: str, value: Callable, fixed: dict | None = None) -> ChunkCache:
+def worker_cache(name: str, source: str, value: Callable, fixed: dict | None = None, split: Callable | None = None) -> ChunkCache:
     """The cache of this worker process for a tokenizer; it outlives a task where workers are reused."""
     key = (name, hash(source), id(fixed) if fixed else 0)
     if key not in _kept:
         _kept.clear()
-        _kept[key] = ChunkCache(source, value, fixed)
+        _kept[key] = ChunkCache(source, value, fixed, split)
     return _kept[key]

@@ -41,6 +41,22 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!]*)")
+
+
+def plain_parts(chunk: str) -> list[str] | None:
+    """A plain word in lower case and the marks after it, where a chunk is more than that.
+
+    The tokenizer lower-cases, and parts letters from marks before it merges anything; the letters
+    meant here are single code points that no mark combines with.
+    """
+    found = _PLAIN.fullmatch(chunk)
+    if not found:
+        return None
+    parts = [p for p in (found[1].lower(), found[2]) if p]
+    return parts if parts != [chunk] else None
+
+
 class OpenBins:
     """Bins with room, keyed by free space in a bitset."""
 
@@ -103,7 +119,7 @@ _PIECES = "id {}, piece int, start long, length long, ids_crc32 long, sequence_i
 
 def _pack_texts(source, capacity: int, limit: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache("ids", source.value, _packed)
+        cache = worker_cache("ids", source.value, _packed, split=plain_parts)
         end = _packed([end_id])
         base = TaskContext.get().partitionId() << 40
         pieces: dict[int, tuple] = {}
