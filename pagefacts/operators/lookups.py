@@ -185,15 +185,20 @@ def places(store: Store, seedurl: str | None = None) -> DataFrame:
 
 
 def source_report(
-    store: Store, source_id: int | None, start: str | None, end: str | None, as_of: str, ordered: bool = True
+    store: Store, source_id: int | None, start: str | None, end: str | None, as_of: str, ordered: bool = True,
+    titles_in_range: bool = True,
 ) -> DataFrame:
-    """Statements of a rule in an archive range with the event's title and date."""
+    """Statements of a rule in an archive range with the event's title and date.
+
+    Titles are looked up for the pages of the same range, so none is missing; with
+    ``titles_in_range=False`` all pages are asked.
+    """
     rows = star(store).filter(timespan("archive_date", start, end, as_of, months=18))
     if source_id is not None:
         rows = rows.filter(F.col("source_id") == source_id)
     title_rules = rules(store).filter("label = 'Title' and selected").select("source_id", F.col("rule_website_id").alias("website_id"))
-    near = F.expr(f"archive_date between timestamp_ntz'{as_of}' - interval 10 years and timestamp_ntz'{as_of}' + interval 10 years")
-    near_pages = store.webpages.filter(near).select(F.col("id").alias("webpage_id"), "website_id")
+    pages = store.webpages.filter(timespan("archive_date", start, end, as_of, months=18)) if titles_in_range else store.webpages
+    near_pages = pages.select(F.col("id").alias("webpage_id"), "website_id")
     titles = (
         store.statements.join(title_rules, "source_id")
         .join(near_pages, ["webpage_id", "website_id"])

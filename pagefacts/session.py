@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -52,13 +54,20 @@ _private: dict[str, str] = {}
 
 
 def durable_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is named."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only where driver and executors are one process, in local mode, an unset one may be a
+    private folder, which goes when the process ends; anywhere else it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _private:
         _private[app] = tempfile.mkdtemp(prefix="pagefacts-")
+        atexit.register(shutil.rmtree, _private[app], ignore_errors=True)
     return _private[app]
 
 

@@ -29,14 +29,15 @@ def write_export(docs: DataFrame, root: str, as_of: str, group: str = "pagefacts
     return path
 
 
-def list_exports(spark: SparkSession, root: str, seedurl: str | None = None, limit: int = 1000, group: str = "pagefacts") -> DataFrame:
-    """Exports by site and day (at most 1000, as the listing shows)."""
+def list_exports(spark: SparkSession, root: str, seedurl: str | None = None, limit: int | None = None, group: str = "pagefacts") -> DataFrame:
+    """Exports by site and day; all of them, or the first ``limit`` that a listing shows."""
     rows = spark.read.text(f"{root.rstrip('/')}/{group}").select(
         F.col("artifact").cast("string").alias("artifact"), F.col("version").cast("string").alias("version")
     )
     if seedurl is not None:
         rows = rows.filter(F.col("artifact") == seedurl)
-    return rows.distinct().orderBy("artifact", "version").limit(limit)
+    listed = rows.distinct().orderBy("artifact", "version")
+    return listed if limit is None else listed.limit(limit)
 
 
 # Keys of the title, dates and place per language.
