@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefacts.operators.graph import triples
-from pagefacts.plans.skew import GROUP_LIMIT, split_hot
-from pagefacts.vocab import RDF_TYPE, SCHEMA
+from pagefacts.plans.skew import split_hot
+from pagefacts.vocab import DEFAULT, RDF_TYPE, SCHEMA, Vocabulary
 
 # one value in expanded form, and in the short form used under a vocabulary context
 _FULL_VALUE = """case when o_kind = 'literal' then to_json(named_struct('@language', nullif(lang, ''), '@type', nullif(datatype, ''), '@value', o))
@@ -20,14 +20,15 @@ _SHORT_VALUE = f"""case when o_kind = 'literal' and lang = '' and datatype = ''
   else to_json(named_struct('@id', o)) end"""
 
 
-def to_jsonld(graph: DataFrame, keys: tuple[str, ...] = (), limit: int = GROUP_LIMIT) -> DataFrame:
+def to_jsonld(graph: DataFrame, keys: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
     """One JSON object per subject, with arrays per predicate.
 
-    A subject with more than ``limit`` values is written as several objects with the
+    A subject is one object whatever its size. A line format with a fixed line length may
+    ask for ``limit`` values an object; a larger subject is then several objects with the
     same ``@id``, which means the same in JSON-LD.
     """
     rows = triples(graph).select(*keys, "s", "p", "o", "o_kind", "lang", "datatype").distinct()
-    parts = split_hot(rows, [*keys, "s"], limit)
+    parts = rows.withColumn("part", F.lit(0)) if limit is None else split_hot(rows, [*keys, "s"], limit)
     entries = parts.selectExpr(
         *keys,
         "s",
@@ -43,11 +44,13 @@ def to_jsonld(graph: DataFrame, keys: tuple[str, ...] = (), limit: int = GROUP_L
 
 @dataclass(frozen=True)
 class Child:
-    """How one linked object is shown: allowed classes, listed properties (none = all)."""
+    """How one linked object is shown: allowed classes, listed properties, and whether others
+    are left out. A listed property that the object lacks is null; an address may be absent."""
 
     prop: str
     types: tuple[str, ...]
-    props: tuple[str, ...] | None = None
+    props: tuple[str, ...]
+    only_listed: bool = True
     address: bool = False
 
 
@@ -59,8 +62,8 @@ EVENT_PROPS = (
 EVENT_CHILDREN = (
     Child("location", ("Place", "VirtualLocation"), ("name", "url", "sameAs"), address=True),
     Child("performer", ("Organization", "Person"), ("name", "sameAs", "url", "alternateName")),
-    Child("mainEntityOfPage", ("WebPage",)),
-    Child("offers", ("Offer",)),
+    Child("mainEntityOfPage", ("WebPage",), ("url", "inLanguage", "lastReviewed"), only_listed=False),
+    Child("offers", ("Offer",), ("url",), only_listed=False),
     Child("organizer", ("Organization", "Person"), ("name", "sameAs", "url", "alternateName"), address=True),
 )
 ID_PROPS = ("additionalType", "sameAs", "eventAttendanceMode", "eventStatus")
@@ -103,7 +106,7 @@ def _children(facts: DataFrame, parents: DataFrame, specs: tuple[Child, ...], ad
     for c in specs:
         is_prop = F.col("prop") == c.prop
         fits = F.when(is_prop, F.col("v").isin(*[f'"{t}"' for t in c.types])).otherwise(fits)
-        shown = F.lit(True) if c.props is None else F.col("k").isin("@type", *c.props)
+        shown = F.col("k").isin("@type", *c.props) if c.only_listed else F.lit(True)
         listed = F.when(is_prop, shown).otherwise(listed)
         own_address = F.when(is_prop, F.lit(c.address)).otherwise(own_address)
     typed = (
@@ -120,22 +123,33 @@ def _children(facts: DataFrame, parents: DataFrame, specs: tuple[Child, ...], ad
         "graph_id", "parent", "prop", "s", F.lit("@id").alias("k"), F.expr(_TEXT.format(c="s")).alias("v")
     )
     keys = ["graph_id", "parent", "prop", "s"]
+    expected = F.array().cast("array<string>")
+    for c in specs:
+        expected = F.when(F.col("prop") == c.prop, F.array(*[F.lit(p) for p in c.props])).otherwise(expected)
     docs = (
-        split_hot(rows.unionByName(head), keys, sized_by=facts.select("graph_id", "s"))
-        .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(_entry(F.col("k"), "v"))).alias("es"))
+        rows.unionByName(head)
+        .groupBy(*keys)
+        .agg(F.collect_list(_entry(F.col("k"), "v")).alias("es"))
+        .withColumn("expected", expected)
+        .withColumn("es", F.expr(_FILLED))
     )
     return docs.selectExpr("graph_id", "parent as s", "prop as k", f"{_object('es')} as v")
 
 
+# the entries in order, with null for the expected names that have none
+_FILLED = """array_sort(concat(es, transform(array_except(expected, transform(es, e -> e.k)),
+  n -> named_struct('k', n, 'v', 'null'))))"""
+
+
 def frame(
-    graph: DataFrame, main: DataFrame | None = None, keep_id: bool = False, own_frames: DataFrame | None = None
+    graph: DataFrame, main: DataFrame | None = None, keep_id: bool = False, own_frames: DataFrame | None = None,
+    vocab: Vocabulary = DEFAULT,
 ) -> DataFrame:
-    """One document per graph about its main subject.
+    """One document per graph about its main subject, whatever its size.
 
     Events show the listed properties and linked objects (missing ones as null);
-    places show everything with their address; other classes list all nodes of the
-    graph. ``own_frames`` (graph_id, frame) narrows a document to the top-level names of
+    places show everything with their address; other classes show the one node of their
+    graph, or list all of them. ``own_frames`` (graph_id, frame) narrows a document to the top-level names of
     its frame. The top-level ``@id`` is left out unless ``keep_id``.
     """
     facts = _short(triples(graph))
@@ -166,8 +180,8 @@ def frame(
         place.select("graph_id", "s", "cls").distinct().join(addresses, ["graph_id", "s"]).select(columns)
     )
     other = main.filter("cls not in ('Event', 'Place')").join(
-        to_node_texts(facts), "graph_id"
-    ).select("graph_id", "cls", F.lit("@graph").alias("k"), F.col("node").alias("v"))
+        plain_nodes(facts, keep_id, vocab), "graph_id"
+    ).select("graph_id", "cls", "k", "v")
     rows = plain.unionByName(children.select(columns)).unionByName(place_rows).unionByName(other)
     if keep_id:
         rows = rows.unionByName(
@@ -176,17 +190,9 @@ def frame(
             )
         )
     expected = "array(" + ",".join(f"'{p}'" for p in (*EVENT_PROPS, *(c.prop for c in EVENT_CHILDREN))) + ")"
-    docs = (
-        split_hot(rows, ["graph_id", "cls"], sized_by=facts.select("graph_id"))
-        .groupBy("graph_id", "cls", "part")
-        .agg(F.array_sort(F.collect_list(_entry(F.col("k"), "v"))).alias("es"))
-    )
-    # part 0 of an event names the listed properties it lacks
-    filled = docs.withColumn(
-        "es",
-        F.expr(f"""if(cls = 'Event' and part = 0, array_sort(concat(es, transform(array_except({expected},
-          transform(es, e -> e.k)), n -> named_struct('k', n, 'v', 'null')))), es)"""),
-    )
+    docs = rows.groupBy("graph_id", "cls").agg(F.collect_list(_entry(F.col("k"), "v")).alias("es"))
+    wanted = f"if(cls = 'Event', {expected}, array())"
+    filled = docs.withColumn("expected", F.expr(wanted)).withColumn("es", F.expr(_FILLED))
     if own_frames is not None:
         filled = filled.join(own_frames.select("graph_id", "frame"), "graph_id", "left").withColumn(
             "es",
@@ -194,17 +200,31 @@ def frame(
               array_contains(json_object_keys(frame), e.k)))"""),
         )
     return filled.selectExpr(
-        "graph_id", "cls", "part", f"""concat('{{{CONTEXT}', ',', substr({_object('es')}, 2)) as json"""
+        "graph_id", "cls", f"""concat('{{{CONTEXT}', ',', substr({_object('es')}, 2)) as json"""
     )
 
 
-def to_node_texts(facts: DataFrame) -> DataFrame:
-    """(graph_id, node): every node of a graph as a short object."""
+def plain_nodes(facts: DataFrame, keep_id: bool = False, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """(graph_id, k, v): the entries of a graph without a layout of its own.
+
+    A single node stands at the top; several are the list ``@graph``. In published markup
+    the top has no id, and in the list neither have nodes of the knowledge graph, nor an
+    only offer of a node.
+    """
     ids = facts.select("graph_id", "s").distinct().selectExpr("graph_id", "s", "'@id' as k", f"{_TEXT.format(c='s')} as v")
-    rows = facts.select("graph_id", "s", "k", "v").unionByName(ids)
-    grouped = (
-        split_hot(rows, ["graph_id", "s"], sized_by=facts.select("graph_id", "s"))
-        .groupBy("graph_id", "s", "part")
+    nodes = (
+        facts.select("graph_id", "s", "k", "v").unionByName(ids)
+        .groupBy("graph_id", "s")
         .agg(F.array_sort(F.collect_list(_entry(F.col("k"), "v"))).alias("es"))
     )
-    return grouped.selectExpr("graph_id", f"{_object('es')} as node")
+    graphs = nodes.groupBy("graph_id").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("s", "es"))).alias("nodes")
+    )
+    hidden = "false" if keep_id else " or ".join(f"contains(g.s, '{base}')" for base in (vocab.kg_base, vocab.mint_base))
+    offer = "size(filter(g.es, x -> x.k = 'offers')) = 1 and e.k = 'offers'"
+    cleaned = f"""transform(filter(g.es, e -> e.k <> '@id' or not ({hidden})),
+      e -> if({"false" if keep_id else offer}, named_struct('k', e.k, 'v', '{{}}'), e))"""
+    listed = f"""array(named_struct('k', '@graph', 'v', concat('[', array_join(transform(nodes, g -> {_object(cleaned)}), ','), ']')))"""
+    single = "nodes[0].es" if keep_id else "filter(nodes[0].es, e -> e.k <> '@id')"
+    entries = graphs.selectExpr("graph_id", f"explode(if(n = 1, {single}, {listed})) as e")
+    return entries.select("graph_id", "e.k", "e.v")

@@ -99,17 +99,18 @@ def page_markup(store: Store, kg: DataFrame, vocab: Vocabulary = DEFAULT) -> Dat
     # the frame looks for the main subject under the graph id
     main_rows = plain.withColumn("s", F.when(F.col("s") == F.col("main_id"), F.col("graph_id")).otherwise(F.col("s")))
     framed = page.withColumn("graph_id", F.concat("graph_id", F.lit("|"), "language"))
-    docs = D.frame(main_rows.drop("main_id"))
+    docs = D.frame(main_rows.drop("main_id"), vocab=vocab)
     own = framed.filter("frame is not null")
     own_docs = D.frame(
         main_rows.drop("main_id").join(own.select("graph_id").distinct(), "graph_id", "left_semi"),
         own_frames=own.select("graph_id", "frame").distinct(),
+        vocab=vocab,
     )
     documents = (
         framed.filter("frame is null").join(docs, "graph_id").unionByName(own.join(own_docs, "graph_id"))
-    ).select("webpage_id", "part", F.col("json").alias("markup"))
+    ).select("webpage_id", F.col("json").alias("markup"))
     return decisions.select("webpage_id", "url", "decision", "message").join(documents, "webpage_id", "left").select(
-        "webpage_id", "url", "decision", "part",
+        "webpage_id", "url", "decision",
         F.coalesce(
             "markup",
             F.when(F.col("message").isNotNull(), F.to_json(F.struct("message"))),

@@ -231,3 +231,33 @@ def test_frame_event(spark):
     assert doc["performer"] is None and doc["duration"] is None and len(doc["startDate"]) == 2
     own = spark.createDataFrame([(U, '{"@explicit":true,"name":{}}')], "graph_id string, frame string")
     assert set(json.loads(J.frame(G.drop_annotations(g), own_frames=own).first().json)) == {"@context", "@type", "name"}
+
+
+def test_size_does_not_change_a_document(spark):
+    many = [text(f"http://x/{i}", "name", f"n{i}") for i in range(6000)]
+    small = BASE + STARTS
+    docs = [json.loads(r.json) for g in (small, small + many) for r in J.frame(G.drop_annotations(graph(spark, g))).collect()]
+    assert len(docs) == 2 and docs[0] == docs[1]
+    flat = J.to_jsonld(graph(spark, [text("http://x", "name", f"n{i}") for i in range(6000)])).collect()
+    assert len(flat) == 1 and len(json.loads(flat[0].json)[SCHEMA + "name"]) == 6000
+
+
+def test_listed_fields_of_linked_objects_are_null(spark):
+    g = graph(spark, BASE + [
+        uri(U, "location", "http://p"), uri("http://p", "type", "Place"), text("http://p", "name", "Hall"),
+        uri(U, "offers", "http://o"), uri("http://o", "type", "Offer"), text("http://o", "price", "5"),
+    ])
+    doc = json.loads(J.frame(G.drop_annotations(g)).first().json)
+    assert doc["location"] == {"@id": "http://p", "@type": "Place", "name": "Hall", "sameAs": None, "url": None}
+    assert doc["offers"]["url"] is None and doc["offers"]["price"] == "5"
+
+
+def test_documents_of_other_classes(spark):
+    org = [uri(U, "type", "Organization"), text(U, "name", "Choir")]
+    doc = json.loads(J.frame(graph(spark, org)).first().json)
+    assert doc == {"@context": {"@vocab": "http://schema.org/"}, "@type": "Organization", "name": "Choir"}
+    more = org + [text("http://kg.example.org/resource/K2", "name", "Part"), text("http://else", "name", "Other"), uri("http://else", "offers", "http://o")]
+    doc = json.loads(J.frame(graph(spark, more)).first().json)
+    ids = [n.get("@id") for n in doc["@graph"]]
+    assert len(ids) == 3 and ids.count("http://else") == 1 and "http://kg.example.org/resource/K2" not in ids
+    assert [n["offers"] for n in doc["@graph"] if "offers" in n] == [{}]
