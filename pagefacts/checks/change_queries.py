@@ -36,9 +36,17 @@ missing_rows AS (
 """
 
 
-@query("c18_property_closure", store_sql("SELECT root_class, property_id FROM closure WHERE property_id IN (SELECT property_id FROM sources) OR true", CLOSURE_SQL))
+@query(
+    "c18_property_closure",
+    store_sql("SELECT root_class, property_id, count(s.id) AS n_rules FROM closure LEFT JOIN sources s USING (property_id) GROUP BY ALL", CLOSURE_SQL),
+)
 def c18(spark, sf):
-    return J.property_closure(driver_store(spark, sf))
+    """The closure with the number of rules that the sites have for each of its properties."""
+    store = driver_store(spark, sf)
+    rules = store.sources.select("property_id", F.col("id").alias("source_id"))
+    return J.property_closure(store).join(rules, "property_id", "left").groupBy("root_class", "property_id").agg(
+        F.count("source_id").alias("n_rules")
+    )
 
 
 @query("c13_scaffold", store_sql(f"SELECT source_id, webpage_id, selected_individual, manual, 'initial' AS status, '{DEFAULT.origin_create}' AS status_origin FROM missing_rows", CLOSURE_SQL, SCAFFOLD_SQL))
@@ -204,23 +212,25 @@ tag AS (SELECT so.*, p.chosen FROM sources so LEFT JOIN pick p USING (website_id
 def j10_sources(spark, sf):
     store = _overridden(spark, sf)
     chosen = store.statements.filter("webpage_id % 40 = 0 and source_id % 10 <> 1").select(F.col("id").alias("statement_id"))
-    return J.activate_sources(store, chosen)[0].select("id", "selected")
+    return J.activate_sources(store, chosen, AS_OF)[0].select("id", "selected")
 
 
 @query(
     "j10_activated_statements",
-    store_sql("""SELECT q.statement_id AS id, CASE WHEN o.n IS NULL THEN q.one ELSE q.pick AND o.n = 1 END AS selected_individual FROM passed q
-LEFT JOIN (SELECT webpage_id, website_id, property_id, language, count(*) AS n FROM passed WHERE pick GROUP BY ALL) o
-  ON o.webpage_id = q.webpage_id AND o.website_id = q.website_id AND o.property_id = q.property_id AND o.language = q.language""", _ACTIVATE, """
+    store_sql(f"SELECT id, {OUT} FROM after", _ACTIVATE, """
 passed AS (SELECT *, chosen IS NOT NULL AND source_id <> chosen AND one AS pick FROM (
-  SELECT s.statement_id, s.webpage_id, s.source_id, t.website_id, t.property_id, t.language, t.chosen,
+  SELECT s.*, t.website_id AS t_website, t.property_id AS t_property, t.language AS t_language, t.chosen,
     CASE WHEN t.chosen IS NULL THEN s.si WHEN s.source_id = t.chosen THEN true WHEN t.selected THEN false ELSE s.si END AS one
-  FROM st2 s JOIN tag t ON t.id = s.source_id))"""),
+  FROM st2 s JOIN tag t ON t.id = s.source_id)),
+act AS (SELECT q.statement_id AS id, cache, cache AS old_cache, label, value_datatype, status, status_origin, cache_refreshed, cache_changed, source_id, q.webpage_id, manual,
+  CASE WHEN o.n IS NULL THEN q.one ELSE q.pick AND o.n = 1 END AS selected_individual, o.n IS NOT NULL AND NOT (q.pick AND o.n = 1) AS saved FROM passed q
+LEFT JOIN (SELECT webpage_id, t_website, t_property, t_language, count(*) AS n FROM passed WHERE pick GROUP BY ALL) o
+  ON o.webpage_id = q.webpage_id AND o.t_website = q.t_website AND o.t_property = q.t_property AND o.t_language = q.t_language)""", callbacks("act", "after", AS_OF)),
 )
 def j10_statements(spark, sf):
-    store = _overridden(spark, sf)
+    store = _overridden(spark, sf, True)
     chosen = store.statements.filter("webpage_id % 40 = 0 and source_id % 10 <> 1").select(F.col("id").alias("statement_id"))
-    return J.activate_sources(store, chosen)[1].select("id", "selected_individual")
+    return J.activate_sources(store, chosen, AS_OF)[1].select(_ID_COLS)
 
 
 _INDIVIDUAL = """
@@ -428,7 +438,7 @@ def d13(spark, sf):
 
 @query(
     "d13_tidy_messages",
-    "SELECT props AS message, 'user ' || user_id AS artifact, ts AS created_at FROM events WHERE event_type = 'signup' AND ts >= TIMESTAMP '2024-01-15'",
+    "SELECT props AS message, 'user ' || user_id AS artifact, ts AS created_at FROM events WHERE ts >= TIMESTAMP '2024-01-15'",
 )
 def d13_messages(spark, sf):
     return J.tidy(driver_store(spark, sf, False), "2024-02-15 09:00:00").messages

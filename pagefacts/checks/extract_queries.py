@@ -180,7 +180,7 @@ assert "j1_refresh" in QUERIES
 
 @query(
     "k2_message_stream",
-    "SELECT props AS message, 'user ' || user_id AS artifact, ts AS created_at FROM events WHERE event_type = 'signup'",
+    "SELECT props AS message, 'user ' || user_id AS artifact, ts AS created_at FROM events",
 )
 def k2(spark, sf):
     root = f"{durable_dir(spark)}/messages-{uuid.uuid4().hex}"
@@ -191,7 +191,7 @@ def k2(spark, sf):
 
 @query(
     "a7_messages",
-    "SELECT props AS message, 'user ' || user_id AS artifact, ts AS created_at FROM events WHERE event_type = 'signup'",
+    "SELECT props AS message, 'user ' || user_id AS artifact, ts AS created_at FROM events",
 )
 def a7(spark, sf):
     return T.messages(driver_store(spark, sf, False))

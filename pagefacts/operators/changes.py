@@ -162,10 +162,9 @@ def property_closure(store: Store) -> DataFrame:
     """All properties per class, following nested classes.
 
     A recursive query over two small dimensions; a class already on the path is not
-    entered again, so cycles end. Its few rows are written once per store, as several
-    steps of a refresh ask for them.
+    entered again, so cycles end.
     """
-    return store.once("closure", lambda: cut_lineage(_closure(store), "closure"))
+    return store.once("closure", lambda: _closure(store))
 
 
 def _closure(store: Store) -> DataFrame:
@@ -345,12 +344,15 @@ def apply_link_edits(
     return apply_edits(store, changed.withColumn("manual", F.lit(None).cast("boolean")), as_of, vocab)
 
 
-def activate_sources(store: Store, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+def activate_sources(
+    store: Store, chosen: DataFrame, as_of: str, vocab: Vocabulary = DEFAULT
+) -> tuple[DataFrame, DataFrame]:
     """Make the rules of the given statements the selected ones.
 
     Returns the next sources and statements. Rules of the same site, property and
     language are switched off with their statements; a page where a reviewer picked a
-    statement of another rule keeps that choice (two such picks cancel each other).
+    statement of another rule keeps that choice (two such picks cancel each other). The
+    statements beside a pick are switched off one by one, so the save callbacks run on them.
     """
     group = ["website_id", "property_id", "language"]
     src = store.sources
@@ -396,7 +398,15 @@ def activate_sources(store: Store, chosen: DataFrame) -> tuple[DataFrame, DataFr
     final = F.when(F.col("_picks").isNull(), F.col("selected_individual")).otherwise(
         F.col("_override") & (F.col("_picks") == 1)
     )
-    return next_sources, rows.withColumn("selected_individual", final).select(*STATEMENT)
+    switched_off = F.col("_picks").isNotNull() & ~_is(final)
+    labels = rules(store).select("source_id", "label", "value_datatype")
+    rows = (
+        rows.withColumn("_hit", switched_off)
+        .withColumn("selected_individual", final)
+        .withColumn("old_cache", F.col("cache"))
+        .join(labels, "source_id", "left")
+    )
+    return next_sources, apply_callbacks(rows, F.col("_hit"), as_of, vocab).select(*STATEMENT)
 
 
 def activate_individuals(
@@ -538,6 +548,12 @@ def delete_sites(store: Store, seedurls: DataFrame, events_only: bool = False) -
     )
 
 
+def property_label(name: str) -> Column:
+    """The label of a property by its name: startDate and start_date are both "Start Date"."""
+    words = F.regexp_replace(F.regexp_replace(name, r"([a-z\d])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    return F.initcap(F.regexp_replace(words, "[_ -]+", " "))
+
+
 def create_resources(store: Store, resources: DataFrame, named: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages and reviewed statements for hand-made resources.
 
@@ -562,7 +578,6 @@ def create_resources(store: Store, resources: DataFrame, named: DataFrame, as_of
             "class",
         )
     )
-    label = F.initcap(F.regexp_replace("name", "_", " "))
     rule = (
         rules(store)
         .groupBy("rule_website_id", "label", "rdfs_class_name", "rule_language")
@@ -571,7 +586,7 @@ def create_resources(store: Store, resources: DataFrame, named: DataFrame, as_of
     values = named.join(pages.select("rdf_uri", "website_id", "class", F.col("id").alias("webpage_id")), "rdf_uri").select(
         "webpage_id",
         F.col("website_id").alias("rule_website_id"),
-        label.alias("label"),
+        property_label("name").alias("label"),
         F.coalesce("rdfs_class_name", "class").alias("rdfs_class_name"),
         F.col("language").alias("rule_language"),
         "value",

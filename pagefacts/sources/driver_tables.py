@@ -212,7 +212,6 @@ def _exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "events")
-        .filter("event_type = 'signup'")
         .selectExpr("props as message", "concat('user ', user_id) as artifact", "ts as created_at")
     )
 

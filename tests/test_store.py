@@ -124,7 +124,7 @@ def test_activation(spark):
     store = make_store(spark, [
         (1, "A", "ok", 11, 1, True, False), (2, "B", "initial", 12, 1, False, False), (3, "C", "ok", 11, 2, False, False), (4, "D", "ok", 12, 2, True, False)])
     chosen = spark.createDataFrame([(2,)], "statement_id bigint")
-    sources, statements = J.activate_sources(store, chosen)
+    sources, statements = J.activate_sources(store, chosen, AS_OF)
     assert {r.id: r.selected for r in sources.collect() if r.id in (11, 12)} == {11: False, 12: True}
     assert {r.id: r.selected_individual for r in statements.collect()} == {1: False, 2: True, 3: False, 4: True}
     one = by_id(J.activate_individuals(store, chosen, AS_OF))
@@ -182,29 +182,29 @@ def test_reconcile(spark):
     assert json.loads(other.cache) == [["The Hall", "Place", ["The Hall", DEFAULT.kg_base + "hall"]], ["Else", "Place"]]
 
 
-PAGE = """<html><head><title>Show &amp; Tell</title><meta property="og:title" content="Inc"><meta content="IE=edge" http-equiv="X"></head>
-<body><h1>Big <b>Show</h1><div class="place x">Hall</div><ul><li>one<li class="k">two</ul><p id="d">Hi <b>there<br>you <script>x()</script></p>
-<a href="/a?x=1&amp;y=2">A</a><script type="application/ld+json">{"@type":"Event","image":{"url":"http://i"},"name":"N"}</script></body></html>"""
+PAGE = """<html><head><title>Kites &amp; Co</title><meta property="og:title" content="Kite"><meta content="none" http-equiv="K"></head>
+<body><h1>Long <b>Kites</h1><div class="shed x">Shed</div><ul><li>red<li class="k">blue</ul><p id="d">Up <b>and<br>off <script>x()</script></p>
+<a href="/k?n=3&amp;m=4">K</a><script type="application/ld+json">{"@type":"Event","image":{"url":"http://pic"},"name":"N"}</script></body></html>"""
 
 
 @pytest.mark.parametrize("rule, want", [
-    ("manual=Test", ["Test"]),
-    ("xpath=//title", ["Show & Tell"]),
-    ("if_xpath=//title;xpath=(//h1)[1]", ["Show & Tell", "Big Show"]),
-    ("if_xpath=//nothing;xpath=(//h1)[1]", []),
-    ("unless_xpath=//title;xpath=(//h1)[1]", []),
-    ("unless_xpath=//nothing;xpath=(//h1)[1]", ["Big Show"]),
-    ("xpath=//title;xpath=(//meta/@content)[1]", ["Show & Tell", "Inc"]),
-    ('xpath=//title;xpath=//meta[@property="og:title"]/@content;ruby=$array[0]+ " | " + $array[1]', ["Show & Tell | Inc"]),
-    ("css=ul li:nth-child(2)", ["two"]),
-    ("css=div.place", ["Hall"]),
-    ("xpath=//li[contains(@class,'k')] | //title", ["Show & Tell", "two"]),
-    ("xpath=//a/@href", ["/a?x=1&y=2"]),
-    ("xpath_sanitize=//p[@id='d']", ["<p>Hi there<br>you </p>"]),
-    ("sparql={?s a schema:Event. ?s schema:image/schema:url ?answer }", ["http://i"]),
-    ("manual=a b;ruby=$array.first.split(' ');ruby=$array.join('-');time_zone=X", ["a-b", "time_zone: X"]),
-    ("manual=1;manual=2;manual=3;manual=4;ruby=$array.each_slice(2).map { |a, b| a + 'T' + b }", ["1T2", "3T4"]),
-    ("manual=x1;manual=y;ruby=$array.select { |a| a =~ /\\d/ }", ["x1"]),
+    ("manual=Fixed words", ["Fixed words"]),
+    ("xpath=//title", ["Kites & Co"]),
+    ("if_xpath=//ul;xpath=(//h1)[1]", ["redblue", "Long Kites"]),
+    ("if_xpath=//table;xpath=(//h1)[1]", []),
+    ("unless_xpath=//ul;xpath=(//h1)[1]", []),
+    ("unless_xpath=//table;xpath=(//h1)[1]", ["Long Kites"]),
+    ("xpath=//title;xpath=(//meta/@content)[1]", ["Kites & Co", "Kite"]),
+    ('xpath=//h1;xpath=//meta[@property="og:title"]/@content;ruby=$array[0]+ " / " + $array[1]', ["Long Kites / Kite"]),
+    ("css=ul li:nth-child(2)", ["blue"]),
+    ("css=div.shed", ["Shed"]),
+    ("xpath=//li[contains(@class,'k')] | //title", ["Kites & Co", "blue"]),
+    ("xpath=//a/@href", ["/k?n=3&m=4"]),
+    ("xpath_sanitize=//p[@id='d']", ["<p>Up and<br>off </p>"]),
+    ("sparql={?s a schema:Event. ?s schema:image/schema:url ?answer }", ["http://pic"]),
+    ("manual=p q;ruby=$array.first.split(' ');ruby=$array.join('+');time_zone=Z", ["p+q", "time_zone: Z"]),
+    ("manual=5;manual=6;manual=7;manual=8;ruby=$array.each_slice(2).map { |a, b| a + ':' + b }", ["5:6", "7:8"]),
+    ("manual=k7;manual=k;ruby=$array.select { |a| a =~ /\\d/ }", ["k7"]),
 ])
 def test_rules(rule, want):
     done = X.run_rule(rule, X._Page(PAGE), "http://u", 0, [])
@@ -212,7 +212,7 @@ def test_rules(rule, want):
     assert [t["step"] for t in done["trace"]] == list(range(1, len(done["trace"]) + 1))
 
 
-@pytest.mark.parametrize("rule", ["//title", "ruby=$array.each {|a| a", "ruby=`ls`", "xpath=//a[foo()]", "json=$json['a']"])
+@pytest.mark.parametrize("rule", ["//title", "ruby=$array.cycle { |x| x", "ruby=`date`", "xpath=//p[bar()]", "json=$json['k']"])
 def test_rules_abort(rule):
     done = X.run_rule(rule, X._Page(PAGE), "http://u", 0, [])
     assert done["values"] == [] and done["error"] and done["trace"][-1]["error"]
@@ -220,7 +220,7 @@ def test_rules_abort(rule):
 
 def test_extract_in_bulk(spark, tmp_path):
     spark.createDataFrame(
-        [(1, "http://a/p#x", PAGE), (2, "http://a/p", PAGE), (3, "http://a/p.json", '{"date":{"end":"2021-04-10"}}'), (4, "http://b", "<title>B</title>")],
+        [(1, "http://a/p#x", PAGE), (2, "http://a/p", PAGE), (3, "http://a/p.json", '{"date":{"end":"2027-08-19"}}'), (4, "http://b", "<title>B</title>")],
         schemas.CAPTURES,
     ).write.parquet(str(tmp_path / "c"))
     captures = load_captures(spark, str(tmp_path / "c"))
@@ -231,21 +231,21 @@ def test_extract_in_bulk(spark, tmp_path):
         ("s", 3, 'xpath=//meta[@property="og:title"]/@content'), ("s", 4, "css=h1")], "rule_set string, source_id bigint, algorithm_value string")
     fast = {(r.webpage_id, r.source_id): r for r in X.extract(pages, rules, captures).collect()}
     slow = {(r.webpage_id, r.source_id): r for r in X.extract(pages, rules, captures, native=False).collect()}
-    assert fast[1, 2]["values"] == ["2021-04-10", "B"] and len(fast[1, 2].trace) == 4
+    assert fast[1, 2]["values"] == ["2027-08-19", "B"] and len(fast[1, 2].trace) == 4
     assert fast[2, 2].error_type == "MissingCapture" and fast[3, 4].error_type == "MissingCapture"
     assert fast.keys() == slow.keys()
     for key in fast:
         assert (fast[key]["values"], fast[key].error_type) == (slow[key]["values"], slow[key].error_type), key
-    assert slow[1, 1]["values"] == ["Show & Tell"] and slow[1, 3]["values"] == ["Inc"]
+    assert slow[1, 1]["values"] == ["Kites & Co"] and slow[1, 3]["values"] == ["Kite"]
     assert slow[3, 1].error_type == "MissingCapture"
 
 
 def test_refresh_pages_end_to_end(spark):
     store = make_store(spark, [(1, "Old", "ok", 11, 1, True, False), (2, "The Hall", "ok", 81, 3, True, False)])
-    html = "<title>New</title><time datetime='3 juillet 2019 - 20 h 30'></time><div class=place>the hall</div><b>12.5</b><i class=who>Duo X</i>"
+    html = "<title>New</title><time datetime='17 juillet 2033 - 8 h 05'></time><div class=place>the hall</div><b>12.5</b><i class=who>Duo X</i>"
     bodies = spark.createDataFrame([(1, "http://s.example/1", html), (2, "http://s.example/2", "<title>Queue-it</title>")], schemas.CAPTURES)
     out = {(r.source_id, r.webpage_id): r for r in refresh_pages(store, bodies, kg(spark, ("http://k/d", "Person", "duo x")), AS_OF).collect()}
-    assert out[11, 1].cache == "New" and out[21, 1].cache == "2019-07-03T20:30:00-04:00"
+    assert out[11, 1].cache == "New" and out[21, 1].cache == "2033-07-17T08:05:00-04:00"
     assert json.loads(out[31, 1].cache) == ["the hall", "Place", ["The Hall", DEFAULT.kg_base + "hall"]]
     assert json.loads(out[51, 1].cache) == ["Duo X", "Organization", ["duo x", "http://k/d"]]
     assert out[41, 1].cache == "12.5" and out[41, 1].status == "updated"
@@ -271,17 +271,17 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_legacy_offers_and_alignment(spark):
     one = spark.range(1)
-    offer = lambda p, u: one.select(Y.offer_struct(F.lit(p), F.lit(u), "2014-12-12 01:01:01").alias("o")).first().o
+    offer = lambda p, u: one.select(Y.offer_struct(F.lit(p), F.lit(u), "2017-06-05 07:08:09").alias("o")).first().o
     a = offer(None, "http://t")
-    assert (a.validFrom, a.availability, a.url, a.price) == ("2014-11-12", SCHEMA + "InStock", ["http://t"], None)
+    assert (a.validFrom, a.availability, a.url, a.price) == ("2017-05-05", SCHEMA + "InStock", ["http://t"], None)
     b = offer("12.5", '["http://1", "http://2"]')
     assert (b.price, b.priceCurrency, b.url) == ("12.5", "CAD", ["http://1", "http://2"])
     assert offer(None, '["Complet"]').availability == SCHEMA + "SoldOut"
     rows = spark.createDataFrame(
-        [(["2019-01-01T20:00", "2019-01-02T20:00"], ["p1", "p2"], ["d1"], None)],
+        [(["2026-03-04T18:00", "2026-03-05T18:00"], ["p1", "p2"], ["d1"], None)],
         "start_dates array<string>, places array<string>, durations array<string>, offer_urls array<string>")
     got = [(r.startDate, r.endDate, r.place, r.duration, r.offer_url) for r in Y.events_per_date(rows).collect()]
-    assert got == [("2019-01-01T20:00", "2019-01-01", "p1", "d1", None), ("2019-01-02T20:00", "2019-01-02", "p2", "d1", None)]
+    assert got == [("2026-03-04T18:00", "2026-03-04", "p1", "d1", None), ("2026-03-05T18:00", "2026-03-05", "p2", "d1", None)]
 
 
 def test_exports(spark, tmp_path):
@@ -293,3 +293,50 @@ def test_exports(spark, tmp_path):
     listed = [(r.artifact, r.version) for r in exports.list_exports(spark, root).collect()]
     assert listed == [("a", "2024-02-01"), ("a", "2024-02-02"), ("b", "2024-02-01")]
     assert spark.read.text(root + "/pagefacts").count() == 5
+
+
+def test_native_rules_read_what_is_shown(spark):
+    page = """<title>T</title><!-- <h1>old</h1> --><script>var x = "<title>no</title>";</script><h1>now</h1>
+<meta name="title" property="og:title" content="Both"><meta name="og:title" content="Named">"""
+    bodies = spark.createDataFrame([(1, "http://a/p", page)], schemas.CAPTURES)
+    pages = spark.createDataFrame([(1, "http://a/p", "s")], "webpage_id bigint, url string, rule_set string")
+    rules = spark.createDataFrame(
+        [("s", 1, "xpath=//title"), ("s", 2, "xpath=//h1"), ("s", 3, 'xpath=//meta[@property="og:title"]/@content'), ("s", 4, 'xpath=//meta[@name="title"]/@content')],
+        "rule_set string, source_id bigint, algorithm_value string",
+    )
+    got = {r.source_id: r["values"] for r in X.extract(pages, rules, bodies).collect()}
+    assert got == {1: ["T"], 2: ["now"], 3: ["Both"], 4: ["Both"]}
+
+
+def test_labels_of_new_values(spark):
+    label = spark.createDataFrame([("startDate",), ("start_date",), ("eventURLList",), ("name",)], "name string")
+    assert [r[0] for r in label.select(J.property_label("name")).collect()] == ["Start Date", "Start Date", "Event Url List", "Name"]
+
+
+def test_switched_off_statements_are_saved(spark):
+    """Beside a reviewer's pick the other statements go through a save: a hand-kept performer becomes manual."""
+    who = '["w","Organization",["w","http://w"]]'
+    store = make_store(spark, [(1, who, "ok", 51, 1, True, False), (2, who, "ok", 52, 1, True, False)])
+    rule = store.sources.filter("id = 51").withColumn("id", F.lit(52).cast("bigint")).withColumn("selected", F.lit(False))
+    chosen = spark.createDataFrame([(1,)], "statement_id bigint")
+    _, after = J.activate_sources(store.with_(sources=store.sources.unionByName(rule)), chosen, AS_OF)
+    rows = by_id(after)
+    assert not rows[1].selected_individual and rows[1].manual
+    assert rows[2].selected_individual and not rows[2].manual
+
+
+def test_durable_folder(spark):
+    from pagefacts.session import durable_dir
+
+    class Context:
+        applicationId, master = "app", "spark://host:7077"  # noqa: N815
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        durable_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared"}
+    assert durable_dir(Session()) == "hdfs://shared"
+    assert durable_dir(spark)
