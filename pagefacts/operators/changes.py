@@ -117,9 +117,18 @@ def apply_callbacks(
     )
 
 
-def scaffold(store: Store, as_of: str, vocab: Vocabulary = DEFAULT) -> DataFrame:
-    """Statements that pages should have and do not, as new rows without a value."""
-    page = store.webpages.join(
+def scaffold(store: Store, as_of: str, vocab: Vocabulary = DEFAULT, pairs: DataFrame | None = None) -> DataFrame:
+    """Statements that pages should have and do not, as new rows without a value.
+
+    With ``pairs`` (source_id, webpage_id) only these are considered: those that have a
+    statement go first, and rules are expanded for the pages that remain.
+    """
+    known = store.statements.select("source_id", "webpage_id")
+    pages = store.webpages
+    if pairs is not None:
+        pairs = pairs.select("source_id", "webpage_id").distinct().join(known, ["source_id", "webpage_id"], "left_anti")
+        pages = pages.join(pairs.select(F.col("webpage_id").alias("id")), "id", "left_semi")
+    page = pages.join(
         store.rdfs_classes.select(F.col("id").alias("rdfs_class_id"), F.col("name").alias("page_class")), "rdfs_class_id"
     ).join(
         store.websites.select(F.col("id").alias("website_id"), "default_language"), "website_id"
@@ -139,9 +148,10 @@ def scaffold(store: Store, as_of: str, vocab: Vocabulary = DEFAULT) -> DataFrame
         "algorithm_value",
     )
     due = page.join(site_rules, ["website_id", "page_class", "rule_language"])
-    fresh = due.join(
-        store.statements.select("source_id", "webpage_id"), ["source_id", "webpage_id"], "left_anti"
-    )
+    if pairs is None:
+        fresh = due.join(known, ["source_id", "webpage_id"], "left_anti")
+    else:
+        fresh = due.join(pairs, ["source_id", "webpage_id"], "left_semi")
     null = F.lit(None)
     return fresh.select(
         F.expr("xxhash64(source_id, webpage_id)").alias("id"),
@@ -197,9 +207,7 @@ def refresh(store: Store, formatted: DataFrame, as_of: str, vocab: Vocabulary =
     H14), ``is_blank`` (nothing was extracted) and ``error``. New statements are
     scaffolded only for pages and rules that were captured.
     """
-    new = scaffold(store, as_of, vocab).join(
-        formatted.select("source_id", "webpage_id"), ["source_id", "webpage_id"], "left_semi"
-    )
+    new = scaffold(store, as_of, vocab, formatted)
     known = store.statements.select(*STATEMENT).withColumn("is_new", F.lit(False))
     rows = known.unionByName(new.select(*STATEMENT).withColumn("is_new", F.lit(True)))
     captured = formatted.select("source_id", "webpage_id", "value", "is_blank", "error").withColumn(

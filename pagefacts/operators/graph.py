@@ -8,7 +8,7 @@ keeps row equality plain.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagefacts.functions import values as V
@@ -49,14 +49,20 @@ def merge(*graphs: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _triple_key(rows: DataFrame) -> DataFrame:
+    """Rows with a 128-bit hash of their triple beside the graph's id."""
+    columns = [F.col(c) for c in TRIPLE_COLUMNS]
+    return rows.withColumn("_k", F.xxhash64(*columns)).withColumn("_l", F.xxhash64(F.lit("second"), *columns))
+
+
 def rewrite(graph: DataFrame, delete: DataFrame, insert: DataFrame | None = None) -> DataFrame:
-    """(triples - deleted) + inserted; annotations stay."""
-    gone = delete.select(*TRIPLE_COLUMNS).distinct().withColumn("_gone", F.lit(True))
-    kept = (
-        graph.join(gone, list(TRIPLE_COLUMNS), "left")
-        .filter("pos is not null or _gone is null")
-        .select(*GRAPH_COLUMNS)
-    )
+    """(triples - deleted) + inserted; annotations stay.
+
+    Triples meet the deletions by graph and hash, not by their texts; annotations meet nothing.
+    """
+    gone = _triple_key(delete.select(*TRIPLE_COLUMNS)).select("graph_id", "_k", "_l")
+    kept = _triple_key(graph.filter("pos is null")).join(gone, ["graph_id", "_k", "_l"], "left_anti").select(*GRAPH_COLUMNS)
+    kept = kept.unionByName(graph.filter("pos is not null").select(*GRAPH_COLUMNS))
     return kept if insert is None else merge(kept, insert)
 
 
@@ -227,8 +233,8 @@ def coalesce_language(graph: DataFrame, lang: Column | str = "") -> DataFrame:
     """Name, description and url keep the best language per subject.
 
     Order: the wanted language, no language, en, fr; literals in other languages are
-    left alone. ``lang`` may be a column of the frame (a language per graph). The best
-    rank is a numeric minimum per (graph, subject, predicate) with map-side combine.
+    left alone. ``lang`` may be a column of the frame (a language per graph). Only the texts
+    concerned are compared, within their (graph, subject, predicate); other rows do not move.
     """
     wanted = F.lit(lang) if isinstance(lang, str) else lang
     base = F.lower(F.regexp_extract("lang", "^([A-Za-z]*)", 1))
@@ -244,17 +250,10 @@ def coalesce_language(graph: DataFrame, lang: Column | str = "") -> DataFrame:
         & F.col("pos").isNull()
         & base.isin("", "en", "fr")
     )
-    ranked = graph.withColumn("_rank", F.when(candidate, rank))
-    best = (
-        ranked.filter("_rank is not null")
-        .groupBy("graph_id", "s", "p")
-        .agg(F.min("_rank").alias("_best"))
-    )
-    return (
-        ranked.join(best, ["graph_id", "s", "p"], "left")
-        .filter("_rank is null or _rank = _best")
-        .select(*graph.columns)
-    )
+    others = graph.filter(~F.coalesce(candidate, F.lit(False)))
+    group = Window.partitionBy("graph_id", "s", "p")
+    ranked = graph.filter(candidate).withColumn("_rank", rank).withColumn("_best", F.min("_rank").over(group))
+    return others.unionByName(ranked.filter("_rank = _best").select(*graph.columns))
 
 
 def object_uris(graph: DataFrame) -> DataFrame:
