@@ -16,11 +16,14 @@ alike; null ids pass through; extra columns are ignored; an empty table gives an
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagefacts.llm.common import settled
+
 THRESHOLD = 0.8
 
 # Wording of common public notices.
@@ -60,7 +63,7 @@ def _constant(templates: dict[str, str], threshold: float) -> str:
         n = len(grams)
         rows.append(
             f"named_struct('id', '{name}', 'rank', {-rank}, 'g', array({quoted}), 'n', {n}, "
-            f"'low', {n * threshold / (2 - threshold)!r}D, 'high', {n * (2 - threshold) / threshold!r}D)"
+            f"'low', {math.ceil(n * threshold / (2 - threshold) - 1e-9)}, 'high', {math.floor(n * (2 - threshold) / threshold + 1e-9)})"
         )
     return f"array({', '.join(rows)})"
 
@@ -90,7 +93,7 @@ def scan(
     steps = steps.select(
         "id", F.expr(f"filter(transform(grams, a -> array_max({compared})), m -> m.dice >= {threshold!r}D)").alias("found")
     )
-    return steps.select(
+    return settled(steps, "found").select(
         F.col("id").alias(id_col),
         F.expr("array_max(found).id").alias("license"),
         F.expr("array_max(found).dice").alias("dice"),
