@@ -1,7 +1,4 @@
-"""Registered queries against their SQL on the smallest tables.
-
-A quick selection by default; ``PAGEFACTS_ALL=1`` runs every query.
-"""
+"""Registered queries against their SQL on the smallest tables."""
 
 from __future__ import annotations
 
@@ -11,14 +8,10 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as entry
+from pagefacts.checks import load
 
 SF = "/root/testdata/sf0.001"
-QUICK = (
-    "b3_property_keys", "b6_url_gate", "c3_drop_exceptions", "d1_site_dashboard", "d5_publishable_events", "d9_webpage_index",
-    "d12_guard_archive_date", "d16_due_sites", "e4_latest_captures", "h4_link_uris", "h10_durations", "i1_build_graph",
-    "i4_contact_series", "j10_activated_statements", "l15_native_rules",
-)
-NAMES = sorted(entry.queries()) if os.environ.get("PAGEFACTS_ALL") else QUICK
+NAMES = sorted(load().QUERIES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
