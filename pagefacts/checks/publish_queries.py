@@ -60,10 +60,12 @@ local AS (SELECT DISTINCT g.s, g.p, g.o, g.o_kind, g.lang FROM graph g JOIN (SEL
 """
 
 
-def _export_sql() -> str:
+def _export_sql(uri: str | None = None) -> str:
+    """All publishable events and other entities as facts; with ``uri`` the events part for that resource."""
     events = _INDEX.lstrip().lstrip(",")
+    of = "folded WHERE publishable" if uri is None else f"webpages JOIN websites ON websites.id = website_id WHERE rdf_uri = '{uri}'"
     chosen = f"""
-pub AS (SELECT DISTINCT seedurl, replace(rdf_uri, 'adr:', '{DEFAULT.kg_base}') AS graph_id FROM folded WHERE publishable),
+pub AS (SELECT DISTINCT seedurl, replace(rdf_uri, 'adr:', '{DEFAULT.kg_base}') AS graph_id FROM {of}),
 ev AS MATERIALIZED (SELECT g.* FROM graph g JOIN (SELECT DISTINCT graph_id FROM pub) USING (graph_id))
 """
     offers = OFFERS_SQL.format(src="ev", dst="ev_split")
@@ -78,6 +80,8 @@ oth AS (SELECT DISTINCT seedurl, replace(rdf_uri, 'adr:', '{DEFAULT.kg_base}') A
 SELECT DISTINCT 'events' AS dump, seedurl, s, p, o, lang, datatype FROM (SELECT graph_id, s, p, o, lang, datatype FROM series WHERE pos IS NULL
   UNION SELECT graph_id, s, p, o, lang, '' FROM found) JOIN pub USING (graph_id)
 UNION ALL SELECT DISTINCT 'others', seedurl, s, p, o, lang, datatype FROM graph JOIN oth USING (graph_id) WHERE pos IS NULL"""
+    if uri is not None:
+        body = f"SELECT seedurl, s, p, o, lang, datatype FROM ({body.split('UNION ALL')[0]})"
     return store_sql(body, events, GRAPH_SQL, KG_SQL, _MERGED_LOCAL, chosen, offers, variants, series, uris, found, others)
 
 
@@ -88,17 +92,33 @@ def a9(spark, sf):
     return document_rows(P.export_site(store, knowledge_graph(spark, sf)), "dump", "seedurl")
 
 
-@query("a9b_resource_export")
+@query("a9b_resource_export", _export_sql("adr:r20"))
 def a9b(spark, sf):
+    """The export of one resource, read back as facts."""
     store = driver_store(spark, sf)
-    return P.export_resource(store, knowledge_graph(spark, sf), uri="adr:r20").select("seedurl", "s", "json")
+    return document_rows(P.export_resource(store, knowledge_graph(spark, sf), uri="adr:r20"), "seedurl")
 
 
-@query("i8_framed_documents")
-def i8(spark, sf):
-    graph = stored_graph(spark, sf)
-    known = knowledge_graph(spark, sf)
-    return D.frame(cut_lineage(G.drop_annotations(G.enrich(graph, known)), "enriched"))
+def leaves(docs, *keys, depth: int = 7):
+    """(keys, path, value) of JSON documents: the scalar values by their names; list positions are left out."""
+    rows = docs.select(*keys, F.lit("").alias("path"), F.parse_json("json").alias("v"))
+    done = None
+    for _ in range(depth):
+        kind = F.schema_of_variant("v")
+        scalar = rows.filter(~kind.rlike("^(OBJECT|ARRAY)")).select(*keys, "path", F.col("v").cast("string").alias("value"))
+        done = scalar if done is None else done.unionByName(scalar)
+        rows = spread(rows.filter(kind.rlike("^(OBJECT|ARRAY)")), *keys)
+    return done
+
+
+def spread(rows, *keys):
+    step = F.concat("path", F.when(F.col("key").isNull(), "").otherwise(F.concat(F.when(F.col("path") == "", "").otherwise("."), "key")))
+    opened = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    return opened.select(*keys, step.alias("path"), F.col("value").alias("v"))
+
+
+def _enriched(spark, sf):
+    return cut_lineage(G.drop_annotations(G.enrich(stored_graph(spark, sf), knowledge_graph(spark, sf))), "enriched")
 
 
 _FRAMED = f"""
@@ -125,7 +145,7 @@ FROM main m""", GRAPH_SQL, KG_SQL,
 )
 def i8_fields(spark, sf):
     """Counts read from the nested event documents."""
-    docs = i8(spark, sf).filter("cls = 'Event'")
+    docs = D.frame(_enriched(spark, sf)).filter("cls = 'Event'")
 
     def items(path):
         found = F.get_json_object("json", path)
@@ -148,6 +168,53 @@ def i8_fields(spark, sf):
     )
 
 
+def _documents_sql() -> str:
+    """The entries of every framed document as (graph_id, path, value)."""
+    local = f"replace(p, '{SCHEMA}', '')"
+    ids = ", ".join(f"'{p}'" for p in D.ID_PROPS)
+    top = ", ".join(f"'{p}'" for p in D.EVENT_PROPS)
+    specs = ", ".join(f"('{c.prop}', {list(c.types)}, {list(c.props)}, {c.only_listed}, {c.address})" for c in D.EVENT_CHILDREN)
+    expected = ", ".join(f"('{p}')" for p in (*D.EVENT_PROPS, *(c.prop for c in D.EVENT_CHILDREN)))
+    return f"""
+facts AS (SELECT DISTINCT graph_id, s, p, o, o_kind, lang, datatype FROM graph WHERE pos IS NULL UNION SELECT graph_id, s, p, o, o_kind, lang, '' FROM found),
+short AS (SELECT graph_id, s, k, k || tail AS path, value, o, o_kind FROM (
+  SELECT *, unnest(CASE WHEN k = '@type' THEN [{{'tail': '', 'value': replace(o, '{SCHEMA}', '')}}] WHEN o_kind <> 'literal' AND k NOT IN ({ids}) THEN [{{'tail': '.@id', 'value': o}}]
+    WHEN o_kind = 'literal' AND k NOT IN ({ids}) AND (lang <> '' OR datatype <> '') THEN list_filter([{{'tail': '.@language', 'value': lang}}, {{'tail': '.@type', 'value': datatype}}, {{'tail': '.@value', 'value': o}}], lambda x: x.value <> '' OR x.tail = '.@value')
+    ELSE [{{'tail': '', 'value': o}}] END, recursive := true) FROM (SELECT *, CASE WHEN p = '{RDF_TYPE}' THEN '@type' ELSE {local} END AS k FROM facts))),
+cls AS (SELECT DISTINCT graph_id, value AS cls FROM short WHERE s = graph_id AND k = '@type'),
+spec(prop, types, props, listed, address) AS (VALUES {specs}),
+child AS (SELECT DISTINCT l.graph_id, l.o AS c, spec.* FROM short l JOIN cls USING (graph_id) JOIN spec ON spec.prop = l.k
+  JOIN short t ON t.graph_id = l.graph_id AND t.s = l.o AND t.k = '@type' AND list_contains(spec.types, t.value) WHERE l.s = l.graph_id AND cls = 'Event' AND l.o_kind <> 'literal'),
+addr AS (SELECT DISTINCT a.graph_id, a.s, a.o AS node FROM short a JOIN short t ON t.graph_id = a.graph_id AND t.s = a.o AND t.k = '@type' AND t.value = 'PostalAddress' WHERE a.k = 'address'),
+parts AS (SELECT a.graph_id, a.s, 'address.' || f.path AS path, f.value FROM addr a JOIN short f ON f.graph_id = a.graph_id AND f.s = a.node UNION ALL SELECT graph_id, s, 'address.@id', node FROM addr),
+others AS (SELECT c.graph_id, s, count(*) OVER (PARTITION BY c.graph_id, cls) AS n, cls FROM cls c JOIN (SELECT DISTINCT graph_id, s FROM short) USING (graph_id) WHERE cls NOT IN ('Event', 'Place')),
+doc AS (
+  SELECT graph_id, cls, path, value FROM short JOIN cls USING (graph_id) WHERE s = graph_id AND ((cls = 'Event' AND k IN ('@type', {top})) OR (cls = 'Place' AND k <> 'address'))
+  UNION ALL SELECT graph_id, 'Event', e, NULL FROM cls, (VALUES {expected}) x(e) WHERE cls = 'Event' AND NOT EXISTS (SELECT 1 FROM short f WHERE f.graph_id = cls.graph_id AND f.s = f.graph_id AND f.k = e AND e IN ({top}))
+    AND NOT EXISTS (SELECT 1 FROM child c WHERE c.graph_id = cls.graph_id AND c.prop = e)
+  UNION ALL SELECT graph_id, 'Event', prop || '.@id', c FROM child
+  UNION ALL SELECT c.graph_id, 'Event', prop || '.' || f.path, f.value FROM child c JOIN short f ON f.graph_id = c.graph_id AND f.s = c.c WHERE (NOT listed OR f.k = '@type' OR list_contains(props, f.k)) AND NOT (address AND f.k = 'address')
+  UNION ALL SELECT c.graph_id, 'Event', prop || '.' || e, NULL FROM (SELECT *, unnest(props) AS e FROM child) c WHERE NOT EXISTS (SELECT 1 FROM short f WHERE f.graph_id = c.graph_id AND f.s = c.c AND f.k = e)
+  UNION ALL SELECT c.graph_id, 'Event', prop || '.' || path, value FROM child c JOIN parts x ON x.graph_id = c.graph_id AND x.s = c.c WHERE c.address
+  UNION ALL SELECT graph_id, 'Place', path, value FROM parts JOIN cls USING (graph_id) WHERE s = graph_id AND cls = 'Place'
+  UNION ALL SELECT graph_id, cls, '@context.@vocab', 'http://schema.org/' FROM cls
+  UNION ALL SELECT o.graph_id, cls, CASE WHEN n > 1 THEN '@graph.' ELSE '' END || f.path, f.value FROM others o JOIN short f ON f.graph_id = o.graph_id AND f.s = o.s
+    WHERE NOT (n > 1 AND f.k = 'offers' AND (SELECT count(DISTINCT (z.p, z.o, z.lang, z.datatype)) FROM facts z WHERE z.graph_id = o.graph_id AND z.s = o.s AND {local.replace("p,", "z.p,")} = 'offers') = 1)
+  UNION ALL SELECT graph_id, cls, '@graph.@id', s FROM others WHERE n > 1 AND NOT contains(s, '{DEFAULT.kg_base}') AND NOT contains(s, '{DEFAULT.mint_base}'))
+"""
+
+
+@query(
+    "i8_framed_documents",
+    store_sql("SELECT graph_id, cls, path, value FROM doc", GRAPH_SQL, KG_SQL,
+              "uris AS (SELECT DISTINCT graph_id, o AS uri FROM graph WHERE pos IS NULL AND o_kind = 'uri')",
+              describe_sql("uris", "found"), _documents_sql()),
+)
+def i8(spark, sf):
+    """Every framed document, read back as its entries."""
+    return leaves(cut_lineage(D.frame(_enriched(spark, sf)), "framed"), "graph_id", "cls")
+
+
 @query("i9_page_markup")
 def i9(spark, sf):
     """Markup of every page, without ids of the main object."""
