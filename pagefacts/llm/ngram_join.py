@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +51,6 @@ CELL_ROWS = 4096
 #: Pairs that are compared at a time.
 PAIRS = 200_000
 
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,7 +84,7 @@ _words = _WordHashes()
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    words = _WORDS.findall(text)
+    words = text.split()  # of bytes: at the six ASCII spaces
     if not words:
         return np.zeros(0, "u8")
     h = np.fromiter(map(_words.__getitem__, words), "u8", len(words))
@@ -341,7 +339,8 @@ def _classes(keyed: DataFrame, threshold: float, tolerance: float) -> DataFrame:
         .join(named.select("key", "copies", "sig", "size"), "key")
     )
     members = cut_lineage(members, "ngram-members")
-    sets = keyed.join(members.select("key"), "key", "left_semi").mapInArrow(_sets, "key long, sets binary")
+    # texts go by key at every size; the members grow with the input and are never broadcast
+    sets = keyed.join(members.select("key").hint("merge"), "key", "left_semi").mapInArrow(_sets, "key long, sets binary")
     sets = cut_lineage(sets, "ngram-sets")
     dealt = _cells(members.select("key", "piece", "copies", "size"), ["piece"], "size")
     dealt = dealt.withColumn("cell", _cell_key(["piece"], cells)).join(members.select("key", "sig"), "key").join(sets, "key")
