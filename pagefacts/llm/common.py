@@ -42,3 +42,14 @@ def same(left: list[Column], right: list[Column]) -> Column:
     for a, b in zip(left, right, strict=True):
         out = out & a.eqNullSafe(b)
     return out
+
+
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the named columns computed once a row, whatever is built on them.
+
+    A filter above would otherwise be moved below the projections and carry their expressions
+    along, into lambdas that would then evaluate them for every element. Filters stop at a
+    generator, here of one row.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefacts.llm.common import same
+from pagefacts.llm.common import same, settled
 
 WINDOW = 3
 
@@ -64,7 +64,8 @@ def _cut(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     joined = _keyed(docs, id_col, text).join(gone, same([F.col("id"), F.col("h")], [F.col("id2"), F.col("h2")]), "left")
     split = joined.select("row", "id", "t", "gone", F.split("t", "\n").alias("lines"))
     left = "transform(array_except(sequence(0, size(lines) - 1), gone), i -> get(lines, i))"
-    return split.withColumn("new", F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.expr(f"array_join({left}, '\n')")))
+    new = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.expr(f"array_join({left}, '\n')"))
+    return settled(split.withColumn("new", new), "lines", "new")
 
 
 def dedup_lines(

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagefacts.llm.common import settled
 from pagefacts.session import cut_lineage
 
 MIN_WORDS = 50
@@ -91,7 +92,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.expr(
         "aggregate(at, named_struct('last', -3, 'n', 0L), (s, i) -> named_struct('last', i, 'n', s.n + least(3, i - s.last)), s -> s.n)"
     )
-    return found.withColumn("n_repeat_words", covered).select("row", *MEASURES)
+    return settled(found.withColumn("n_repeat_words", covered).select("row", *MEASURES), *MEASURES)
 
 
 def base_failed():
