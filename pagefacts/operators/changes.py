@@ -501,6 +501,15 @@ def with_archive_dates(store: Store, as_of: str) -> DataFrame:
     return pages.withColumn("archive_date", date).select(*store.webpages.columns)
 
 
+def saved(store: Store, statements: DataFrame, as_of: str) -> Store:
+    """The store after a change of its statements, with the archive dates of its pages.
+
+    ``statements`` is read by both, so it should be a written snapshot where it was expensive.
+    """
+    changed = store.with_(statements=statements)
+    return changed.with_(webpages=with_archive_dates(changed, as_of))
+
+
 def drop_pages(store: Store, gone: DataFrame) -> Store:
     """Cascade: pages by id, with their statements."""
     ids = gone.select(F.col("id").alias("_id")).distinct()

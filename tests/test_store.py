@@ -13,7 +13,7 @@ from pagefacts.operators import extract as X
 from pagefacts.operators import legacy as Y
 from pagefacts.operators import reconcile as C
 from pagefacts.operators import rollups as R
-from pagefacts.plans.refresh import refresh_pages
+from pagefacts.plans.refresh import refresh_pages, refresh_store
 from pagefacts.sources import exports, schemas
 from pagefacts.sources.captures import load_captures
 from pagefacts.sources.store import Store, load_store, save_snapshot
@@ -249,6 +249,9 @@ def test_refresh_pages_end_to_end(spark):
     assert json.loads(out[31, 1].cache) == ["the hall", "Place", ["The Hall", DEFAULT.kg_base + "hall"]]
     assert json.loads(out[51, 1].cache) == ["Duo X", "Organization", ["duo x", "http://k/d"]]
     assert out[41, 1].cache == "12.5" and out[41, 1].status == "updated"
+    after = refresh_store(store, bodies, kg(spark, ("http://k/d", "Person", "duo x")), AS_OF)
+    dates = {r.id: str(r.archive_date) for r in after.webpages.collect()}
+    assert dates[1] == "2033-07-16 12:05:00" and set(dates) == {r.id for r in store.webpages.collect()}
     # the second page shows a waiting room: nothing new, but for the rule with automatic review
     assert {k for k in out if k[1] == 2} == {(41, 2)} and out[41, 2].cache is None
     # pages without any capture keep what they had
