@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagefacts.session import cut_lineage
@@ -11,13 +11,18 @@ from pagefacts.session import cut_lineage
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex of ``edges`` (a, b): root is the smallest vertex of its component.
 
+    First the neighbours of each ``a`` are tied to the smallest of them instead of to ``a``, which
+    keeps what is connected and leaves about one edge a vertex where many name the same few.
     Each round gives every vertex the smallest root among its own and its neighbours', and then
     follows the root's own root, so chains shorten by doubling. Minima are combined before they
     are shuffled; each round is written to the shared folder. Ends when nothing changes.
     """
-    both = cut_lineage(
-        edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct(), "edges"
+    least = F.least("a", F.min("b").over(Window.partitionBy("a"))).alias("m")
+    tied = edges.filter("a <> b").select("a", "b", least)
+    few = cut_lineage(
+        tied.select("b", "m").union(tied.select("a", "m")).toDF("a", "b").filter("a <> b").distinct(), "edges"
     )
+    both = few.union(few.select("b", "a"))
     roots = cut_lineage(both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("root")), "roots")
     while True:
         offered = both.join(roots, F.col("b") == F.col("v")).select(F.col("a").alias("v"), "root")
