@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagefacts.checks.change_queries import _COLS, captured
@@ -212,10 +213,13 @@ def k3(spark, sf):
     out = f"{durable_dir(spark)}/windows-{uuid.uuid4().hex}"
 
     def store(batch, number):
-        batch.write.mode("overwrite").parquet(f"{out}/result")
+        # a batch holds the windows it touched; a replay writes the same folder again
+        batch.write.mode("overwrite").parquet(f"{out}/result/batch={number}")
 
-    T.change_windows(log).writeStream.outputMode("complete").foreachBatch(store).option(
+    T.change_windows(log).writeStream.outputMode("update").foreachBatch(store).option(
         "checkpointLocation", f"{out}/checkpoint"
     ).trigger(availableNow=True).start().awaitTermination()
+    newest = Window.partitionBy("window_start", "site").orderBy(F.desc("batch"))
+    result = spark.read.parquet(f"{out}/result").withColumn("n", F.row_number().over(newest)).filter("n = 1")
     day = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("window_start").cast("timestamp_ntz")), "yyyy-MM-dd")
-    return spark.read.parquet(f"{out}/result").select(day.alias("day"), "site", "refreshed", "changed", "errors")
+    return result.select(day.alias("day"), "site", "refreshed", "changed", "errors")
