@@ -83,3 +83,17 @@ SELECT doc_id, license, dice, coalesce(n_units, 0) AS n_units FROM d LEFT JOIN d
 
 
 ORACLES["op2_license_scan"] = _licenses()
+
+ORACLES["op1_ngram_join"] = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT k, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT k, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+p AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.k = x JOIN n b ON b.k = y WHERE c >= 0.8 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT k, k AS r FROM d UNION SELECT reach.k, e.y FROM reach JOIN e ON e.x = reach.r),
+c AS (SELECT reach.k, min(d.doc_id) AS class_id FROM reach JOIN d ON d.k = reach.r GROUP BY ALL)
+SELECT doc_id, class_id, (SELECT count(*) FROM e WHERE e.x = d.k) AS n_links FROM d JOIN c USING (k)"""
+
+ORACLES["op3_warc"] = r"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(sha1(h), 1 + 5 * (k // 4)::INT, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31))::INT, 1) for k in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
