@@ -15,8 +15,8 @@ context fills one. Tables of words, pairs and contexts are written in the shared
 Scoring adds up log P(w) + log alpha(h) over all tokens and, for each kept pair, the difference
 (gain) to its own probability: the recursion, summed in another order. The most frequent words
 and pairs (a fixed number) are broadcast and looked up in the map task, which also keeps any key
-from filling a bucket. The rest is sent to the buckets of the tables as arrays; per document and
-bucket one row of sums comes back. No token is a row.
+from filling a bucket. The rest is sent to the buckets of the tables as arrays; per portion of
+documents and bucket one row of sums comes back. No token is a row.
 
 Words are compared by 64-bit hashes. Defined cases: null and empty texts are the end token
 alone; repeated rows count as often in training and each get the score; without training rows
@@ -25,13 +25,13 @@ every token is unknown; extra columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +40,11 @@ from pagefacts.session import cut_lineage
 
 GT_MAX = 5
 MIN_COUNT = 2
-RUN_TOKENS = 2_000_000
-BUCKET_BYTES = 24_000_000
-HEAD_WORDS = 262_144
+RUN_TOKENS = 1_000_000
+BUCKET_BYTES = 32_000_000
+HEAD_WORDS = 131_072
 HEAD_PAIRS = 524_288
 
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of the tokens that are no words: before the first word, and the end.
 BEGIN, END = 1, 2
@@ -69,7 +68,7 @@ class _WordHashes(dict):
 
         h = xxhash.xxh3_64_intdigest(word)
         h = h - (1 << 64) if h >> 63 else h
-        if len(self) > 700_000:
+        if len(self) > 300_000:
             self.clear()
         if len(word) < 256:
             self[word] = h
@@ -81,7 +80,7 @@ _hashes = _WordHashes()
 
 def tokens_of(text: bytes) -> np.ndarray:
     """The hashes of a text's words, between the begin and the end mark."""
-    words = _WORDS.findall(text.lower())
+    words = text.lower().split()  # of bytes: at the six ASCII spaces, and only A-Z are lower-cased
     out = np.empty(len(words) + 2, "i8")
     out[0], out[-1] = BEGIN, END
     out[1:-1] = np.fromiter(map(_hashes.__getitem__, words), "i8", len(words))
@@ -92,24 +91,72 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return (_mixed(keys.view("u8")) % np.uint64(n)).astype(int)
 
 
-def sorted_table(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(keys, kind="stable")
-    return (keys[order], *[v[order] for v in values])
-
-
-def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the keys in the sorted table, and whether they are there."""
-    if not len(table):
-        return np.zeros(len(keys), int), np.zeros(len(keys), bool)
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    return at, table[at] == keys
+class Table:
+    """Numbers by distinct 64-bit keys: open addressing over arrays, built and searched in rounds."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        self.keys, self.values = np.asarray(keys, "i8"), [np.asarray(v) for v in values]
+        bits = max(4, int(2 * len(self.keys)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.slots = np.full(1 << bits, -1, "i4")
+        waiting, at = np.arange(len(self.keys)), self._place(self.keys)
+        while len(waiting):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = waiting[free]  # of several for one slot the last stays
+            left = self.slots[at] != waiting
+            waiting, at = waiting[left], (at[left] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view("u8") * _MIX) >> self.shift).astype("i8")
+
+    def replace_keys(self, keys: np.ndarray) -> None:
+        """The same values under other distinct keys."""
+        self.__init__(keys, *self.values)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the keys among the table's, and whether they are there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), int), np.zeros(len(keys), bool)
+        at = self._place(keys)
+        found = self.slots[at]
+        there = self.keys[found] == keys
+        there &= found >= 0
+        open_ = np.flatnonzero(~there & (found >= 0))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & self.mask
+            now = self.slots[at]
+            hit = (now >= 0) & (self.keys[now] == keys[open_])
+            found[open_[hit]], there[open_[hit]] = now[hit], True
+            go = (now >= 0) & ~hit
+            open_, at = open_[go], at[go]
+        return found, there
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): ``order`` sorts the keys, ``starts`` are where new keys begin in it, and the end."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, int)
+    return order, np.r_[new, len(keys)]
+
+
+def by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """A stable order by bucket number."""
+    return np.argsort(bucket.astype("u2") if len(bucket) and bucket.max() < 65_536 else bucket, kind="stable")
+
+
+def parts_of(h: np.ndarray, frequent: Table, share: float) -> np.ndarray:
+    """The number of parts a context is dealt to: one more for each ``share`` of its occurrences."""
+    at, there = frequent.find(h)
+    out = np.ones(len(h), "i8")
+    out[there] += (frequent.values[0][at[there]] // share).astype("i8")
+    return out
 
 
-def pair_bucket(h: np.ndarray, w: np.ndarray, frequent: tuple, share: float, n: int) -> np.ndarray:
+def pair_bucket(h: np.ndarray, w: np.ndarray, frequent: Table, share: float, n: int) -> np.ndarray:
     """By the context; a frequent context is dealt to one bucket for each ``share`` of its occurrences."""
-    at, there = find(frequent[0], h)
-    parts = np.where(there, 1 + (frequent[1][at] // share).astype("i8") if len(frequent[0]) else 1, 1)
+    parts = parts_of(h, frequent, share)
     return _bucket(h + _mixed(w.view("u8") ^ _MIX).view("i8") % parts, n)
 
 
@@ -139,8 +186,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _LONGS = pa.list_(pa.int64())
-_WORD_COUNTS = pa.schema([("bucket", pa.int32()), ("w", _LONGS), ("c", _LONGS)])
-_PAIR_COUNTS = pa.schema([("bucket", pa.int32()), ("h", _LONGS), ("n", pa.list_(pa.int32())), ("w", _LONGS), ("c", pa.list_(pa.int32()))])
+_INTS = pa.list_(pa.int32())
+_WORD_COUNTS = pa.schema([("bucket", pa.int32()), ("w", _LONGS), ("c", _INTS)])
+_PAIR_COUNTS = pa.schema([("bucket", pa.int32()), ("h", _LONGS), ("n", _INTS), ("w", _LONGS), ("c", _INTS)])
 
 
 def _count_words(buckets: int):
@@ -148,15 +196,16 @@ def _count_words(buckets: int):
         for flat in _runs(batches):
             words, counts = np.unique(flat[flat != BEGIN], return_counts=True)
             bucket = _bucket(words, buckets)
-            rows = [(b, words[at], counts[at]) for b, at in _portions(np.argsort(bucket, kind="stable"), bucket, buckets)]
+            rows = [(b, words[at], counts[at]) for b, at in _portions(by_bucket(bucket), bucket, buckets)]
             yield _batch(rows, _WORD_COUNTS)
 
     return run
 
 
 def _sum_words(group: pd.DataFrame) -> pd.DataFrame:
-    words, at = np.unique(np.concatenate(group["w"].to_list()), return_inverse=True)
-    return pd.DataFrame({"w": words, "c": np.bincount(at, np.concatenate(group["c"].to_list())).astype("i8")})
+    words, counts = np.concatenate(group["w"].to_list()), np.concatenate(group["c"].to_list())
+    order, starts = distinct(words)
+    return pd.DataFrame({"w": words[order[starts[:-1]]], "c": np.add.reduceat(counts[order].astype("i8"), starts[:-1])})
 
 
 def _count_pairs(frequent, share: float, buckets: int):
@@ -165,11 +214,13 @@ def _count_pairs(frequent, share: float, buckets: int):
             first, second = flat[:-1], flat[1:]
             within = first != END
             first, second = first[within], second[within]
-            _, index, counts = np.unique(pair_key(first, second), return_index=True, return_counts=True)
-            first, second = first[index], second[index]
+            order, starts = distinct(pair_key(first, second))
+            first, second, counts = first[order[starts[:-1]]], second[order[starts[:-1]]], np.diff(starts)
+            order = np.argsort(first)
+            first, second, counts = first[order], second[order], counts[order]
             bucket = pair_bucket(first, second, frequent.value, share, buckets)
             rows = []
-            for b, at in _portions(np.lexsort((first, bucket)), bucket, buckets):
+            for b, at in _portions(by_bucket(bucket), bucket, buckets):
                 h, n = np.unique(first[at], return_counts=True)  # the portion is in the order of h
                 rows.append((b, h, n, second[at], counts[at]))
             yield _batch(rows, _PAIR_COUNTS)
@@ -177,27 +228,45 @@ def _count_pairs(frequent, share: float, buckets: int):
     return run
 
 
+_BOXES = pa.schema(
+    [("bucket", pa.int32()), ("kind", pa.int32()), ("h", _LONGS), ("n", _INTS), ("w", _LONGS), ("c", _LONGS), ("cw", _LONGS), ("x", pa.list_(pa.float64()))]
+)
+_TABLES = "bucket int, kind int, h array<long>, n array<int>, w array<long>, c array<long>, cw array<long>, x array<double>"
+
+
 def _sum_pairs(frequent):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Kept pairs of one bucket, by whether the word's count is known here, and the histogram of all counts."""
         w, c = np.concatenate(group["w"].to_list()), np.concatenate(group["c"].to_list())
         h = np.repeat(np.concatenate(group["h"].to_list()), np.concatenate(group["n"].to_list()))
-        _, index, at = np.unique(pair_key(h, w), return_index=True, return_inverse=True)
-        total = np.bincount(at, c).astype("i8")
-        h, w = h[index], w[index]
+        order, starts = distinct(pair_key(h, w))
+        total = np.add.reduceat(c[order].astype("i8"), starts[:-1]) if len(c) else np.zeros(0, "i8")
+        h, w = h[order[starts[:-1]]], w[order[starts[:-1]]]
         values, times = np.unique(total, return_counts=True)
         kept = np.flatnonzero(total >= MIN_COUNT)
         kept = kept[np.argsort(h[kept], kind="stable")]
-        at, there = find(frequent.value[0], w[kept])
+        at, there = frequent.value.find(w[kept])
         known, asked = kept[there], kept[~there]
         none = np.zeros(0, "i8")
-        counts = frequent.value[1][at[there]] if len(known) else none
+        counts = frequent.value.values[0][at[there]] if len(known) else none
         rows = [("known", h[known], w[known], total[known], counts), ("asked", h[asked], w[asked], total[asked], none), ("counts", values, none, times, none)]
         return pd.DataFrame([(group["bucket"].iloc[0], *r) for r in rows], columns=["bucket", "kind", "h", "w", "c", "cw"])
 
     return run
 
 
+def _runs_of_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (bucket, h[], w[], c[], cw[]) with each context once and the number of its words."""
+    for batch in batches:
+        rows = []
+        for k in range(batch.num_rows):
+            h, w, c, cw = (batch.column(i)[k].values.to_numpy() for i in range(1, 5))
+            order = np.argsort(h, kind="stable")
+            own, n = np.unique(h, return_counts=True)
+            rows.append((batch.column(0)[k].as_py(), 2, own, n, w[order], c[order], cw[order], None))
+        yield _batch(rows, _BOXES)
+
+
 def discounts(pairs_with: dict[int, int], most: int = GT_MAX) -> list[float]:
     """d_r for r = 0 .. most; absolute discounting by a half where Good-Turing gives no proper value."""
     n = [pairs_with.get(r, 0) for r in range(most + 2)]
@@ -223,7 +292,7 @@ class Fitted:
     vocabulary: int
     discount: list[float]
     begin_alpha: float
-    frequent: tuple
+    frequent: Table
     share: float
     buckets: int
 
@@ -241,6 +310,11 @@ def _high_count(counts: DataFrame, most: int) -> int:
     return least
 
 
+def _arrays(rows: DataFrame) -> list[np.ndarray]:
+    """The columns of a frame of bounded size, on the driver."""
+    return [c.to_numpy() for c in rows.toArrow().columns]
+
+
 def fit(docs: DataFrame, learn: Column, text: str = "text") -> Fitted:
     """Count the texts of the rows with ``learn`` and build the tables."""
     context = docs.sparkSession.sparkContext
@@ -248,7 +322,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text") -> Fitted:
     buckets = int(1 + size // BUCKET_BYTES)
     texts = docs.filter(learn).select(bytes_of(text).alias("t"))
     words = cut_lineage(
-        texts.mapInArrow(_count_words(buckets), "bucket int, w array<long>, c array<long>")
+        texts.mapInArrow(_count_words(buckets), "bucket int, w array<long>, c array<int>")
         .groupBy("bucket")
         .applyInPandas(_sum_words, "w long, c long"),
         "katz-words",
@@ -257,10 +331,8 @@ def fit(docs: DataFrame, learn: Column, text: str = "text") -> Fitted:
     totals = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), ends).first()
     n, v = totals.n or 0, totals.v or 0
     high = _high_count(words, HEAD_WORDS)
-    head = words.filter(F.col("c") >= high).toPandas()  # at most HEAD_WORDS rows of two numbers
-    frequent = sorted_table(
-        np.r_[head["w"].to_numpy(), BEGIN].astype("i8"), np.r_[head["c"].to_numpy(), totals.texts or 0].astype("i8")
-    )
+    head = _arrays(words.filter(F.col("c") >= high).select("w", "c"))  # at most HEAD_WORDS rows of two numbers
+    frequent = Table(np.r_[head[0], BEGIN].astype("i8"), np.r_[head[1], totals.texts or 0].astype("i8"))
     sent, share = context.broadcast(frequent), max(1.0, n / buckets)
     summed = cut_lineage(
         texts.mapInArrow(
@@ -299,53 +371,92 @@ def fit(docs: DataFrame, learn: Column, text: str = "text") -> Fitted:
         grouped.select("bucket", F.transform("w", lambda _: F.col("h")).alias("h"), "w", "c", "cw")
     )  # the rare words after one context within one bucket
     start = contexts.filter(F.col("h") == BEGIN).first()
+    context._jvm.System.gc()
     return Fitted(table, pairs, contexts, n, v, d, start.alpha if start else 0.0, frequent, share, buckets)
 
 
 def _gains(h, w, c, cw, contexts, discount: list[float], norm: float) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, gains) of kept pairs; contexts is a sorted table (h, total, alpha)."""
-    at, there = find(contexts[0], h)
+    """(keys, gains) of kept pairs; contexts has (total, alpha) by h."""
+    at, there = contexts.find(h)
     assert there.all(), "a kept pair without its context"
     factor = np.ones(len(c))
     for r in range(1, len(discount)):
         factor[c == r] = discount[r]
-    gain = np.log10(factor * c / contexts[1][at]) - contexts[2][at] - np.log10((cw + 1) / norm) if len(h) else np.zeros(0)
+    total, alpha = (v[at] for v in contexts.values) if len(h) else (np.ones(0), np.zeros(0))
+    gain = np.log10(factor * c / total) - alpha - np.log10((cw + 1) / norm)
     return pair_key(h, w), gain
 
 
-def _frequent_pairs(model: Fitted, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted keys, gains) of at most ``most`` pairs with the highest counts."""
+def _frequent_pairs(model: Fitted, most: int) -> Table:
+    """The gains of at most ``most`` pairs with the highest counts."""
     rows = model.pairs.select(F.explode(F.arrays_zip("h", "w", "c", "cw")).alias("x")).select("x.*")
-    top = rows.filter(F.col("c") >= _high_count(rows.select("c"), most)).join(model.contexts, "h").toPandas()
-    contexts = sorted_table(*[top[x].to_numpy() for x in ("h", "total", "alpha")])
-    columns = [top[x].to_numpy().astype("i8") for x in ("h", "w", "c", "cw")]
-    return sorted_table(*_gains(*columns, contexts, model.discount, model.tokens + model.vocabulary + 1.0))
+    top = rows.filter(F.col("c") >= _high_count(rows.select("c"), most)).join(model.contexts, "h")
+    h, w, c, cw, total, alpha = _arrays(top.select("h", "w", "c", "cw", "total", "alpha"))
+    _, one = np.unique(h, return_index=True)
+    contexts = Table(h[one], total[one], alpha[one])
+    return Table(*_gains(h, w, c, cw, contexts, model.discount, model.tokens + model.vocabulary + 1.0))
 
 
-#: level 0: sums of a batch of documents as far as the map task knows them; 1 and 2: words and pairs to look up.
+#: Bytes of a key that is sent: its bucket and 48 bits tell it from every key of the bucket's table.
+KEY_BYTES = 6
+
+#: level 0: sums of a batch of documents as far as the map task knows them; 1 and 2: words and pairs to look up,
+#: with the places of their documents in the batch and how many keys each has.
+_SHORTS = pa.list_(pa.int16())
 _REQUESTS = pa.schema(
-    [("bucket", pa.int32()), ("level", pa.int32()), ("id", _LONGS), ("n", pa.list_(pa.int32())), ("key", _LONGS), ("own", pa.list_(pa.float64())), ("doc", pa.list_(pa.string()))]
-)
+    [("bucket", pa.int32()), ("level", pa.int32()), ("base", pa.int64()), ("who", _SHORTS), ("n", _INTS), ("key", pa.binary()),
+     ("own", pa.list_(pa.float64())), ("doc", pa.list_(pa.string()))]
+)
+_REQUEST_COLUMNS = "bucket int, level int, base long, who array<smallint>, n array<int>, key binary, own array<double>, doc array<string>"
+
+
+def short_keys(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<i8").view("u1").reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
+def shortened(keys: np.ndarray) -> np.ndarray:
+    """The keys as :func:`long_keys` gives them back."""
+    return keys & ((1 << 8 * KEY_BYTES) - 1)
+
+
+def long_keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), "u1")
+    out[:, :KEY_BYTES] = np.frombuffer(data, "u1").reshape(-1, KEY_BYTES)
+    return out.view("<i8").ravel()
+
+
+#: Documents of one portion; their places fit 16 bits.
+BATCH = 4096
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            yield batch.slice(at, BATCH)
 
 
 def _request(head, share: float, begin_alpha: float, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, c, alpha, pairs, gain, frequent = head.value
-        logs = np.log10(c + 1.0)
-        for batch in batches:
-            ids, docs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            tokens = [tokens_of(t) for t in batch.column(2).to_pylist()]
+        words, pairs, frequent = head.value
+        logs, alpha, gain = np.log10(words.values[0] + 1.0), words.values[1], pairs.values[0]
+        part, seen = TaskContext.get().partitionId() << 40, 0  # rows are numbered by task and place
+        for batch in portions(batches):
+            docs = batch.column(0).to_pylist()
+            tokens = [tokens_of(t) for t in batch.column(1).to_pylist()]
+            ids, base, seen = np.arange(len(docs)), part + seen, seen + len(docs)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, "i8")
             owner = np.repeat(np.arange(len(ids)), [len(t) for t in tokens])
             own, rows = np.zeros((len(ids), 4)), []
 
             def send(level, keys, owners, bucket):
-                for b, at in _portions(np.lexsort((owners, bucket)), bucket, buckets):
-                    who, n = np.unique(owners[at], return_counts=True)
-                    rows.append((b, level, ids[who], n, keys[at], None, None))
+                for b, at in _portions(by_bucket(bucket), bucket, buckets):
+                    mine = owners[at]  # ascending
+                    new = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+                    who, n = mine[new], np.diff(np.r_[new, len(mine)])
+                    rows.append((b, level, base, who, n, short_keys(keys[at]), None, None))
 
             w, o = flat[flat != BEGIN], owner[flat != BEGIN]
-            at, there = find(words, w)
+            at, there = words.find(w)
             own[:, 0] = np.bincount(o, minlength=len(ids))
             own[:, 1] = np.bincount(o[there], minlength=len(ids))
             own[:, 2] = np.bincount(o[there], logs[at[there]], len(ids))
@@ -354,11 +465,11 @@ def _request(head, share: float, begin_alpha: float, buckets: int):
             inner = flat[:-1] != END
             first, second, o = flat[:-1][inner], flat[1:][inner], owner[:-1][inner]
             keys = pair_key(first, second)
-            at, there = find(pairs, keys)
+            at, there = pairs.find(keys)
             own[:, 3] += np.bincount(o[there], gain[at[there]], len(ids))
             rest = ~there
             send(2, keys[rest], o[rest], pair_bucket(first[rest], second[rest], frequent, share, buckets))
-            rows.append((int(ids[0] % buckets) if len(ids) else 0, 0, ids, np.ones(len(ids), int), ids[:0], own.ravel(), docs))
+            rows.append((base // BATCH % buckets, 0, base, ids, np.ones(len(ids), int), None, own.ravel(), docs))
             yield _batch(rows, _REQUESTS)
 
     return run
@@ -371,87 +482,92 @@ def _lookup(discount: list[float], norm: float):
 
     def run(asked: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
         """Sums per document of what one bucket knows about the keys asked for."""
-        out = []
         words = tables[tables["kind"] == 1]
-        table = sorted_table(*[joined(words[x]) for x in ("h", "c", "x")])
+        table = Table(*[joined(words[x]) for x in ("h", "c", "x")])
+        table.replace_keys(shortened(table.keys))
         contexts, pairs = tables[tables["kind"] == 3], tables[tables["kind"] == 2]
-        known = sorted_table(*[joined(contexts[x]) for x in ("h", "c", "x")])
-        keys, gain = sorted_table(*_gains(*[joined(pairs[x]) for x in ("h", "w", "c", "cw")], known, discount, norm))
-        columns = (asked[x] for x in ("level", "id", "n", "key", "own", "doc"))
-        for level, ids, n, key, own, doc in zip(*columns, strict=True):
-            sums = np.zeros((len(ids), 4))
-            if level == 0:
-                sums = np.asarray(own).reshape(-1, 4)
-            else:
-                at, there = find(table[0] if level == 1 else keys, key)
-                owner, at = np.repeat(np.arange(len(ids)), n)[there], at[there]
-                if level == 1:
-                    sums[:, 1] = np.bincount(owner, minlength=len(ids))
-                    sums[:, 2] = np.bincount(owner, np.log10(table[1][at] + 1.0), len(ids)) if len(at) else 0
-                    sums[:, 3] = np.bincount(owner, table[2][at], len(ids)) if len(at) else 0
+        known = Table(*[joined(contexts[x]) for x in ("h", "c", "x")])
+        h = np.repeat(joined(pairs["h"]), joined(pairs["n"]))
+        keys, gain = _gains(h, *[joined(pairs[x]) for x in ("w", "c", "cw")], known, discount, norm)
+        kept = Table(shortened(keys), gain)
+        rows = []
+        for base, portion in asked.groupby("base", sort=False):
+            sums, docs = np.zeros((BATCH, 4)), None
+            columns = (portion[x] for x in ("level", "who", "n", "key", "own", "doc"))
+            for level, who, n, key, own, doc in zip(*columns, strict=True):
+                if level == 0:
+                    sums[: len(who)] += np.asarray(own).reshape(-1, 4)
+                    docs = doc
+                    continue
+                at, there = (table if level == 1 else kept).find(long_keys(key))
+                owner, at = np.repeat(who, n)[there], at[there]
+                if level == 1 and len(at):
+                    sums[:, 1] += np.bincount(owner, minlength=BATCH)
+                    sums[:, 2] += np.bincount(owner, np.log10(table.values[0][at] + 1.0), BATCH)
+                    sums[:, 3] += np.bincount(owner, table.values[1][at], BATCH)
                 elif len(at):
-                    sums[:, 3] = np.bincount(owner, gain[at], len(ids))
-            if level != 0:
-                some = sums.any(1)
-                ids, sums = ids[some], sums[some]
-            out.append(pd.DataFrame({"id": ids, "doc": doc if level == 0 else None, "tokens": sums[:, 0], "known": sums[:, 1], "base": sums[:, 2], "more": sums[:, 3]}))
-        empty = pd.DataFrame({"id": np.zeros(0, "i8"), "doc": np.zeros(0, object), **{x: np.zeros(0) for x in ("tokens", "known", "base", "more")}})
-        return pd.concat([empty, *out])
+                    sums[:, 3] += np.bincount(owner, gain[at], BATCH)
+            who = np.flatnonzero(sums.any(1))
+            rows.append((base, who.astype("i2"), sums[who].ravel(), docs))
+        return pd.DataFrame(rows, columns=["base", "who", "sums", "doc"])
 
     return run
 
 
-def _boxed(kind: int, buckets: int, contexts: tuple | None, share: float = 1.0):
+def _merged(portion: pd.DataFrame) -> pd.DataFrame:
+    """The documents of one portion with their sums over all buckets."""
+    total, docs = np.zeros((BATCH, 4)), None
+    for who, sums, doc in zip(portion["who"], portion["sums"], portion["doc"], strict=True):
+        total[who] += np.asarray(sums).reshape(-1, 4)
+        docs = doc if doc is not None else docs
+    out = pd.DataFrame(total[: len(docs)], columns=["tokens", "known", "base", "more"])
+    out.insert(0, "doc", list(docs))
+    return out
+
+
+def _boxed(kind: int, buckets: int, contexts, share: float = 1.0):
     """Rows (key, number, logarithm) as arrays for their buckets; a dealt context goes to each of its own."""
-    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("h", _LONGS), ("w", _LONGS), ("c", _LONGS), ("cw", _LONGS), ("x", pa.list_(pa.float64()))])
 
     def run(batches):
         for batch in batches:
             key, c, x = (batch.column(i).to_numpy() for i in range(3))
             part = np.zeros(len(key), "i8")
             if contexts is not None:
-                at, there = find(contexts.value[0], key)
-                parts = np.where(there, 1 + (contexts.value[1][at] // share).astype("i8"), 1)
+                parts = parts_of(key, contexts.value, share)
                 row = np.repeat(np.arange(len(key)), parts)
                 part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
                 key, c, x = key[row], c[row], x[row]
             bucket = _bucket(key + part, buckets)
-            order = np.lexsort((key, bucket))
             rows = []
-            for b, at in _portions(order, bucket, buckets):
+            for b, at in _portions(np.lexsort((key, bucket)), bucket, buckets):
                 at = at[np.r_[True, key[at][1:] != key[at][:-1]]]  # two parts of a context may share a bucket
-                rows.append((b, kind, key[at], None, c[at], None, x[at]))
-            yield _batch(rows, schema)
+                rows.append((b, kind, key[at], None, None, c[at], None, x[at]))
+            yield _batch(rows, _BOXES)
 
     return run
 
 
-_TABLES = "bucket int, kind int, h array<long>, w array<long>, c array<long>, cw array<long>, x array<double>"
-
-
 def score(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document row: id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     norm = model.tokens + model.vocabulary + 1.0
-    top = model.words.filter(F.col("c") >= _high_count(model.words, HEAD_WORDS)).toPandas()
-    words = sorted_table(*[top[x].to_numpy() for x in ("w", "c", "alpha")])
-    head = spark.sparkContext.broadcast((*words, *_frequent_pairs(model, HEAD_PAIRS), model.frequent))
+    top = model.words.filter(F.col("c") >= _high_count(model.words, HEAD_WORDS))
+    words = Table(*_arrays(top.select("w", "c", "alpha")))
+    head = spark.sparkContext.broadcast((words, _frequent_pairs(model, HEAD_PAIRS), model.frequent))
     frequent = spark.sparkContext.broadcast(model.frequent)
-    keyed = docs.select(F.monotonically_increasing_id().alias("id"), F.col(id_col).cast("string").alias("doc"), bytes_of(text).alias("t"))
-    asked = keyed.mapInArrow(
-        _request(head, model.share, model.begin_alpha, model.buckets),
-        "bucket int, level int, id array<long>, n array<int>, key array<long>, own array<double>, doc array<string>",
+    asked = docs.select(F.col(id_col).cast("string").alias("doc"), bytes_of(text).alias("t")).mapInArrow(
+        _request(head, model.share, model.begin_alpha, model.buckets), _REQUEST_COLUMNS
     )
     tables = (
         model.words.select("w", "c", "alpha").mapInArrow(_boxed(1, model.buckets, None), _TABLES)
         .unionByName(model.contexts.select("h", "total", "alpha").mapInArrow(_boxed(3, model.buckets, frequent, model.share), _TABLES))
-        .unionByName(model.pairs.select("bucket", F.lit(2).alias("kind"), "h", "w", "c", "cw", F.lit(None).cast("array<double>").alias("x")))
+        .unionByName(model.pairs.select("bucket", "h", "w", "c", "cw").mapInArrow(_runs_of_contexts, _TABLES))
     )
     sums = (
         asked.groupBy("bucket").cogroup(tables.groupBy("bucket"))
-        .applyInPandas(_lookup(model.discount, norm), "id long, doc string, tokens double, known double, base double, more double")
-        .groupBy("id")
-        .agg(F.max("doc").alias("doc"), *[F.sum(x).alias(x) for x in ("tokens", "known", "base", "more")])
+        .applyInPandas(_lookup(model.discount, norm), "base long, who array<smallint>, sums array<double>, doc array<string>")
+        .groupBy("base")
+        .applyInPandas(_merged, "doc string, tokens double, known double, base double, more double")
     )
     # unknown tokens have log10(1) in base
     base = F.col("base") - F.col("tokens") * F.log10(F.lit(norm))
