@@ -72,7 +72,7 @@ class _WordHashes(dict):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         if len(word) < 256:
             self[word] = h
@@ -377,7 +377,8 @@ def link_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **o
     """Per document row: id, class_id (the smallest id of its class), n_links."""
     rows, classes = near_duplicates(docs.select(id_col, text), text, **options)
     named = cut_lineage(classes.join(rows.select("key", F.col(f"row.{id_col}").alias("id")), "key"), "ngram-classes")
-    least = named.groupBy("class_key").agg(F.min("id").alias("class_id"))
+    # written, so that the join back is between plain tables and a large class can be split
+    least = cut_lineage(named.groupBy("class_key").agg(F.min("id").alias("class_id")), "ngram-class-ids")
     return named.join(least, "class_key").select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
@@ -387,4 +388,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **opti
     named = cut_lineage(classes.join(rows.select("key", F.col(f"row.{id_col}").alias("id")), "key"), "ngram-classes")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     kept = named.groupBy("class_key").agg(first).select("first.key")
-    return rows.join(kept, "key", "left_semi").select("row.*")
+    return rows.join(kept.hint("merge"), "key", "left_semi").select("row.*")

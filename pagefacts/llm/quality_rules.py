@@ -190,25 +190,23 @@ def judged(
 def filter_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    The measures are judged per row, so repeated rows stay repeated; cutoffs are fitted first
-    and the texts are then judged in one more pass without moving them.
+    Measured in two passes that move no text: the first leaves numbers for fitting the cutoffs,
+    the second judges each row where it is.
     """
     text, stratum = options.get("text", "text"), options.get("stratum", "lang")
-    rules = options.get("rules", RULES)
-    id_col = options.get("id_col", "doc_id")
-    measures = measured(docs, text).select("row", *MEASURES)
-    known = labels.select(F.col(id_col).alias("_id"))
-    fitting = measured(docs.join(known, F.col(id_col) == F.col("_id"), "left_semi"), text).select(
-        F.col(f"row.{id_col}").alias(id_col), F.coalesce(F.col(f"row.{stratum}"), F.lit("")).alias("stratum"), *MEASURES
-    )
+    rules, id_col = options.get("rules", RULES), options.get("id_col", "doc_id")
+    level = F.coalesce(F.col(f"row.{stratum}"), F.lit("")).alias("stratum")
+    numbers = measured(docs, text).select(F.col(f"row.{id_col}").alias(id_col), level, *MEASURES)
     cuts = fit_cutoffs(
-        fitting, labels, id_col, "stratum", rules, options.get("risk", RISK), options.get("error", ERROR)
-    )
+        cut_lineage(numbers, "quality-measures"), labels, id_col, "stratum", rules,
+        options.get("risk", RISK), options.get("error", ERROR),
+    )
     verdict = ~base_failed()
     for r in rules:
         verdict = verdict & ~rejected_by(r, F.col(f"cut_{r.name}"))
     return (
-        measures.withColumn("stratum", F.coalesce(F.col(f"row.{stratum}"), F.lit("")))
+        measured(docs, text)
+        .select("row", level, *MEASURES)
         .join(cuts, F.col("stratum") == F.col("_stratum"), "left")
         .filter(verdict)
         .select("row.*")
