@@ -158,6 +158,7 @@ def _pack_texts(source, capacity: int, limit: int, end_id: int):
                 yield flush()
         if rows:
             yield flush()
+        cache.rest()
 
     return run
 

@@ -89,6 +89,7 @@ def count_tokens(
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"]
             )
+        cache.rest()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (
