@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,14 +48,26 @@ def sha1_base32(binary: Column) -> Column:
     return F.translate(F.concat(*parts), _CONV, _RFC)
 
 
+def _deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+        columns["body"] = pa.array([zlib.compress(b, 1) for b in columns["body"].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def plan_records(pages: DataFrame, id_col: str, html: str, url: str, min_bytes: int) -> DataFrame:
-    """(id, url, body, digest, number, refers): number counts repeated rows, refers is set for revisits."""
+    """(id, url, body, digest, number, refers): number counts repeated rows, refers is set for revisits.
+
+    Bodies travel once, by id, and deflated.
+    """
     rows = pages.select(
         F.col(id_col).cast("string").alias("id"),
         F.col(id_col).alias("order"),
         F.col(url).alias("url"),
         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("body"),
-    ).withColumn("digest", sha1_base32(F.col("body")))
+    ).withColumns({"digest": sha1_base32(F.col("body")), "size": F.octet_length("body").cast("long")})
+    kind = pages.schema[id_col].dataType.simpleString()
+    deflated = rows.mapInArrow(_deflate, f"id string, order {kind}, url string, body binary, digest string, size long")
     large = rows.filter(F.octet_length("body") >= min_bytes).select("order", "digest")
     first = (
         large.groupBy("digest")
@@ -65,8 +78,8 @@ def plan_records(pages: DataFrame, id_col: str, html: str, url: str, min_bytes:
     others = large.join(first, "digest").filter(~F.col("order").eqNullSafe(F.col("first"))).distinct()
     others = others.select(F.col("order").alias("o2"), F.col("digest").alias("d2"), F.col("first").cast("string").alias("refers"))
     number = F.row_number().over(Window.partitionBy("order", "digest").orderBy("url")) - 1
-    joined = rows.join(others, same([F.col("order"), F.col("digest")], [F.col("o2"), F.col("d2")]), "left")
-    repeated = (F.octet_length("body") >= min_bytes) & (F.col("number") > 0)
+    joined = deflated.join(others, same([F.col("order"), F.col("digest")], [F.col("o2"), F.col("d2")]), "left")
+    repeated = (F.col("size") >= min_bytes) & (F.col("number") > 0)
     return joined.withColumn("number", number).select(
         "id", "url", "body", "digest", "number",
         F.coalesce("refers", F.when(repeated, F.coalesce("id", F.lit("")))).alias("refers"),
@@ -148,8 +161,9 @@ def write_archives(
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 out = []
+                body = zlib.decompress(row["body"])
                 for text in page_records(
-                    row["id"], row["url"], row["body"], row["digest"], row["number"], row["refers"], chunk_bytes, date
+                    row["id"], row["url"], body, row["digest"], row["number"], row["refers"], chunk_bytes, date
                 ):
                     out.append(text)
                     if len(out) == 64:
