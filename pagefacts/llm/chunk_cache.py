@@ -9,7 +9,7 @@ from collections.abc import Callable
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Entries of one generation of a worker's cache, and the longest chunk that is kept (characters).
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 850_000
 KEPT_CHUNK = 128
 
 #: Texts that are cut into chunks at a time.
