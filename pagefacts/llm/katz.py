@@ -1,11 +1,11 @@
 """Katz backoff language model over word pairs, with Good-Turing discounts.
 
-P(w | h) is the discounted relative frequency of (h, w) where that pair was kept, and else
+P(w | h) is the discounted relative frequency of (h, w) where that pair was seen, and else
 alpha(h) P(w), with P(w) = (c + 1) / (N + V + 1) over the training tokens, one share being left
 for unknown words. The discounts of counts up to ``GT_MAX`` follow Good-Turing from the numbers
-of pairs of each count; pairs seen fewer than ``MIN_COUNT`` times are not kept. alpha(h) is the
-freed mass over the mass P leaves to the words not kept after h, summed exactly, so that each
-context's probabilities add up to one.
+of pairs of each count; pairs seen at least ``MIN_COUNT`` times, which is all of them, are kept.
+alpha(h) is the freed mass over the mass P leaves to the words not kept after h, summed exactly,
+so that each context's probabilities add up to one.
 
 Counting: a map task hashes its words, counts words or pairs over runs of ``RUN_TOKENS`` and
 sends arrays to buckets. A pair goes by its context; contexts among the ``HEAD_WORDS`` most
@@ -39,7 +39,7 @@ from pagefacts.llm.common import bytes_of
 from pagefacts.session import cut_lineage
 
 GT_MAX = 5
-MIN_COUNT = 2
+MIN_COUNT = 1
 RUN_TOKENS = 1_000_000
 BUCKET_BYTES = 32_000_000
 HEAD_WORDS = 131_072
@@ -397,8 +397,8 @@ def _frequent_pairs(model: Fitted, most: int) -> Table:
     return Table(*_gains(h, w, c, cw, contexts, model.discount, model.tokens + model.vocabulary + 1.0))
 
 
-#: Bytes of a key that is sent: its bucket and 48 bits tell it from every key of the bucket's table.
-KEY_BYTES = 6
+#: Bytes of a key that is sent: its bucket and 56 bits tell it from every key of the bucket's table.
+KEY_BYTES = 7
 
 #: level 0: sums of a batch of documents as far as the map task knows them; 1 and 2: words and pairs to look up,
 #: with the places of their documents in the batch and how many keys each has.

@@ -397,6 +397,17 @@ def test_katz_cases(docs):
     assert katz.score(docs([]), katz.fit(docs([]), F.lit(True))).count() == 0
 
 
+def test_katz_keeps_pairs_seen_once(docs):
+    from pyspark.sql import functions as F
+
+    frame = docs([(1, "x y"), (2, "X y"), (3, "y x")])
+    got = {r.doc_id: r for r in katz.score(frame, katz.fit(frame, F.col("doc_id") == 1)).collect()}
+    # three pairs of count 1, discounted by a half: each word has probability 1/2 after its own context
+    assert got[1].score == pytest.approx(3 * math.log10(1 / 2)) and got[2].score == pytest.approx(got[1].score)
+    # words known (2/7 each) in unseen pairs: each context gives its freed half to the other words
+    assert got[3].score == pytest.approx(3 * math.log10(0.5 / (1 - 2 / 7) * 2 / 7))
+
+
 # benchmark
 
 
