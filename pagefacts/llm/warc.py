@@ -17,7 +17,8 @@ combined before the shuffle, and an equi-join that may be split where one payloa
 
 Defined cases: null payloads count as empty; null ids come after all others and, if nothing else
 has the payload, stay responses; of repeated rows (same id, same payload) one is the response and
-the rest revisit it; null addresses become urn:page:<id>; control characters in addresses are
+the rest revisit it; rows of one id with other payloads, and rows without id, have the digest in
+their record identifier, so that each row is a record of its own; null addresses become urn:page:<id>; control characters in addresses are
 percent-encoded; extra columns are ignored; an empty table gives an archive without records.
 """
 
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagefacts.llm.common import same
+from pagefacts.session import cut_lineage
 
 CHUNK_BYTES = 65_536
 DATE = "1970-01-01T00:00:00Z"
@@ -55,10 +57,17 @@ def _deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def record_name(page: Column, number: Column, digest: Column, rest: Column) -> Column:
+    """The identifier of a row's record. Rows beside the least digest of their id (``rest``) and rows without id carry theirs."""
+    plain = F.concat(F.lit("urn:page:"), page, F.lit(":"), number)
+    bare = F.concat(F.lit("urn:page:"), number, F.lit("."), digest)
+    return F.when(page.isNull(), bare).when(rest, F.concat(plain, F.lit("."), digest)).otherwise(plain)
+
+
 def plan_records(pages: DataFrame, id_col: str, html: str, url: str, min_bytes: int) -> DataFrame:
-    """(id, url, body, digest, number, refers): number counts repeated rows, refers is set for revisits.
+    """(id, url, body, digest, name, refers): names are distinct, refers is the name a revisit refers to.
 
-    Bodies travel once, by id, and deflated.
+    Bodies travel once, by id, and deflated; ids and digests are written once and read by all that choose among them.
     """
     rows = pages.select(
         F.col(id_col).cast("string").alias("id"),
@@ -68,21 +77,40 @@ def plan_records(pages: DataFrame, id_col: str, html: str, url: str, min_bytes:
     ).withColumns({"digest": sha1_base32(F.col("body")), "size": F.octet_length("body").cast("long")})
     kind = pages.schema[id_col].dataType.simpleString()
     deflated = rows.mapInArrow(_deflate, f"id string, order {kind}, url string, body binary, digest string, size long")
-    large = rows.filter(F.octet_length("body") >= min_bytes).select("order", "digest")
+    keys = cut_lineage(rows.select("order", "digest", "size"), "warc-keys")
+    several = (
+        keys.filter("order is not null")
+        .groupBy(F.col("order").alias("o"))
+        .agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+        .filter("least < most")
+    )
+    rest = keys.join(several, F.col("order") == F.col("o")).filter("digest > least").select("order", "digest").distinct()
+    rest = rest.select(F.col("order").alias("o1"), F.col("digest").alias("d1"), F.lit(True).alias("rest"))
+    large = keys.filter(F.col("size") >= min_bytes).select("order", "digest")
     first = (
         large.groupBy("digest")
         .agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 and first is not null")
-        .select("digest", "first")
+        .join(rest, (F.col("first") == F.col("o1")) & (F.col("digest") == F.col("d1")), "left")
+    )
+    beside = F.coalesce(F.col("rest"), F.lit(False))
+    named = record_name(F.col("first").cast("string"), F.lit(0), F.col("digest"), beside)
+    first = first.select("digest", "first", named.alias("refers"))
+    others = large.join(first, "digest").filter(~F.col("order").eqNullSafe(F.col("first")))
+    marks = (
+        others.select(F.col("order").alias("o2"), F.col("digest").alias("d2"), "refers", F.lit(False).alias("rest"))
+        .unionByName(rest.select(F.col("o1").alias("o2"), F.col("d1").alias("d2"), F.lit(None).cast("string").alias("refers"), "rest"))
+        .groupBy("o2", "d2")
+        .agg(F.max("refers").alias("refers"), F.max("rest").alias("rest"))
     )
-    others = large.join(first, "digest").filter(~F.col("order").eqNullSafe(F.col("first"))).distinct()
-    others = others.select(F.col("order").alias("o2"), F.col("digest").alias("d2"), F.col("first").cast("string").alias("refers"))
     number = F.row_number().over(Window.partitionBy("order", "digest").orderBy("url")) - 1
-    joined = deflated.join(others, same([F.col("order"), F.col("digest")], [F.col("o2"), F.col("d2")]), "left")
+    joined = deflated.join(marks, same([F.col("order"), F.col("digest")], [F.col("o2"), F.col("d2")]), "left")
     repeated = (F.col("size") >= min_bytes) & (F.col("number") > 0)
+    own = record_name(F.col("id"), F.lit(0), F.col("digest"), beside)
     return joined.withColumn("number", number).select(
-        "id", "url", "body", "digest", "number",
-        F.coalesce("refers", F.when(repeated, F.coalesce("id", F.lit("")))).alias("refers"),
+        "id", "url", "body", "digest",
+        record_name(F.col("id"), F.col("number"), F.col("digest"), beside).alias("name"),
+        F.coalesce("refers", F.when(repeated, own)).alias("refers"),
     )
 
 
@@ -115,9 +143,8 @@ def _address(url: str | None, page: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
 
 
-def page_records(page, url, body: bytes, digest: str, number: int, refers, size: int, date: str) -> Iterator[str]:
+def page_records(page, url, body: bytes, digest: str, name: str, refers, size: int, date: str) -> Iterator[str]:
     """The WARC records of one page row, chunk by chunk."""
-    name = f"urn:page:{page or ''}:{number}"
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
     about = [("WARC-Date", date), ("WARC-Target-URI", _address(url, page or ""))]
     kind = [("Content-Type", "application/http; msgtype=response")]
@@ -125,7 +152,7 @@ def page_records(page, url, body: bytes, digest: str, number: int, refers, size:
         yield _record(
             [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name}>"), *about,
              ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-             ("WARC-Refers-To", f"<urn:page:{refers}:0>"), ("WARC-Payload-Digest", f"sha1:{digest}"), *kind],
+             ("WARC-Refers-To", f"<{refers}>"), ("WARC-Payload-Digest", f"sha1:{digest}"), *kind],
             head,
         )
         return
@@ -163,7 +190,7 @@ def write_archives(
                 out = []
                 body = zlib.decompress(row["body"])
                 for text in page_records(
-                    row["id"], row["url"], body, row["digest"], row["number"], row["refers"], chunk_bytes, date
+                    row["id"], row["url"], body, row["digest"], row["name"], row["refers"], chunk_bytes, date
                 ):
                     out.append(text)
                     if len(out) == 64:
@@ -209,7 +236,8 @@ def _digest_of(value: bytes) -> str:
 
 
 def _page_of(record_id: str) -> str | None:
-    return record_id.removeprefix("urn:page:").rsplit(":", 1)[0] or None
+    page, colon, _ = record_id.removeprefix("urn:page:").rpartition(":")
+    return page if colon else None
 
 
 def _read(with_data: bool):

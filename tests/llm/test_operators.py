@@ -154,6 +154,31 @@ def test_warc_smaller_payloads_stay_responses(spark, frame, tmp_path):
     assert got == {("1", "response"), ("2", "response"), ("3", "response"), ("4", "revisit")}
 
 
+def test_warc_ids_with_several_payloads(spark, frame, tmp_path):
+    bodies = ["a" * 2500, "b", "c" * 1500, "a" * 2500]
+    rows = [(page, f"u{k}", body) for page in (None, 5, 7) for k, body in enumerate(bodies)] + [(9, "u", "b"), (None, "u", "only"), (3, "u", "c" * 1500)]
+    warc.write_archives(frame(rows, "page_id long, url string, html string"), str(tmp_path / "a"), chunk_bytes=1000)
+    chunks = warc.read_chunks(spark, str(tmp_path / "a")).cache()
+    heads = [r.record_id for r in chunks.filter("chunk = 1").collect()]
+    assert len(heads) == len(set(heads)) == len(rows)
+    first, seen, want = {"a" * 2500: "5", "b": "5", "c" * 1500: "3", "only": None}, set(), Counter()
+    for page, _, body in rows:
+        page = None if page is None else str(page)
+        response = page == first[body] and (page, body) not in seen
+        seen.add((page, body))
+        want[page, "response" if response else "revisit", None if response else first[body], len(body),
+             base64.b32encode(hashlib.sha1(body.encode()).digest()).decode()] += 1
+    got = warc.records(chunks).collect()
+    assert Counter((r.page, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in got) == want
+    # a revisit names the response of its own payload, whatever other payloads that id has
+    lines = spark.read.option("lineSep", "\r\n").text(str(tmp_path / "a")).collect()
+    digest = {r.record_id: r.payload_digest for r in got if r.record_type == "response"}
+    named = [r.value for r in lines if r.value.startswith(("WARC-Refers-To: ", "WARC-Payload-Digest: "))]
+    pairs = [(a, b) for a, b in zip(named, named[1:]) if a.startswith("WARC-Refers-To: ")]
+    assert len(pairs) == sum(n for k, n in want.items() if k[1] == "revisit")
+    assert all(b == f"WARC-Payload-Digest: sha1:{digest[a.split('<')[1].rstrip('>')]}" for a, b in pairs)
+
+
 def test_warc_without_pages(spark, frame, tmp_path):
     warc.write_archives(frame([], "page_id long, url string, html string"), str(tmp_path / "a"))
     assert warc.read_chunks(spark, str(tmp_path / "a")).count() == 0
