@@ -94,6 +94,73 @@ def test_license_scan(docs):
     assert licenses.scan(docs([])).count() == 0
 
 
+MIT = '''MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+'''
+BSD = '''Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+'''
+APACHE = '''Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+'''
+GPL = '''This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+'''
+
+
+def test_license_texts_inside_longer_documents(docs):
+    around = "\n".join(prose(s, 40) for s in range(6))
+    grant = MIT[MIT.index("Permission") : MIT.index("The above")]
+    commented = "\n".join(f" * {line}".rstrip() for line in grant.split("\n"))
+    rows = [(k, f"{around}\n\n{t}\n{around}") for k, t in enumerate([MIT, BSD, APACHE, GPL, " ".join(GPL.split()), grant, commented + "\n *\n"])]
+    rows += [(10, " ".join(f"{prose(1, 30)}. {MIT[MIT.index('Permission'):]} {prose(2, 30)}.".split())), (11, around)]
+    got = {r.doc_id: r for r in licenses.scan(docs(rows)).collect()}
+    names = {k: r.license and r.license.split("-")[0] for k, r in got.items()}
+    assert names == {0: "mit", 1: "bsd", 2: "apache", 3: "gpl", 4: "gpl", 5: "mit", 6: "mit", 10: "mit", 11: None}
+    assert got[0].n_units >= 4 and got[1].n_units >= 2 and got[2].n_units >= 3 and got[3].n_units >= 3
+    assert got[5].license == got[6].license == "mit-grant" and got[11].n_units == 0
+
+
 def test_license_pruning_loses_nothing(docs):
     rng = random.Random(5)
     texts = []
