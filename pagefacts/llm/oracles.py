@@ -97,3 +97,46 @@ SELECT doc_id, class_id, (SELECT count(*) FROM e WHERE e.x = d.k) AS n_links FRO
 ORACLES["op3_warc"] = r"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, octet_length(encode(h)) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(sha1(h), 1 + 5 * (k // 4)::INT, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31))::INT, 1) for k in range(32)], '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+
+def _repair() -> str:
+    add = lambda s, cost, edit: f"printf('%08d', CAST(left({s}, 8) AS BIGINT) + {cost}) || '{edit}' || substr({s}, 9)"
+    after = (2, 2, 3, 2)  # start, system, user, assistant: the state behind a new role
+    keep = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+    plain = []
+    for q in range(4):
+        kept = " ".join(f"WHEN i1 = '{r}' THEN {add(f'k{t}', 'more', 'K')}" for r, t in keep[q].items())
+        given = add(f"k{after[q]}", "1 + more", "R")
+        plain.append(f"least({add(f'k{q}', 2, 'D')}, CASE WHEN gone THEN 'z' {kept} ELSE 'z' END, CASE WHEN gone THEN 'z' ELSE {given} END) AS p{q}")
+    once = ", ".join(f"p{q}, least(p{q}, {add(f'p{after[q]}', 5, 'I')}) AS b{q}" for q in range(4))
+    twice = ", ".join(f"least(p{q}, {add(f'b{after[q]}', 5, 'I')}) AS k{q}" for q in range(4))
+    crc = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))))"""
+    return f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS t, {crc} % 20 AS h
+  FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations)),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE r END AS r,
+  CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS t, unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) FROM c WHERE h <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t) AS i FROM d),
+o AS (SELECT *, left(r, 1) AS i1, row_number() OVER (PARTITION BY conv_id, r, t ORDER BY i) > 1 AS seen, regexp_replace(t, '[\\x20\\x09-\\x0D]+$', '') AS e FROM p),
+f AS (SELECT *, e = '' AS blank, e <> '' AND seen AS duplicate, e <> '' AND NOT seen AND right(e, 1) NOT IN ('.', '!', '?') AS truncated,
+  lag(i1) OVER (PARTITION BY conv_id ORDER BY i) || i1 AS pair FROM o),
+g AS (SELECT *, blank OR duplicate AS gone, CASE WHEN truncated THEN 5 ELSE 0 END AS more FROM f),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+  count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM g GROUP BY conv_id),
+x AS (SELECT conv_id, n + 1 AS i, '00000000' AS k0, '00000010II' AS k1, '00000005I' AS k2, '00000000' AS k3 FROM n
+  UNION ALL SELECT conv_id, i, {twice} FROM (SELECT conv_id, i, {once} FROM (SELECT g.conv_id, g.i, {", ".join(plain)}
+  FROM x JOIN g ON g.conv_id IS NOT DISTINCT FROM x.conv_id AND g.i = x.i - 1))),
+s AS (SELECT conv_id, CAST(left(k0, 8) AS BIGINT) AS cost, substr(k0, 9) AS audit FROM x WHERE i = 1),
+a AS (SELECT conv_id, j, substr(audit, j, 1) AS edit, j - length(replace(left(audit, j), 'I', '')) AS inserted, length(replace(left(audit, j), 'D', '')) AS place
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM s)),
+b AS (SELECT a.*, g.r, g.t, g.i1, coalesce(max(CASE WHEN place = 1 AND edit = 'K' AND i1 = 's' THEN 1 END) OVER (PARTITION BY a.conv_id), 0) AS led
+  FROM a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id AND g.i = a.j - a.inserted AND edit <> 'I' WHERE edit <> 'D'),
+y AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN r WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(t, ''), chr(10) ORDER BY j) AS whole
+  FROM b GROUP BY conv_id),
+z AS (SELECT n.* EXCLUDE (n), cost, audit, whole FROM n JOIN s ON s.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM n.conv_id)
+SELECT q.conv_id, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))},
+  coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM q.conv_id"""
+
+
+ORACLES["op13_conversation_repair"] = _repair()

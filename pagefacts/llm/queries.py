@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ over the given tables, with comparison SQL where SQL can say it."""
+"""The queries op1_ to op13_ over the given tables, with comparison SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagefacts.llm import decontaminate, katz, language_id, licenses, line_dedup, ngram_join, packing, quality_rules, token_counts, warc
+from pagefacts.llm import (
+    conversation_repair, decontaminate, katz, language_id, licenses, line_dedup, ngram_join, packing, periodic_runs, quality_rules,
+    token_counts, warc,
+)
 from pagefacts.llm.common import crc_mod, table
 from pagefacts.llm.oracles import ORACLES
 from pagefacts.session import durable_dir
@@ -91,3 +94,15 @@ def op10_decontamination(spark, sf_dir):
         F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256",
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.repeat_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digests(periodic_runs.collapse(docs))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(damaged, present="present")
