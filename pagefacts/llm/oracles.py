@@ -140,3 +140,14 @@ FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN z ON z.conv_id IS
 
 
 ORACLES["op13_conversation_repair"] = _repair()
+
+ORACLES["op12_suffix_dedup"] = """WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(doc_id, -9223372036854775808) AS id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT k, id, i, substring(x, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, greatest(length(x) // 2 - 49, 0))) AS i FROM d)),
+h AS (SELECT k, i FROM (SELECT k, id, i, min(id) OVER (PARTITION BY s) AS least FROM w) WHERE least < id),
+g AS (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS g FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM h)),
+s AS (SELECT k, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY k, g),
+p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM s),
+t AS (SELECT p.k, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(x), 2 * max(b) + 1) AS kept
+  FROM p JOIN d ON d.k = p.k GROUP BY p.k)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN t ON t.k = d.k"""

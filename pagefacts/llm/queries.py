@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagefacts.llm import (
     conversation_repair, decontaminate, katz, language_id, licenses, line_dedup, ngram_join, packing, periodic_runs, quality_rules,
-    token_counts, warc,
+    suffix_dedup, token_counts, warc,
 )
 from pagefacts.llm.common import crc_mod, table
 from pagefacts.llm.oracles import ORACLES
@@ -102,6 +102,11 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic_runs.digests(periodic_runs.collapse(docs))
 
 
+@query
+def op12_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(suffix_dedup.remove_shared(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query
 def op13_conversation_repair(spark, sf_dir):
     damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))

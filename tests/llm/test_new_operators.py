@@ -7,11 +7,13 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
-from brute_new import collapsed, damaged, repair, runs, tails
+from brute_new import collapsed, damaged, removed, repair, runs, tails
 from pyspark.sql import functions as F
 
 from pagefacts.llm import conversation_repair as cr
+from pagefacts.llm import induced_sort, suffix_dedup
 from pagefacts.llm import periodic_runs as pr
 
 
@@ -142,3 +144,83 @@ def test_one_long_conversation(spark, frame):
     r = cr.repair(df).first()
     assert (r.cost, r.gaps, r.illegal, r.audit) == (2, 0, 0, "K" * 30_000 + "D")
     assert cr.repair(frame([], TALK)).collect() == []
+
+
+def _sorted_suffixes(data, width, scratch):
+    text = np.frombuffer(data + bytes(width + 8), np.uint8)
+    found = list(induced_sort.suffixes_descending(text[: len(data)], 256, scratch, width, induced_sort.comparer(text, width)))
+    return [x for _, pos, _ in found for x in pos.tolist()], [x for _, _, v in found for x in v.tolist()]
+
+
+def _shared(a, b, width):
+    return len(os.path.commonprefix((a[:width], b[:width])))
+
+
+@pytest.mark.parametrize(("piece", "memory"), [(65_536, 1 << 30), (5, 300), (64, 60)])
+def test_suffixes_and_common_prefixes(tmp_path, monkeypatch, piece, memory):
+    """Ordinary and periodic strings, also where every queue and array is on disk."""
+    monkeypatch.setattr(induced_sort, "PIECE", piece)
+    rng = random.Random(piece)
+    for n in [0, 1, 2, *[rng.randint(3, 150) for _ in range(250)]]:
+        data = bytes(rng.randrange(1, rng.choice([2, 3, 4, 200])) for _ in range(n))
+        data = rng.choice([data, data[:20] * 4 + data, bytes(sorted(data))])
+        with induced_sort.Scratch(str(tmp_path), memory) as scratch:
+            order, values = _sorted_suffixes(data, 9, scratch)
+        want = sorted(range(len(data)), key=lambda i: data[i:], reverse=True)
+        assert order == want
+        assert values == [0] * bool(data) + [_shared(data[a:], data[b:], 9) for a, b in zip(want, want[1:], strict=False)]
+    assert os.listdir(tmp_path) == []
+
+
+def test_suffixes_on_disk(tmp_path):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    data = " ".join(rng.choice(words) for _ in range(60_000)).encode()
+    with induced_sort.Scratch(str(tmp_path), 200_000) as scratch:
+        order, values = _sorted_suffixes(data, 50, scratch)
+        assert scratch.files > 10
+    assert sorted(order) == list(range(len(data)))
+    for k in rng.sample(range(1, len(order)), 3000):
+        a, b = data[order[k - 1] : order[k - 1] + 2000], data[order[k] : order[k] + 2000]
+        assert a >= b and values[k] == _shared(a, b, 50)
+
+
+def _overlapping(rng, n):
+    """Texts that share passages, copies, near copies, and periodic and multi-byte ones."""
+    parts = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(30, 140))) for _ in range(25)]
+    rows = []
+    for i in range(n):
+        text = "".join(rng.choice(parts) if rng.random() < 0.6 else "".join(rng.choice("wxyz") for _ in range(rng.randint(5, 90))) for _ in range(rng.randint(0, 6)))
+        if rng.random() < 0.1:
+            text = "ab" * rng.randint(20, 300)
+        if rows and rng.random() < 0.25:
+            text = rng.choice(rows)[1] or ""
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + rng.choice(["", "!"]) + text[at:]
+        rows.append((rng.choice([i, i, i, max(i - 3, 0), None]), rng.choice([text, text, text, None, ""]) if rng.random() < 0.1 else text))
+    return rows
+
+
+@pytest.mark.parametrize(("shard", "memory", "group"), [(16_000_000, 1 << 30, 4_000_000), (3000, 500, 2500)])
+def test_shared_strings_of_documents(docs, monkeypatch, shard, memory, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
+    rows = _overlapping(random.Random(shard), 160)
+    found = suffix_dedup.remove_shared(docs(rows, 4), shard_bytes=shard, memory=memory)
+    assert found.select("row.*").columns == ["doc_id", "lang", "row", "key", "n_words"]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(found).collect())
+    want = sorted((str(d), *rest) for d, *rest in removed([(d, (t or "").encode()) for d, t in rows]))
+    assert got == want and sum(r[2] > 0 for r in want) > 30
+
+
+def test_shared_strings_edge_cases(docs):
+    assert suffix_dedup.remove_shared(docs([])).collect() == []
+    rows = [(1, None), (2, ""), (3, "x" * 49), (4, "x" * 49), (5, "y" * 50), (6, "y" * 51), (7, "z" * 200_000), (8, "q" + "z" * 60), (8, "z" * 60), (9, "ö" * 25), (10, "ö" * 30)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(suffix_dedup.remove_shared(docs(rows))).collect())
+    assert got == sorted(removed([(d, (t or "").encode()) for d, t in rows]))
+
+
+def test_documents_stand_still(docs, monkeypatch):
+    """The table of groups is read without an exchange of texts."""
+    plan = suffix_dedup.remove_shared(docs([(1, "a" * 80), (2, "a" * 80)]))._jdf.queryExecution().executedPlan().toString()
+    sides = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(sides) == 1 and "Scan parquet" in plan
