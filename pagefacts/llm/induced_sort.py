@@ -82,23 +82,30 @@ class Scratch:
             shutil.rmtree(self.folder, ignore_errors=True)
 
 
+def whole(n: int) -> type:
+    """The narrowest type here for whole numbers up to ``n``."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 class TupleQueue:
     """Tuples (key, position, value) by key, then order of arrival; keys below ``low`` are done."""
 
-    def __init__(self, scratch: Scratch):
+    def __init__(self, scratch: Scratch, keys: int, positions: int):
         self.scratch, self.runs, self.inbox, self.waiting, self.low = scratch, [], [], 0, 0
+        self.kinds = (whole(keys), whole(positions), np.uint8)
+        self.bytes = sum(np.dtype(k).itemsize for k in self.kinds)
 
     def push(self, tuples: tuple) -> None:
         """Takes tuples that are sorted by key. Parts of the inbox at least halve in size, so they are few."""
         self.waiting += len(tuples[0])
-        recent = [tuples]
+        recent = [tuple(x.astype(k, copy=False) for x, k in zip(tuples, self.kinds, strict=True))]
         while self.inbox and len(self.inbox[-1][0]) < 2 * sum(len(t[0]) for t in recent):
             recent.insert(0, self.inbox.pop())
         self.inbox.append(self._ahead(recent))
-        if self.waiting * 17 > self.scratch.memory:
+        if self.waiting * self.bytes > self.scratch.memory:
             merged = self._ahead(self.inbox)
             self.inbox, self.waiting = [merged], len(merged[0])
-            if self.scratch.folder and self.waiting * 34 > self.scratch.memory:
+            if self.scratch.folder and 2 * self.waiting * self.bytes > self.scratch.memory:
                 self.runs.append(tuple(map(self.scratch.kept, merged)))
                 self.inbox, self.waiting = [], 0
 
@@ -266,7 +273,7 @@ def _s_type(x: np.ndarray, out: np.ndarray) -> np.ndarray:
 
 def _valleys(s: np.ndarray) -> np.ndarray:
     """Positions of LMS suffixes, in order of the string."""
-    return np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    return (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(whole(len(s)))
 
 
 def _given(keys: np.ndarray, read: Callable) -> Callable:
@@ -303,13 +310,13 @@ def _induce(x, symbols: int, s: np.ndarray, seeds: np.ndarray, values: np.ndarra
         front = x[np.maximum(pos - 1, 0)].astype(np.int64)
         return np.where((pos > 0) & (front >= key >> 1), 2 * front, -1)
 
-    queue = TupleQueue(scratch)
+    queue = TupleQueue(scratch, 2 * symbols, n)
     up = Sweep(queue, _given(below(lows), seed), both(l_counts, lows), ascending, cap, seam)
     queue.push((np.array([2 * int(x[n - 1])]), np.array([n - 1]), np.zeros(1, np.uint8)))
     if cap:
         up.last[int(x[n - 1])] = _END
     total = int(l_counts.sum())
-    l_pos, l_value, at = scratch.array(total, np.int64), scratch.array(total, np.uint8), 0
+    l_pos, l_value, at = scratch.array(total, whole(n)), scratch.array(total, np.uint8), 0
     for key, pos, v in up.run():
         mine = key & 1 == 0
         m = int(mine.sum())
@@ -318,7 +325,7 @@ def _induce(x, symbols: int, s: np.ndarray, seeds: np.ndarray, values: np.ndarra
 
     def downwards(a, b):
         """L tuples from the largest; each shares with the one before what that shared with it."""
-        pos = np.array(l_pos[total - b : total - a][::-1])
+        pos = np.array(l_pos[total - b : total - a][::-1], np.int64)
         shifted = np.r_[0, l_value[total - b + 1 : total - a][::-1]] if a == 0 else l_value[total - b + 1 : total - a + 1][::-1]
         return 2 * (symbols - 1 - x[pos].astype(np.int64)) + 1, pos, shifted.astype(np.uint8)
 
@@ -327,7 +334,7 @@ def _induce(x, symbols: int, s: np.ndarray, seeds: np.ndarray, values: np.ndarra
         own = symbols - 1 - (key >> 1)
         return np.where((pos > 0) & (front < own + (key & 1 == 0)), 2 * (symbols - 1 - front), -1)
 
-    down = Sweep(TupleQueue(scratch), _given(below(l_counts[::-1]), downwards), both(s_counts[::-1], l_counts[::-1]), descending, cap, seam)
+    down = Sweep(TupleQueue(scratch, 2 * symbols, n), _given(below(l_counts[::-1]), downwards), both(s_counts[::-1], l_counts[::-1]), descending, cap, seam)
     yield from down.run()
 
 
@@ -340,7 +347,8 @@ def _valley_order(x, symbols: int, s: np.ndarray, scratch: Scratch) -> np.ndarra
     first = x[valleys]
     order = np.argsort(first, kind="stable")
     values = np.where(np.r_[False, np.diff(first[order]) == 0], EQUAL, 0).astype(np.uint8)
-    found, name, at, known = scratch.array(m, np.int64), scratch.array(m, np.int64), 0, 0
+    kind = whole(len(x))
+    found, name, at, known = scratch.array(m, kind), scratch.array(m, kind), 0, 0
     for key, pos, v in _induce(x, symbols, s, valleys[order], values, EQUAL, None, scratch):
         ranks = known + np.cumsum(v < EQUAL)
         known = int(ranks[-1])
@@ -353,9 +361,9 @@ def _valley_order(x, symbols: int, s: np.ndarray, scratch: Scratch) -> np.ndarra
     names = int(new.sum())
     if names == m:
         return found[::-1]
-    string = scratch.array(m, np.int64)
+    string = scratch.array(m, whole(names))
     string[np.searchsorted(valleys, found)] = names - np.cumsum(new)
-    out, stop = scratch.array(m, np.int64), m
+    out, stop = scratch.array(m, kind), m
     for _, pos, _ in suffixes_descending(string, names, scratch):
         out[stop - len(pos) : stop] = valleys[pos[::-1]]
         stop -= len(pos)

@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagefacts.llm.common import bytes_of
-from pagefacts.llm.induced_sort import Scratch, comparer, suffixes_descending
+from pagefacts.llm.induced_sort import Scratch, comparer, suffixes_descending, whole
 from pagefacts.session import cut_lineage, durable_dir
 
 WIDTH, GRAM = 50, 24
 GROUP_BYTES, GROUP_ROWS = 4_000_000, 4000
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 8_000_000
 MEMORY = 32_000_000
 _SLAB = 1 << 22
 _PLACE = np.uint64(24)  # bits of a place in a slab
@@ -74,15 +74,15 @@ class Snippets:
         some = sizes > 0
         np.add.at(change, np.maximum(self.starts, self.ends - width + 1)[some], -1)
         np.add.at(change, self.ends[some], 1)
-        whole = np.cumsum(change[:n]) == 0  # a string that starts here ends in the same text
-        found = [self._slab(whole, a, min(a + _SLAB, n), gram) for a in range(0, n, _SLAB)]
+        inside = np.cumsum(change[:n]) == 0  # a string that starts here ends in the same text
+        found = [self._slab(inside, a, min(a + _SLAB, n), gram) for a in range(0, n, _SLAB)]
         kinds = (np.int64, np.int64, np.uint64, np.uint64)
         self.at, self.count, self.anchor, self.body = (
             np.concatenate(c) if found else np.zeros(0, k) for c, k in zip(zip(*found, strict=True) if found else [()] * 4, kinds, strict=True)
         )
         self.text = np.searchsorted(self.ends, self.at, "right")
 
-    def _slab(self, whole: np.ndarray, a: int, b: int, gram: int) -> tuple:
+    def _slab(self, starts: np.ndarray, a: int, b: int, gram: int) -> tuple:
         words = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
         grams = b - a + self.width - gram
         h = _mixed(words[a : a + grams])
@@ -95,7 +95,7 @@ class Snippets:
             have *= 2
         if span > have:
             least = np.minimum(least[: have - span], least[span - have :])
-        inside = whole[a:b]
+        inside = starts[a:b]
         edge = np.r_[True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]), True]
         at = np.flatnonzero(edge)
         count, at = np.diff(at), at[:-1]
@@ -224,22 +224,23 @@ def _send(width: int, gram: int, buckets: int):
     return run
 
 
-def _least_documents(x: np.ndarray, n: int, ends: np.ndarray, doc: np.ndarray, width: int, scratch: Scratch) -> np.ndarray:
-    """Per place of the snippets laid end to end: the least document that has the string that starts there."""
-    out = scratch.array(n, np.int64)
+def _least_documents(x: np.ndarray, n: int, ends: np.ndarray, doc: np.ndarray, width: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, per place of the snippets laid end to end the number of the least that has the string there)."""
+    known, doc = np.unique(doc, return_inverse=True)
+    out = scratch.array(n, whole(len(known)))
     held_pos, held_doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for _, pos, shared in suffixes_descending(x[:n], 256, scratch, width, comparer(x, width)):
         group = np.cumsum(shared < width)
         snippet = np.searchsorted(ends, pos, "right")
-        whole = pos + width <= ends[snippet]
-        pos, group, own = np.r_[held_pos, pos[whole]], np.r_[np.zeros(len(held_pos), np.int64), group[whole]], np.r_[held_doc, doc[snippet[whole]]]
+        fits = pos + width <= ends[snippet]
+        pos, group, own = np.r_[held_pos, pos[fits]], np.r_[np.zeros(len(held_pos), np.int64), group[fits]], np.r_[held_doc, doc[snippet[fits]]]
         if not len(pos):
             continue
         heads = _heads(group)
         out[pos] = np.repeat(np.minimum.reduceat(own, heads), _stops(heads, len(pos)) - heads)
         # the last group may go on in the next piece
         held_pos, held_doc = pos[heads[-1] :], np.full(len(pos) - heads[-1], own[heads[-1] :].min())
-    return out
+    return known, out
 
 
 _FOUND = "src long, bucket int, entry binary, offset binary, count binary, least binary"
@@ -273,7 +274,7 @@ def _shard(rows: list[dict], width: int, scratch: Scratch) -> Iterator[tuple]:
             yield data[np.repeat(begin[mixed[part]] - (starts[part] - starts[at]), sizes[mixed[part]]) + np.arange(total)].tobytes()
 
     text = scratch.joined(pieces(), width + 8)
-    found = _least_documents(text, n, ends, doc[differ], width, scratch)
+    known, found = _least_documents(text, n, ends, doc[differ], width, scratch)
     # back to the snippets of each group of documents
     distinct = np.empty(len(order), np.int64)
     distinct[order] = np.repeat(np.arange(len(one)), times)
@@ -291,7 +292,7 @@ def _shard(rows: list[dict], width: int, scratch: Scratch) -> Iterator[tuple]:
         strings = sizes[part] - width + 1
         who = np.repeat(part, strings)
         off = np.arange(len(who)) - np.repeat(np.cumsum(strings) - strings, strings)
-        least_doc = found[place[distinct[who]] + off]
+        least_doc = known[found[place[distinct[who]] + off]]
         hit = least_doc < most[who]
         edge = _heads(who, np.where(hit, least_doc, 0), hit)
         length = _stops(edge, len(who)) - edge
