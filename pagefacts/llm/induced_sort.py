@@ -4,7 +4,7 @@ Suffixes are sorted as in induced sorting: those that begin a valley of the stri
 are put in order first; they induce the L suffixes in one ascending sweep, and these the S
 suffixes in one descending sweep. To order the LMS suffixes, the stretches between them are
 sorted by the same two sweeps, named by rank, and the string of names, at most half as long, is
-sorted recursively where names repeat.
+sorted recursively where names repeat; once it is small it is sorted in memory.
 
 A sweep is driven by a priority queue of tuples (key, position, common prefix): the key is the
 bucket of a suffix's first symbol, and within a bucket the order of arrival decides. Tuples wait
@@ -363,6 +363,8 @@ def _valley_order(x, symbols: int, s: np.ndarray, scratch: Scratch) -> np.ndarra
         return found[::-1]
     string = scratch.array(m, whole(names))
     string[np.searchsorted(valleys, found)] = names - np.cumsum(new)
+    if 48 * m <= scratch.memory:
+        return valleys[_doubled(string)]
     out, stop = scratch.array(m, kind), m
     for _, pos, _ in suffixes_descending(string, names, scratch):
         out[stop - len(pos) : stop] = valleys[pos[::-1]]
@@ -370,6 +372,21 @@ def _valley_order(x, symbols: int, s: np.ndarray, scratch: Scratch) -> np.ndarra
     return out
 
 
+def _doubled(rank: np.ndarray) -> np.ndarray:
+    """Positions of a string's suffixes in order, in memory: ranks by 1, 2, 4, ... symbols."""
+    n, rank, step = len(rank), rank.astype(np.int64), 1
+    while True:
+        behind = np.zeros(n, np.int64)
+        behind[: max(n - step, 0)] = rank[step:] + 1
+        key = rank * (int(rank.max()) + 2) + behind
+        order = np.argsort(key)
+        new = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]
+        if new[-1] == n - 1:
+            return order
+        rank[order] = new
+        step *= 2
+
+
 def suffixes_descending(x: np.ndarray, symbols: int, scratch: Scratch, width: int = 0, agree: Callable | None = None):
     """(key, position, value) of all suffixes from the largest to the smallest, in pieces.
 

@@ -47,7 +47,7 @@ WIDTH, GRAM = 50, 24
 GROUP_BYTES, GROUP_ROWS = 4_000_000, 4000
 SHARD_BYTES = 8_000_000
 MEMORY = 32_000_000
-_SLAB = 1 << 22
+_SLAB = 1 << 16  # bytes that are hashed at a time, so that they stay in the processor's cache
 _PLACE = np.uint64(24)  # bits of a place in a slab
 
 _LEAST_ID = -(1 << 63)
@@ -130,6 +130,17 @@ def _parts(values: np.ndarray, heads: np.ndarray) -> list[np.ndarray]:
     return np.split(values, heads[1:])[: len(heads)]
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers as compressed bytes."""
+    return pa.compress(b"".join(c.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, rows: int, *kinds: str) -> list[np.ndarray]:
+    sizes = [rows * np.dtype(k).itemsize for k in kinds]
+    raw = pa.decompress(data, sum(sizes), codec="zstd", asbytes=True)
+    return [np.frombuffer(raw, k, rows, sum(sizes[:i])) for i, k in enumerate(kinds)]
+
+
 def _texts(group: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
     group = group.sort_by("no")
     return group, group.column("t").to_pylist(), group.column("d").to_numpy()
@@ -195,11 +206,12 @@ def _masks(group: pa.Table) -> dict[int, bytes]:
     return {b: m for b, m in zip(group.column("bucket").to_pylist(), group.column("mask").to_pylist(), strict=True) if m is not None}
 
 
-_SNIPPETS = "shard int, src long, anchors binary, bodies binary, least binary, most binary, sizes binary, bytes binary"
+_SNIPPETS = "shard int, src long, rows int, snippets binary, size int, bytes binary"
+_SNIPPET = ("<u8", "<i8", "<u4", "<u2", "?")  # body, least document, anchor, size, whether several documents have it
 
 
 def _send(width: int, gram: int, buckets: int):
-    """Per group and shard: its distinct shared snippets with their least and greatest document."""
+    """Per group and shard: its distinct shared snippets with their least document."""
 
     def run(group: pa.Table, marks: pa.Table) -> pa.Table:
         _, texts, d = _texts(group)
@@ -207,19 +219,28 @@ def _send(width: int, gram: int, buckets: int):
         f, heads = own.found, own.heads
         doc = d[f.text[own.order]]
         least = np.minimum.reduceat(doc, heads) if len(heads) else doc
-        most = np.maximum.reduceat(doc, heads) if len(heads) else doc
+        several = np.maximum.reduceat(doc, heads) > least if len(heads) else doc > 0
         one = own.order[heads]
         sizes = f.count[one] + width - 1
-        begin = np.cumsum(sizes) - sizes
-        data = f.data[np.repeat(f.at[one] - begin, sizes) + np.arange(int(sizes.sum()))]
+        columns = [x.astype(k) for x, k in zip((f.body[one], least, own.anchor[heads], sizes, several), _SNIPPET, strict=True)]
         first = own.first_of_bucket
-        blobs = {
-            "anchors": [x.astype("<u4") for x in _parts(own.anchor[heads], first)], "bodies": _parts(f.body[one], first),
-            "least": _parts(least, first), "most": _parts(most, first), "sizes": [x.astype("<u2") for x in _parts(sizes, first)],
-            "bytes": np.split(data, begin[first[1:]])[: len(first)],
-        }
-        columns = {"shard": pa.array(own.bucket[first].astype(np.int32)), "src": pa.array(np.full(len(first), group.column("src")[0].as_py()), pa.int64())}
-        return pa.table(columns | {k: pa.array([x.tobytes() for x in v], pa.binary()) for k, v in blobs.items()})
+        rows, snippets, size, data = [], [], [], []
+        for a, b in zip(first.tolist(), _stops(first, len(heads)).tolist(), strict=True):
+            begin = np.cumsum(sizes[a:b]) - sizes[a:b]
+            total = int(sizes[a:b].sum())
+            text = f.data[np.repeat(f.at[one[a:b]] - begin, sizes[a:b]) + np.arange(total)]
+            rows.append(b - a)
+            snippets.append(_packed(*(c[a:b] for c in columns)))
+            size.append(total)
+            data.append(_packed(text))
+        return pa.table(
+            {
+                "shard": pa.array(own.bucket[first].astype(np.int32)),
+                "src": pa.array(np.full(len(first), group.column("src")[0].as_py()), pa.int64()),
+                "rows": pa.array(rows, pa.int32()), "snippets": pa.array(snippets, pa.binary()),
+                "size": pa.array(size, pa.int32()), "bytes": pa.array(data, pa.binary()),
+            }
+        )
 
     return run
 
@@ -243,15 +264,16 @@ def _least_documents(x: np.ndarray, n: int, ends: np.ndarray, doc: np.ndarray, w
     return known, out
 
 
-_FOUND = "src long, bucket int, entry binary, offset binary, count binary, least binary"
+_FOUND = "src long, bucket int, rows int, found binary"
+_STRINGS = ("<i8", "<u4", "<u2", "<u2")  # least document, snippet, first string, strings
 
 
 def _shard(rows: list[dict], width: int, scratch: Scratch) -> Iterator[tuple]:
-    """(src, bucket, snippet, first string, strings, least document) as arrays, of what earlier documents have."""
-    column = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-    anchor, body, least, most, sizes = (column(*c) for c in (("anchors", "<u4"), ("bodies", "<u8"), ("least", "<i8"), ("most", "<i8"), ("sizes", "<u2")))
+    """Rows of ``_FOUND``: the strings of each group of documents that an earlier document has."""
+    unpacked = zip(*(_unpacked(r.pop("snippets"), r["rows"], *_SNIPPET) for r in rows), strict=True)
+    body, least, anchor, sizes, several = map(np.concatenate, unpacked)
     sizes = sizes.astype(np.int64)
-    data = scratch.joined((r.pop("bytes") for r in rows), 0)
+    data = scratch.joined((_unpacked(r.pop("bytes"), r["size"], "u1")[0].tobytes() for r in rows), 0)
     begin = np.cumsum(sizes) - sizes
     order = np.lexsort((body, anchor))
     heads = _heads(anchor[order], body[order])
@@ -280,10 +302,10 @@ def _shard(rows: list[dict], width: int, scratch: Scratch) -> Iterator[tuple]:
     distinct[order] = np.repeat(np.arange(len(one)), times)
     place = np.full(len(one), -1)
     place[differ] = starts
-    held = np.array([len(r["sizes"]) // 2 for r in rows])
+    held = np.array([r["rows"] for r in rows])
     blob = np.repeat(np.arange(len(rows)), held)
     entry = np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held)
-    plain = np.flatnonzero(~differ[distinct] & (doc[distinct] < most))
+    plain = np.flatnonzero(~differ[distinct] & ((doc[distinct] < least) | several))
     owner = [plain]
     offset, count, value = [np.zeros(len(plain), np.int64)], [sizes[plain] - width + 1], [doc[distinct[plain]]]
     rest = np.flatnonzero(differ[distinct])
@@ -293,7 +315,7 @@ def _shard(rows: list[dict], width: int, scratch: Scratch) -> Iterator[tuple]:
         who = np.repeat(part, strings)
         off = np.arange(len(who)) - np.repeat(np.cumsum(strings) - strings, strings)
         least_doc = known[found[place[distinct[who]] + off]]
-        hit = least_doc < most[who]
+        hit = (least_doc < least[who]) | several[who]
         edge = _heads(who, np.where(hit, least_doc, 0), hit)
         length = _stops(edge, len(who)) - edge
         edge, length = edge[hit[edge]], length[hit[edge]]
@@ -306,10 +328,8 @@ def _shard(rows: list[dict], width: int, scratch: Scratch) -> Iterator[tuple]:
     for at, stop in zip(first.tolist(), _stops(first, len(owner)).tolist(), strict=True):
         r = rows[int(blob[owner[at]])]
         s = slice(at, stop)
-        yield (
-            r["src"], r["shard"], entry[owner[s]].astype("<u4").tobytes(), offset[s].astype("<u2").tobytes(), count[s].astype("<u2").tobytes(),
-            value[s].astype("<i8").tobytes(),
-        )
+        strings = [x[s].astype(k) for x, k in zip((value, entry[owner], offset, count), _STRINGS, strict=True)]
+        yield r["src"], r["shard"], stop - at, _packed(*strings)
 
 
 def _shards(width: int, folder: str | None, memory: int):
@@ -319,8 +339,8 @@ def _shards(width: int, folder: str | None, memory: int):
         with Scratch(folder, memory) as scratch:
             out = list(zip(*_shard(rows, width, scratch), strict=True))
         if out:
-            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["src", "bucket", "entry", "offset", "count", "least"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["src", "bucket", "rows", "found"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -348,15 +368,15 @@ def _remove(width: int, gram: int, buckets: int):
         f = own.found
         first = dict(zip(own.bucket[own.first_of_bucket].tolist(), own.first_of_bucket.tolist(), strict=True))
         cover = np.zeros(len(f.data) + 1, np.int32)
-        for r in answers.select(["bucket", "entry", "offset", "count", "least"]).to_pylist():
-            if r["entry"] is None:
+        for r in answers.select(["bucket", "rows", "found"]).to_pylist():
+            if r["found"] is None:
                 continue
-            entry = first[r["bucket"]] + np.frombuffer(r["entry"], "<u4").astype(np.int64)
-            offset, count = (np.frombuffer(r[c], "<u2").astype(np.int64) for c in ("offset", "count"))
+            least, entry, offset, count = (x.astype(np.int64) for x in _unpacked(r["found"], r["rows"], *_STRINGS))
+            entry += first[r["bucket"]]
             times = own.times[entry]
             run_ = np.repeat(np.arange(len(entry)), times)
             which = own.order[own.heads[entry][run_] + np.arange(len(run_)) - np.repeat(np.cumsum(times) - times, times)]
-            later = d[f.text[which]] > np.frombuffer(r["least"], "<i8")[run_]
+            later = d[f.text[which]] > least[run_]
             begin = f.at[which[later]] + offset[run_[later]]
             np.add.at(cover, begin, 1)
             np.add.at(cover, begin + count[run_[later]] + width - 1, -1)
@@ -421,7 +441,7 @@ def remove_shared(
     masks = cut_lineage(announced.groupBy("bucket").applyInArrow(_answer, "src long, bucket int, mask binary"), "suffix-masks")
     snippets = table.groupBy("src").cogroup(masks.groupBy("src")).applyInArrow(_send(width, gram, buckets), _SNIPPETS)
     found = cut_lineage(
-        snippets.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards(width, _local(durable_dir(spark)), memory), _FOUND),
+        snippets.repartition(buckets, "shard").sortWithinPartitions("shard").mapInArrow(_shards(width, _local(durable_dir(spark)), memory), _FOUND),
         "suffix-found",
     )
     answers = masks.unionByName(found, allowMissingColumns=True)
