@@ -104,7 +104,7 @@ class Snippets:
         body = _mixed(h[at] + count.astype(np.uint64))
         for k in range(gram, 2 * self.width - gram, gram):
             body = _mixed(body ^ h[np.minimum(at + k, last)])
-        return at + a, count, least[at] >> _PLACE, body
+        return at + a, count, _mixed(least[at] >> _PLACE) >> _PLACE, body  # mixed again, as least hashes are small
 
 
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -131,14 +131,16 @@ def _parts(values: np.ndarray, heads: np.ndarray) -> list[np.ndarray]:
 
 
 def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of numbers as compressed bytes."""
-    return pa.compress(b"".join(c.tobytes() for c in columns), codec="zstd", asbytes=True)
+    """Columns of numbers as compressed bytes: first bytes of all, then second bytes, and so on."""
+    planes = [c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, rows: int, *kinds: str) -> list[np.ndarray]:
     sizes = [rows * np.dtype(k).itemsize for k in kinds]
-    raw = pa.decompress(data, sum(sizes), codec="zstd", asbytes=True)
-    return [np.frombuffer(raw, k, rows, sum(sizes[:i])) for i, k in enumerate(kinds)]
+    raw = np.frombuffer(pa.decompress(data, sum(sizes), codec="zstd", asbytes=True), np.uint8)
+    planes = np.split(raw, np.cumsum(sizes)[:-1])
+    return [np.ascontiguousarray(p.reshape(np.dtype(k).itemsize, rows).T).view(k).ravel() for p, k in zip(planes, kinds, strict=True)]
 
 
 def _texts(group: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
@@ -162,7 +164,9 @@ def _announce(width: int, gram: int, buckets: int):
         columns = {
             "bucket": pa.array(bucket[first].astype(np.int32)),
             "src": pa.array(np.full(len(first), group.column("src")[0].as_py()), pa.int64()),
-            "anchors": pa.array([x.astype("<u4").tobytes() for x in _parts(anchor, first)], pa.binary()),
+            "rows": pa.array(_stops(first, len(anchor)) - first, pa.int32()),
+            # sorted, so differences are small
+            "anchors": pa.array([_packed(np.diff(x.astype("<u4"), prepend=np.uint32(0))) for x in _parts(anchor, first)], pa.binary()),
             "several": pa.array([np.packbits(x).tobytes() for x in _parts(several, first)], pa.binary()),
         }
         return pa.table(columns)
@@ -172,7 +176,8 @@ def _announce(width: int, gram: int, buckets: int):
 
 def _answer(group: pa.Table) -> pa.Table:
     """Per group of documents: a bit for each of its anchors of a bucket, set if several documents have it."""
-    own = [np.frombuffer(x, "<u4") for x in group.column("anchors").to_pylist()]
+    sizes = group.column("rows").to_pylist()
+    own = [np.cumsum(_unpacked(x, n, "<u4")[0], dtype=np.uint32) for x, n in zip(group.column("anchors").to_pylist(), sizes, strict=True)]
     values, inverse, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
     again = np.split((times >= 2)[inverse], np.cumsum([len(x) for x in own])[:-1])
     several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(o)) for x, o in zip(group.column("several").to_pylist(), own, strict=True)]
@@ -437,7 +442,7 @@ def remove_shared(
     table = _written(spark, docs, id_col, text)
     total = table.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets = max(1, -(-total // shard_bytes))
-    announced = table.groupBy("src").applyInArrow(_announce(width, gram, buckets), "bucket int, src long, anchors binary, several binary")
+    announced = table.groupBy("src").applyInArrow(_announce(width, gram, buckets), "bucket int, src long, rows int, anchors binary, several binary")
     masks = cut_lineage(announced.groupBy("bucket").applyInArrow(_answer, "src long, bucket int, mask binary"), "suffix-masks")
     snippets = table.groupBy("src").cogroup(masks.groupBy("src")).applyInArrow(_send(width, gram, buckets), _SNIPPETS)
     found = cut_lineage(
