@@ -171,8 +171,8 @@ def k1(spark, sf):
     root = f"{durable_dir(spark)}/stream-{uuid.uuid4().hex}"
     run = captured(spark, sf, store).withColumn("captured_at", F.lit(AS_OF).cast("timestamp_ntz"))
     run.repartition(4, "webpage_id").write.parquet(f"{root}/in")
-    T.refresh_stream(store, T.read_captures(spark, f"{root}/in", files_per_batch=2), root, AS_OF).awaitTermination()
-    return T.streamed_statements(spark, store, root).select(_COLS)
+    T.refresh_stream(store, T.read_captures(spark, f"{root}/in", files_per_batch=1), root, AS_OF, buckets=16, limit=2).awaitTermination()
+    return T.streamed_statements(spark, root).select(_COLS)
 
 
 ORACLES["k1_stream_refresh"] = ORACLES["j1_refresh"]

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from pagefacts.operators.changes import STATEMENT, refresh
+from pagefacts.operators.changes import refresh
+from pagefacts.session import cut_lineage
 from pagefacts.sources import schemas
+from pagefacts.sources.statement_log import BUCKETS, LIMIT, StatementLog
 from pagefacts.sources.store import Store
 from pagefacts.vocab import DEFAULT, Vocabulary
 
@@ -19,6 +21,9 @@ CAPTURED = (
 
 MESSAGE_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
+#: A stream keeps at least so many versions of its statements.
+KEPT_VERSIONS = 16
+
 
 def latest_captures(log: DataFrame) -> DataFrame:
     """Newest capture per rule and page. The top-1 filter runs before the shuffle too."""
@@ -26,42 +31,26 @@ def latest_captures(log: DataFrame) -> DataFrame:
     return log.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 
-def current_statements(base: DataFrame, deltas: DataFrame | None) -> DataFrame:
-    """The statements after all batches: the newest delta of a statement replaces it."""
-    if deltas is None:
-        return base.select(*STATEMENT)
-    newest = Window.partitionBy("source_id", "webpage_id").orderBy(F.col("batch").desc())
-    last = deltas.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").select(*STATEMENT)
-    kept = base.select(*STATEMENT).join(last.select("source_id", "webpage_id"), ["source_id", "webpage_id"], "left_anti")
-    return kept.unionByName(last)
-
-
-def _deltas(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    if before <= 0:
-        return None
-    folders = [f"{path}/batch={n}" for n in range(before)]
-    return spark.read.schema(schemas.STATEMENTS + ", batch BIGINT").option("basePath", path).option(
-        "ignoreMissingFiles", "true"
-    ).parquet(*folders)
-
-
 def refresh_stream(
-    store: Store, captures: DataFrame, root: str, as_of: str, vocab: Vocabulary = DEFAULT
+    store: Store, captures: DataFrame, root: str, as_of: str, vocab: Vocabulary = DEFAULT, buckets: int = BUCKETS, limit: int = LIMIT
 ) -> StreamingQuery:
     """K1: each micro-batch of captures refreshes the statements it touches.
 
-    A batch writes only the statements it changed, to a folder of its number; replaying
-    a batch after a failure overwrites the same folder, so results are exactly-once.
+    The statements are a log (``StatementLog``): a batch reads the buckets of its captures, at most
+    ``limit`` runs of each, and appends the statements it changed as a new version. Its cost does not
+    depend on the number of batches before it. A replayed batch writes the same version again, so
+    results are exactly-once.
     """
-    path = f"{root.rstrip('/')}/deltas"
+    log = StatementLog(captures.sparkSession, f"{root.rstrip('/')}/statements", buckets, limit)
+    log.start(store.statements)
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        now = current_statements(store.statements, _deltas(spark, path, number))
-        latest = latest_captures(batch)
-        touched = now.join(latest.select("source_id", "webpage_id"), ["source_id", "webpage_id"], "left_semi")
-        changed = refresh(store.with_(statements=touched), latest, as_of, vocab)
-        changed.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        latest = cut_lineage(latest_captures(batch), "captures")
+        own = StatementLog(batch.sparkSession, log.root, log.buckets, limit)
+        touched = own.touched(latest, number)
+        own.append(number + 1, refresh(store.with_(statements=touched), latest, as_of, vocab))
+        if number % KEPT_VERSIONS == KEPT_VERSIONS - 1:
+            own.vacuum(KEPT_VERSIONS)
 
     return (
         captures.writeStream.foreachBatch(apply)
@@ -71,11 +60,9 @@ def refresh_stream(
     )
 
 
-def streamed_statements(spark: SparkSession, store: Store, root: str) -> DataFrame:
-    """The statements after all batches written so far."""
-    path = f"{root.rstrip('/')}/deltas"
-    deltas = spark.read.schema(schemas.STATEMENTS + ", batch BIGINT").parquet(path)
-    return current_statements(store.statements, deltas)
+def streamed_statements(spark: SparkSession, root: str) -> DataFrame:
+    """The statements after all batches so far."""
+    return StatementLog(spark, f"{root.rstrip('/')}/statements").read()
 
 
 def read_captures(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:

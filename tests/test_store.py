@@ -16,6 +16,7 @@ from pagefacts.operators import rollups as R
 from pagefacts.plans.refresh import refresh_pages, refresh_store
 from pagefacts.sources import exports, schemas
 from pagefacts.sources.captures import load_captures
+from pagefacts.sources.statement_log import StatementLog
 from pagefacts.sources.store import Store, load_store, save_snapshot
 from pagefacts.streaming import jobs as T
 from pagefacts.vocab import DEFAULT, RDF_TYPE, SCHEMA
@@ -268,10 +269,41 @@ def test_stream_equals_batch(spark, tmp_path):
         T.refresh_stream(store, T.read_captures(spark, source, 1), str(tmp_path / "out"), AS_OF).awaitTermination()
     step = J.refresh(store, captured(spark, *first), AS_OF)
     want = J.refresh(store.with_(statements=step), captured(spark, *second), AS_OF)
-    got = T.streamed_statements(spark, store, str(tmp_path / "out"))
+    got = T.streamed_statements(spark, str(tmp_path / "out"))
     assert sorted(map(str, got.select(*J.STATEMENT).collect())) == sorted(map(str, want.collect()))
 
 
+def test_log_of_statements(spark, tmp_path):
+    """Many batches with a replay: every version is right, and a bucket never has more runs than the limit."""
+    row = lambda source, page, value: (page * 100 + source, value, "ok", None, T0, T0, T0, source, page, False, False)
+    frame = lambda rows: spark.createDataFrame(rows, schemas.STATEMENTS)
+    log = StatementLog(spark, str(tmp_path / "log"), buckets=4, limit=3)
+    state = {(s, p): f"v{s}{p}" for s in range(3) for p in range(20)}
+    log.start(frame([row(*k, v) for k, v in state.items()]))
+    wanted = {0: dict(state)}
+    for n in range(1, 9):
+        change = {(n % 3, (7 * n + k) % 23): f"b{n}" for k in range(3)}
+        for attempt in ("lost", "kept"):  # the first attempt is replayed with another result
+            log.append(n, frame([row(*k, v if attempt == "kept" else "lost") for k, v in change.items()]))
+        state |= change
+        wanted[n] = dict(state)
+        depth = [sum(b in held for held in log.runs().values()) for b in range(4)]
+        assert max(depth) <= 3
+    log = StatementLog(spark, str(tmp_path / "log"))
+    assert log.buckets == 4 and log.versions() == list(range(9))
+    values = lambda df: {(r.source_id, r.webpage_id): r.cache for r in df.collect()}
+    for n in (0, 4, 8):
+        assert values(log.read(n)) == wanted[n]
+    keys = spark.createDataFrame([(1, 5), (2, 9), (9, 99)], "source_id bigint, webpage_id bigint")
+    near = log.touched(keys)
+    assert values(near) == {k: state[k] for k in ((1, 5), (2, 9))}
+    read = {f.split("bucket=")[1].split("/")[0] for f in near.inputFiles()}
+    assert read <= {str(r[0]) for r in keys.select(log.bucket()).collect()}
+    log.vacuum(keep=1)
+    assert values(log.read()) == state and log.versions() == [8]
+    assert {n.name for n in (tmp_path / "log" / "runs").iterdir()} == {f"run={r}" for r in log.runs()}
+
+
 def test_legacy_offers_and_alignment(spark):
     one = spark.range(1)
     offer = lambda p, u: one.select(Y.offer_struct(F.lit(p), F.lit(u), "2017-06-05 07:08:09").alias("o")).first().o
