@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagefacts.checks.graph_sql import LINKS_SQL
@@ -10,6 +12,7 @@ from pagefacts.checks.rollup_queries import _BUILD_KEY, _nested_sql
 from pagefacts.operators import lookups as L
 from pagefacts.operators import reconcile as C
 from pagefacts.operators import star as S
+from pagefacts.session import durable_dir
 from pagefacts.sources.driver_tables import KG_SQL, driver_store, knowledge_graph, store_sql, table
 from pagefacts.vocab import DEFAULT, RDF_TYPE, SCHEMA
 
@@ -259,4 +262,35 @@ SELECT DISTINCT h.name, h.webpage_id, h.id, d.cache AS description FROM (
 LEFT JOIN star d ON d.webpage_id = h.webpage_id AND d.label = 'Disambiguating Description'"""),
 )
 def c7(spark, sf):
-    return C.recon(driver_store(spark, sf), "RING", "Place").distinct()
+    store = driver_store(spark, sf)
+    return C.recon(_index(spark, store), store, "RING", "Place").distinct()
+
+
+def _index(spark, store):
+    return C.recon_index(store, f"{durable_dir(spark).rstrip('/')}/names-{uuid.uuid4().hex}")
+
+
+# searches: the second to sixth letter of every part's name, its first letters, and whole supplier names, in three classes
+_SEARCHES = """
+q AS (SELECT DISTINCT text, class FROM (SELECT substr(p_name, 2, 5) AS text FROM part UNION SELECT left(p_name, 2) FROM part UNION SELECT upper(s_name) FROM supplier UNION SELECT left(s_name, 1) FROM supplier),
+  (VALUES ('Place'), ('Organization'), ('Event')) AS c(class)),
+nn AS (SELECT DISTINCT cache AS name, webpage_id, rdf_uri AS id, rdfs_class_name AS class FROM star
+  WHERE selected AND status IN ('ok', 'updated') AND label IN ('Name', 'alternateName')),
+nd AS (SELECT DISTINCT name, class FROM nn)
+"""
+
+
+@query(
+    "c7_recon_many",
+    store_sql("""
+SELECT DISTINCT h.text, h.class, n.name, n.webpage_id, n.id, d.cache AS description
+FROM (SELECT q.text, q.class, nd.name FROM q JOIN nd ON nd.class = q.class AND contains(lower(nd.name), lower(q.text))) h
+JOIN nn n ON n.name = h.name AND n.class = h.class LEFT JOIN star d ON d.webpage_id = n.webpage_id AND d.label = 'Disambiguating Description'""", _SEARCHES),
+)
+def c7_many(spark, sf):
+    store = driver_store(spark, sf)
+    part, supplier = table(spark, sf, "part"), table(spark, sf, "supplier")
+    texts = part.select(F.substring("p_name", 2, 5).alias("text")).unionByName(part.select(F.substring("p_name", 1, 2).alias("text")))
+    texts = texts.unionByName(supplier.select(F.upper("s_name").alias("text"))).unionByName(supplier.select(F.substring("s_name", 1, 1).alias("text")))
+    searches = texts.distinct().withColumn("class", F.explode(F.array(*map(F.lit, ("Place", "Organization", "Event")))))
+    return C.recon_many(_index(spark, store), store, searches).distinct()

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagefacts.checks.registry import AS_OF, MIDDLE, query
 from pagefacts.functions import dates as D
 from pagefacts.operators import rollups as R
 from pagefacts.operators import star as S
-from pagefacts.sources.driver_tables import driver_store, store_sql
+from pagefacts.operators.ranks import rank_rows
+from pagefacts.sources.driver_tables import driver_store, store_sql, table
 from pagefacts.vocab import SCHEMA
 
 _KEY = "regexp_replace(lower(label), ' ', '_') || CASE WHEN rule_language = '' THEN '' ELSE '_' || lower(rule_language) END"
@@ -228,4 +232,50 @@ SELECT statement_id, rdf_uri, status FROM star WHERE seedurl = 'nation_3' ORDER
 )
 def f1(spark, sf):
     rows = S.query_statements(driver_store(spark, sf, False), seedurl="nation_3", ordered=False)
-    return S.page(rows.select("statement_id", "rdf_uri", "status"), 2, 100, "statement_id")
+    return rank_rows(rows.select("statement_id", "rdf_uri", "status"), "statement_id").page(2, 100)
+
+
+@query(
+    "f1_deep_page",
+    store_sql("""
+SELECT statement_id, rdf_uri, status, label FROM star ORDER BY status DESC, rdf_uri, statement_id LIMIT 1000 OFFSET (SELECT 4 * count(*) // 5 // 1000 * 1000 FROM star)"""),
+)
+def f1_deep(spark, sf):
+    """A page four fifths into all statements of the store."""
+    rows = S.star(driver_store(spark, sf, False)).select("statement_id", "rdf_uri", "status", "label")
+    ranked = rank_rows(rows, F.desc("status"), "rdf_uri", "statement_id")
+    return ranked.page(4 * len(ranked) // 5 // 1000 + 1, 1000)
+
+
+@query(
+    "f2_list_orders",
+    store_sql("""
+SELECT 'events' AS list, row_number() OVER (ORDER BY archive_date NULLS FIRST, rdf_uri, id) AS place, CAST(id AS VARCHAR) AS key FROM webpages WHERE rdfs_class_id = (SELECT id FROM rdfs_classes WHERE name = 'Event')
+UNION ALL SELECT 'pages', row_number() OVER (ORDER BY archive_date NULLS FIRST, id), CAST(id AS VARCHAR) FROM webpages
+UNION ALL SELECT 'websites', row_number() OVER (ORDER BY name, id), CAST(id AS VARCHAR) FROM websites
+UNION ALL SELECT 'properties', row_number() OVER (ORDER BY rdfs_class_id, label, id), CAST(id AS VARCHAR) FROM properties
+UNION ALL SELECT 'rules', row_number() OVER (ORDER BY selected DESC, property_id, language, id), CAST(id AS VARCHAR) FROM sources
+UNION ALL SELECT 'statements', row_number() OVER (ORDER BY selected DESC, property_id, statement_id), CAST(statement_id AS VARCHAR) FROM star
+UNION ALL SELECT 'messages', row_number() OVER (ORDER BY ts DESC, user_id, props, event_id), 'user ' || user_id FROM events"""),
+)
+def f2(spark, sf):
+    """The seven ordered lists as places, equal keys told apart by id."""
+    store = driver_store(spark, sf, False)
+    events = store.webpages.join(store.rdfs_classes.filter("name = 'Event'").select(F.col("id").alias("rdfs_class_id")), "rdfs_class_id")
+    lists = {
+        "events": (events, "archive_date", "rdf_uri", "id"),
+        "pages": (store.webpages, "archive_date", "id"),
+        "websites": (store.websites, "name", "id"),
+        "properties": (store.properties, "rdfs_class_id", "label", "id"),
+        "rules": (store.sources, F.desc("selected"), "property_id", "language", "id"),
+        "statements": (S.star(store).withColumnRenamed("statement_id", "id"), F.desc("selected"), "property_id", "id"),
+        "messages": (
+            table(spark, sf, "events").selectExpr("ts", "user_id", "props", "event_id", "concat('user ', user_id) as id"),
+            F.desc("ts"), "user_id", "props", "event_id",
+        ),
+    }
+    parts = [
+        rank_rows(rows, *order).places().select(F.lit(name).alias("list"), "place", F.col("id").cast("string").alias("key"))
+        for name, (rows, *order) in lists.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -261,22 +261,45 @@ def object_uris(graph: DataFrame) -> DataFrame:
     return triples(graph).filter("o_kind = 'uri'").select("graph_id", F.col("o").alias("uri")).distinct()
 
 
-def describe(kg: DataFrame, uris: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
-    """Outgoing triples of each URI, and one hop more through address nodes,
-    objects the graph does not itself maintain, and blank nodes.
+#: Graphs that ask for one URI, beyond which its description is dealt out in several parts.
+SHARED_LIMIT = 5000
 
-    The URIs arrive distinct per graph, so a class URI used by every event is looked
-    up once per graph, and the knowledge graph is read by its subject twice.
-    """
+
+def descriptions(kg: DataFrame, uris: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """C16 per distinct URI: (uri, s, p, o, ...), its outgoing triples and one hop more through address
+    nodes, objects the graph does not itself maintain, and blank nodes."""
     facts = triples(kg).select("s", "p", "o", "o_kind", "lang", "datatype")
-    first = uris.join(facts, F.col("uri") == F.col("s")).drop("uri")
+    first = uris.select("uri").distinct().join(facts, F.col("uri") == F.col("s"))
     onward = (F.col("o_kind") == "bnode") | (
         (F.col("o_kind") == "uri")
         & (~F.startswith("o", F.lit(vocab.kg_entity)) | F.contains("o", F.lit("#PostalAddress")))
     )
-    nodes = first.filter(onward).select("graph_id", F.col("o").alias("uri")).distinct()
-    second = nodes.join(facts, F.col("uri") == F.col("s")).drop("uri")
-    return first.unionByName(second).withColumn("pos", F.lit(None).cast("int")).distinct()
+    nodes = first.filter(onward).select("uri", F.col("o").alias("node")).distinct()
+    second = nodes.join(facts, F.col("node") == F.col("s")).drop("node")
+    return first.unionByName(second).distinct()
+
+
+def describe(kg: DataFrame, uris: DataFrame, vocab: Vocabulary = DEFAULT, limit: int = SHARED_LIMIT) -> DataFrame:
+    """What is known about the URIs of each graph (graph_id, uri).
+
+    Every URI is described once, whatever number of graphs ask for it; the descriptions meet the
+    graphs in one join at the end. A class URI of all graphs is dealt to as many parts as its
+    graphs need, each with its own copy of the few rows that describe it, so no task has all.
+    """
+    wanted = uris.select("graph_id", "uri").distinct()
+    shared = (
+        wanted.groupBy("uri")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > limit)
+        .select("uri", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    )
+    asked = wanted.join(shared, "uri", "left").select(
+        "graph_id", "uri", F.coalesce(F.pmod(F.xxhash64("graph_id"), F.col("parts")), F.lit(0)).cast("int").alias("part")
+    )
+    known = descriptions(kg, wanted, vocab).join(shared, "uri", "left")
+    copies = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    found = asked.join(copies, ["uri", "part"]).drop("uri", "part")
+    return found.withColumn("pos", F.lit(None).cast("int")).distinct()
 
 
 def enrich(graph: DataFrame, kg: DataFrame, export: bool = False, vocab: Vocabulary = DEFAULT) -> DataFrame:

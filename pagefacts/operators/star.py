@@ -113,8 +113,3 @@ def query_statements(
     if seedurl and seedurl != "all":
         order.append(F.col("statement_id"))
     return rows.orderBy(*order) if ordered and order else rows
-
-
-def page(df: DataFrame, number: int, size: int, *order: Column | str) -> DataFrame:
-    """one page of an ordered result (numbers start at 1)."""
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
