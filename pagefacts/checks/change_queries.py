@@ -203,7 +203,7 @@ def _overridden(spark, sf, with_cache=False):
 _ACTIVATE = """
 st2 AS (SELECT *, selected_individual OR statement_id % 11 = 0 AS si FROM star),
 pick AS (SELECT so.website_id, so.property_id, so.language, max(so.id) AS chosen FROM st2 JOIN sources so ON so.id = st2.source_id
-  WHERE st2.webpage_id % 40 = 0 AND st2.source_id % 10 <> 1 GROUP BY ALL),
+  WHERE st2.status = 'updated' AND st2.manual GROUP BY ALL),
 tag AS (SELECT so.*, p.chosen FROM sources so LEFT JOIN pick p USING (website_id, property_id, language))
 """
 
@@ -211,7 +211,7 @@ tag AS (SELECT so.*, p.chosen FROM sources so LEFT JOIN pick p USING (website_id
 @query("j10_activate_sources", store_sql("SELECT id, CASE WHEN chosen IS NULL THEN selected ELSE id = chosen END AS selected FROM tag", _ACTIVATE))
 def j10_sources(spark, sf):
     store = _overridden(spark, sf)
-    chosen = store.statements.filter("webpage_id % 40 = 0 and source_id % 10 <> 1").select(F.col("id").alias("statement_id"))
+    chosen = store.statements.filter("status = 'updated' and manual").select(F.col("id").alias("statement_id"))
     return J.activate_sources(store, chosen, AS_OF)[0].select("id", "selected")
 
 
@@ -229,12 +229,12 @@ LEFT JOIN (SELECT webpage_id, t_website, t_property, t_language, count(*) AS n F
 )
 def j10_statements(spark, sf):
     store = _overridden(spark, sf, True)
-    chosen = store.statements.filter("webpage_id % 40 = 0 and source_id % 10 <> 1").select(F.col("id").alias("statement_id"))
+    chosen = store.statements.filter("status = 'updated' and manual").select(F.col("id").alias("statement_id"))
     return J.activate_sources(store, chosen, AS_OF)[1].select(_ID_COLS)
 
 
 _INDIVIDUAL = """
-c AS (SELECT webpage_id, property_id, max(statement_id) AS chosen FROM star WHERE source_id % 10 = 2 AND webpage_id % 3 = 0 GROUP BY ALL),
+c AS (SELECT webpage_id, property_id, max(statement_id) AS chosen FROM star WHERE status = 'problem' GROUP BY ALL),
 ind AS (SELECT statement_id AS id, cache, cache AS old_cache, label, value_datatype, cache_refreshed, cache_changed, source_id, webpage_id, status_origin, manual, chosen IS NOT NULL AS saved,
   CASE WHEN chosen IS NULL THEN selected_individual ELSE {sel} END AS selected_individual, {status} AS status
   FROM star LEFT JOIN c USING (webpage_id, property_id))
@@ -249,7 +249,7 @@ ind AS (SELECT statement_id AS id, cache, cache AS old_cache, label, value_datat
 )
 def j11(spark, sf):
     store = driver_store(spark, sf)
-    chosen = store.statements.filter("source_id % 10 = 2 and webpage_id % 3 = 0").select(F.col("id").alias("statement_id"))
+    chosen = store.statements.filter("status = 'problem'").select(F.col("id").alias("statement_id"))
     return J.activate_individuals(store, chosen, AS_OF).select(_ID_COLS)
 
 
@@ -259,7 +259,7 @@ def j11(spark, sf):
 )
 def j11_off(spark, sf):
     store = driver_store(spark, sf)
-    chosen = store.statements.filter("source_id % 10 = 2 and webpage_id % 3 = 0").select(F.col("id").alias("statement_id"))
+    chosen = store.statements.filter("status = 'problem'").select(F.col("id").alias("statement_id"))
     return J.activate_individuals(store, chosen, AS_OF, active=False).select(_ID_COLS)
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagefacts.checks.graph_sql import LINKS_SQL
 from pagefacts.checks.registry import AS_OF, query
 from pagefacts.functions import classify as K
 from pagefacts.functions import dates as D
@@ -11,6 +15,7 @@ from pagefacts.functions import jsoncanon as N
 from pagefacts.functions import values as V
 from pagefacts.operators import star as S
 from pagefacts.sources.driver_tables import driver_store, store_sql, table
+from pagefacts.sources.store import typed
 from pagefacts.vocab import DEFAULT, SCHEMA
 
 _ITEMS = """CASE WHEN cache LIKE '[%' THEN from_json(cache, '["VARCHAR"]') ELSE [cache] END"""
@@ -22,14 +27,32 @@ def _values(spark, sf, where="true"):
 
 @query(
     "a1_typed_values",
-    store_sql(f"""SELECT statement_id, unnest(vs) AS item, generate_subscripts(vs, 1) - 1 AS pos FROM (SELECT statement_id, {_ITEMS} AS vs FROM star WHERE value_datatype <> 'xsd:anyURI' AND cache NOT LIKE '["abort%')"""),
+    store_sql(f"""
+SELECT statement_id, 'value' AS kind, unnest(vs) AS item, generate_subscripts(vs, 1) - 1 AS pos, -1 AS hit, NULL AS class, NULL AS uri
+  FROM (SELECT statement_id, {_ITEMS} AS vs FROM star WHERE value_datatype <> 'xsd:anyURI' AND cache NOT LIKE '["abort%')
+UNION ALL SELECT statement_id, 'group', json_extract_string(g, '$[0]'), gi - 1, -1, json_extract_string(g, '$[1]'), NULL FROM grouped
+UNION ALL SELECT statement_id, 'link', hit_label, gi - 1, hi - 1, class, uri FROM links
+UNION ALL SELECT statement_id, 'aborted', cache, -1, -1, NULL, NULL FROM star WHERE cache LIKE '["abort%'""", LINKS_SQL),
 )
 def a1(spark, sf):
-    from pagefacts.sources.store import typed
-
-    rows = typed(driver_store(spark, sf).statements).filter("not aborted")
-    plain = S.rules(driver_store(spark, sf)).filter("value_datatype <> 'xsd:anyURI'").select("source_id")
-    return rows.join(plain, "source_id").select(F.col("id").alias("statement_id"), F.posexplode("values").alias("pos", "item"))
+    """Every statement's parsed shape: plain values, link groups with their links, and aborted ones as stored."""
+    store = driver_store(spark, sf)
+    rows = typed(store.statements).withColumnRenamed("id", "statement_id").join(
+        S.rules(store).select("source_id", (F.col("value_datatype") == "xsd:anyURI").alias("linked")), "source_id"
+    )
+    none, text = F.lit(-1), F.lit(None).cast("string")
+    values = rows.filter("not aborted and not linked").select("statement_id", F.posexplode("values").alias("pos", "item"))
+    groups = rows.filter("linked").select("statement_id", F.posexplode("links").alias("pos", "g"))
+    links = groups.select("statement_id", "pos", "g.class", F.posexplode("g.links").alias("hit", "l"))
+    parts = [
+        values.select("statement_id", F.lit("value").alias("kind"), "item", "pos", none.alias("hit"), text.alias("class"), text.alias("uri")),
+        groups.select("statement_id", F.lit("group").alias("kind"), F.col("g.search").alias("item"), "pos", none.alias("hit"), "g.class", text.alias("uri")),
+        links.select("statement_id", F.lit("link").alias("kind"), F.col("l.label").alias("item"), "pos", "hit", "class", "l.uri"),
+        rows.filter("aborted").select(
+            "statement_id", F.lit("aborted").alias("kind"), F.col("cache").alias("item"), none.alias("pos"), none.alias("hit"), text.alias("class"), text.alias("uri")
+        ),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("b3_property_keys", store_sql("""SELECT DISTINCT label, rule_language, regexp_replace(lower(label), ' ', '_') || CASE WHEN rule_language = '' THEN '' ELSE '_' || rule_language END AS build_key,

@@ -238,8 +238,8 @@ def c5(spark, sf):
 @query(
     "c6_link_values",
     store_sql("""
-SELECT DISTINCT s.statement_id, 0 AS item_pos, json_extract_string(g.g, '$[0]') AS text, s.expected_class AS class, kn.label, kn.uri
-FROM star s JOIN grouped g ON g.statement_id = s.statement_id AND g.gi = 1
+SELECT DISTINCT s.statement_id, g.gi - 1 AS item_pos, json_extract_string(g.g, '$[0]') AS text, s.expected_class AS class, kn.label, kn.uri
+FROM star s JOIN grouped g ON g.statement_id = s.statement_id
 LEFT JOIN kn ON lower(kn.label) = lower(json_extract_string(g.g, '$[0]'))
   AND (kn.fc = s.expected_class OR (s.expected_class = 'Organization' AND kn.fc = 'Person'))""", LINKS_SQL, KG_SQL, _KG_HITS),
 )
@@ -249,8 +249,8 @@ def c6(spark, sf):
     rows = S.star(store).filter("value_datatype = 'xsd:anyURI'")
     from pagefacts.functions import values as V
 
-    text = F.get(V.parse_links("cache"), F.lit(0))["search"]
-    return C.link_values(rows.withColumn("values", F.array(text)), store, knowledge_graph(spark, sf)).drop("origin")
+    texts = F.transform(V.parse_links("cache"), lambda g: g["search"])
+    return C.link_values(rows.withColumn("values", texts), store, knowledge_graph(spark, sf)).drop("origin")
 
 
 @query(

@@ -60,7 +60,7 @@ local AS (SELECT DISTINCT g.s, g.p, g.o, g.o_kind, g.lang FROM graph g JOIN (SEL
 """
 
 
-def _export_sql(uri: str | None = None) -> str:
+def _export_sql(uri: str | None = None, version: str | None = None) -> str:
     """All publishable events and other entities as facts; with ``uri`` the events part for that resource."""
     events = _INDEX.lstrip().lstrip(",")
     of = "folded WHERE publishable" if uri is None else f"webpages JOIN websites ON websites.id = website_id WHERE rdf_uri = '{uri}'"
@@ -82,6 +82,8 @@ SELECT DISTINCT 'events' AS dump, seedurl, s, p, o, lang, datatype FROM (SELECT
 UNION ALL SELECT DISTINCT 'others', seedurl, s, p, o, lang, datatype FROM graph JOIN oth USING (graph_id) WHERE pos IS NULL"""
     if uri is not None:
         body = f"SELECT seedurl, s, p, o, lang, datatype FROM ({body.split('UNION ALL')[0]})"
+    if version is not None:
+        body = f"SELECT *, '{version}' AS version FROM ({body})"
     return store_sql(body, events, GRAPH_SQL, KG_SQL, _MERGED_LOCAL, chosen, offers, variants, series, uris, found, others)
 
 
@@ -222,19 +224,22 @@ def i9(spark, sf):
     return P.page_markup(store, knowledge_graph(spark, sf))
 
 
-@query(
-    "a5_a6_exports",
-    store_sql("SELECT DISTINCT seedurl AS artifact, '2001-06-01' AS version FROM star WHERE selected_individual AND page_class <> 'Event'"),
-)
+@query("a5_a6_exports", _export_sql(version=AS_OF[:10]))
 def a5(spark, sf):
-    """Write the export of the entities that are no events, then list what is there."""
-    from pagefacts.operators.lookups import other_entities
-
+    """Write both dumps of the whole export, list what is there, and read the listed files back as facts."""
     store = driver_store(spark, sf)
-    docs = P.export_others(store, other_entities(store))
     root = f"{durable_dir(spark)}/exports-{uuid.uuid4().hex}"
-    X.write_export(docs, root, AS_OF)
-    return X.list_exports(spark, root)
+    docs = cut_lineage(P.export_site(store, knowledge_graph(spark, sf)), "dumps")
+    facts = []
+    for dump in ("events", "others"):
+        folder = X.write_export(docs.filter(F.col("dump") == dump), root, AS_OF, group=dump)
+        lines = spark.read.text(folder).select(
+            F.col("artifact").cast("string").alias("seedurl"), F.col("version").cast("string").alias("version"), F.col("value").alias("json")
+        )
+        listed = X.list_exports(spark, root, group=dump).withColumnRenamed("artifact", "seedurl")
+        named = lines.join(listed, ["seedurl", "version"]).withColumn("s", F.get_json_object("json", "$.@id"))
+        facts.append(document_rows(named.withColumn("dump", F.lit(dump)), "dump", "seedurl", "version"))
+    return facts[0].unionByName(facts[1])
 
 
 @query(
