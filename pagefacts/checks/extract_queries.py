@@ -11,8 +11,10 @@ from pagefacts.checks.change_queries import _COLS, captured
 from pagefacts.checks.registry import AS_OF, QUERIES, ORACLES, query
 from pagefacts.operators import extract as X
 from pagefacts.operators import legacy as Y
+from pagefacts.operators import rollups as R
 from pagefacts.session import durable_dir
 from pagefacts.sources.driver_tables import captures, driver_store, literal_rows, sources, store_sql, table
+from pagefacts.sources.statement_log import StatementLog
 from pagefacts.streaming import jobs as T
 from pagefacts.vocab import DEFAULT
 
@@ -179,6 +181,34 @@ ORACLES["k1_stream_refresh"] = ORACLES["j1_refresh"]
 assert "j1_refresh" in QUERIES
 
 
+# the statements after the run: those it refreshed, and those without a capture as they were
+_AFTER = ORACLES["j1_refresh"]
+
+
+@query(
+    "d1_dashboard_from_feed",
+    f"""WITH after AS ({_AFTER}), sites AS ({store_sql("SELECT id, name, seedurl FROM websites")}), pg AS ({store_sql("SELECT w.id, w.website_id, c.name = 'Event' AS is_event FROM webpages w JOIN rdfs_classes c ON c.id = w.rdfs_class_id")}),
+s AS (SELECT website_id, count(*) AS statements,
+   count(*) FILTER (cache_refreshed BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AND TIMESTAMP '{AS_OF}') AS refreshed_24h,
+   count(*) FILTER (cache_changed BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AND TIMESTAMP '{AS_OF}') AS changed_24h,
+   count(*) FILTER (status = 'problem' AND selected_individual AND is_event) AS flags, count(*) FILTER (status = 'updated' AND selected_individual AND is_event) AS updated
+  FROM after JOIN pg ON pg.id = after.webpage_id GROUP BY website_id),
+p AS (SELECT website_id, count(*) AS webpages FROM pg GROUP BY website_id)
+SELECT w.name, w.seedurl, s.statements, coalesce(s.refreshed_24h, 0) AS refreshed_24h, coalesce(s.changed_24h, 0) AS changed_24h, p.webpages,
+  nullif(s.flags, 0) AS flags, nullif(s.updated, 0) AS updated FROM sites w LEFT JOIN s ON s.website_id = w.id LEFT JOIN p ON p.website_id = w.id""",
+)
+def d1_feed(spark, sf):
+    """The dashboard after a streamed capture run, from counters of the first version and the changes since."""
+    store = driver_store(spark, sf)
+    root = f"{durable_dir(spark)}/stream-{uuid.uuid4().hex}"
+    run = captured(spark, sf, store).withColumn("captured_at", F.lit(AS_OF).cast("timestamp_ntz"))
+    run.repartition(2, "webpage_id").write.parquet(f"{root}/in")
+    T.refresh_stream(store, T.read_captures(spark, f"{root}/in", files_per_batch=1), root, AS_OF, buckets=16).awaitTermination()
+    log = StatementLog(spark, f"{root}/statements")
+    counters = R.update_counters(R.page_counters(log.read(0)), log.changes(0))
+    return R.site_dashboard(store.with_(statements=log.read()), AS_OF, counters)
+
+
 @query(
     "k2_message_stream",
     "SELECT props AS message, 'user ' || user_id AS artifact, ts AS created_at FROM events",

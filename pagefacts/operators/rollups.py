@@ -138,23 +138,50 @@ def publishable_events(store: Store, seedurl: str | None = None) -> DataFrame:
     ).select("seedurl", "rdf_uri")
 
 
-def site_dashboard(store: Store, as_of: str) -> DataFrame:
+def _marks(rows: str = "") -> dict[str, Column]:
+    """What the dashboard counts of a statement whatever the day; ``rows`` is a prefix of its columns."""
+    chosen, status = F.col(f"{rows}selected_individual"), F.col(f"{rows}status")
+    return {
+        "statements": F.lit(True),
+        "flags": F.coalesce(chosen & (status == "problem"), F.lit(False)),
+        "updated": F.coalesce(chosen & (status == "updated"), F.lit(False)),
+    }
+
+
+def page_counters(statements: DataFrame) -> DataFrame:
+    """Counters of each page for the dashboard: webpage_id, statements, flags, updated."""
+    return statements.groupBy("webpage_id").agg(*[F.count_if(test).alias(name) for name, test in _marks().items()])
+
+
+def update_counters(counters: DataFrame, changes: DataFrame) -> DataFrame:
+    """The counters after a feed of changes (``StatementLog.changes``): only what changed is read."""
+    sides = [
+        changes.filter(F.col(side).isNotNull()).select(
+            "webpage_id", *[(sign * test.cast("long")).alias(name) for name, test in _marks(f"{side}.").items()]
+        )
+        for side, sign in (("before", -1), ("after", 1))
+    ]
+    rows = counters.unionByName(sides[0]).unionByName(sides[1])
+    return rows.groupBy("webpage_id").agg(*[F.sum(name).alias(name) for name in _marks()])
+
+
+def site_dashboard(store: Store, as_of: str, counters: DataFrame | None = None) -> DataFrame:
     """Counters per website in one pass over the statements.
 
     Counted per page first: the many statements of a large site are reduced before
-    anything is moved by site.
+    anything is moved by site. With ``counters`` that were kept up by changes, only the
+    statements of the last day are read.
     """
     now = as_time(as_of)
     day = F.expr("interval 24 hours")
     recent = lambda c: (F.col(c) >= now - day) & (F.col(c) <= now)
-    chosen = F.col("selected_individual")
-    per_page = store.statements.groupBy("webpage_id").agg(
-        F.count(F.lit(1)).alias("statements"),
-        F.count_if(recent("cache_refreshed")).alias("refreshed"),
-        F.count_if(recent("cache_changed")).alias("changed"),
-        F.count_if(chosen & (F.col("status") == "problem")).alias("flags"),
-        F.count_if(chosen & (F.col("status") == "updated")).alias("updated"),
-    )
+    new = [F.count_if(recent("cache_refreshed")).alias("refreshed"), F.count_if(recent("cache_changed")).alias("changed")]
+    if counters is None:
+        marks = [F.count_if(test).alias(name) for name, test in _marks().items()]
+        per_page = store.statements.groupBy("webpage_id").agg(*marks, *new)
+    else:
+        late = store.statements.filter(recent("cache_refreshed") | recent("cache_changed")).groupBy("webpage_id").agg(*new)
+        per_page = counters.join(late, "webpage_id", "left")
     page = pages(store).select("webpage_id", "website_id", (F.col("page_class") == "Event").alias("is_event"))
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     per_site = (

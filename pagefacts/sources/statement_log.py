@@ -6,6 +6,10 @@ statement. Reading a bucket reads at most ``limit`` runs however many batches th
 bucket has more, all of its runs are merged into one of the new version, and only that bucket is
 rewritten. Run folders are never changed, so readers of an older version are not disturbed.
 
+Every row carries the version that last changed it and a hash of its values. Rows that a batch
+leaves as they were are not written, and ``changes`` gives what differs between two versions, from
+the buckets that runs in between hold: roll-ups follow the statements without reading the rest.
+
 Version n is made from version n - 1 and a batch. A batch that is played again writes new run
 folders and the same manifest, so what a failed attempt left behind is never read.
 """
@@ -25,6 +29,7 @@ from pagefacts.sources import files, schemas
 KEY = ("source_id", "webpage_id")
 COLUMNS = tuple(part.split()[0] for part in schemas.STATEMENTS.split(", "))
 BUCKETS, LIMIT = 64, 4
+_STORED = f"{schemas.STATEMENTS}, changed_in BIGINT, row_hash BIGINT"
 
 
 class StatementLog:
@@ -48,10 +53,13 @@ class StatementLog:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int")
 
+    def _new(self, rows: DataFrame, version: int) -> DataFrame:
+        return rows.select(*COLUMNS, F.lit(version).cast("long").alias("changed_in"), F.xxhash64(*COLUMNS).alias("row_hash"))
+
     def _write(self, rows: DataFrame, version: int) -> tuple[str, list[int]]:
         """A new run and the buckets it holds."""
         name = f"{version:012d}-{uuid.uuid4().hex}"
-        placed = rows.select(*COLUMNS, self.bucket().alias("bucket"))
+        placed = rows.withColumn("bucket", self.bucket())
         path = f"{self.root}/runs/run={name}"
         placed.repartition("bucket").write.partitionBy("bucket").parquet(path)
         return name, [int(n.removeprefix("bucket=")) for n in files.names(self.spark, path) if n.startswith("bucket=")]
@@ -63,36 +71,47 @@ class StatementLog:
     def start(self, statements: DataFrame) -> None:
         """Version 0, from a snapshot, unless the log has begun."""
         if not self.versions():
-            name, held = self._write(statements, 0)
+            name, held = self._write(self._new(statements, 0), 0)
             self._commit(0, {name: held})
 
     def _read(self, runs: dict[str, list[int]]) -> DataFrame:
-        """Newest rows of the given buckets of runs."""
-        schema = f"{schemas.STATEMENTS}, run STRING, bucket INT"
+        """Newest rows, as stored, of the given buckets of runs."""
+        schema = f"{_STORED}, run STRING, bucket INT"
         paths = [f"{self.root}/runs/run={r}/bucket={b}" for r, held in runs.items() for b in held]
         if not paths:
-            return self.spark.createDataFrame([], schemas.STATEMENTS)
+            return self.spark.createDataFrame([], _STORED)
         rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/runs").parquet(*paths)
         newest = Window.partitionBy("bucket", *KEY).orderBy(F.col("run").desc())
-        return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").select(*COLUMNS)
+        return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", "run", "bucket")
 
-    def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """The statements of a version (the last one), whole or of some buckets."""
+    def _stored(self, version: int | None, buckets: list[int] | None) -> DataFrame:
         runs = self.runs(version)
         if buckets is not None:
             asked = set(buckets)
             runs = {r: [b for b in held if b in asked] for r, held in runs.items()}
         return self._read(runs)
 
-    def touched(self, keys: DataFrame, version: int | None = None) -> DataFrame:
+    def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The statements of a version (the last one), whole or of some buckets."""
+        return self._stored(version, buckets).select(*COLUMNS)
+
+    def buckets_of(self, keys: DataFrame) -> list[int]:
+        return [r[0] for r in keys.select(self.bucket()).distinct().collect()]
+
+    def touched(self, keys: DataFrame, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """The statements with the given (source, page); only the buckets of these are read."""
-        buckets = [r[0] for r in keys.select(self.bucket()).distinct().collect()]
+        buckets = self.buckets_of(keys) if buckets is None else buckets
         return self.read(version, buckets).join(keys.select(*KEY), list(KEY), "left_semi")
 
-    def append(self, version: int, changed: DataFrame) -> None:
-        """Version ``version``: the one before it with the changed statements, compacted where needed."""
+    def append(self, version: int, changed: DataFrame, buckets: list[int] | None = None) -> None:
+        """Version ``version``: the one before it with the changed statements, compacted where needed.
+
+        ``buckets`` names those of the changed statements, if they are known; else all are compared.
+        """
         runs = self.runs(version - 1)
-        name, held = self._write(changed, version)
+        old = self._stored(version - 1, buckets).select(*KEY, F.col("row_hash").alias("old_hash"))
+        fresh = self._new(changed, version).join(old, list(KEY), "left").filter("old_hash is null or old_hash <> row_hash")
+        name, held = self._write(fresh.drop("old_hash").select(*COLUMNS, "changed_in", "row_hash"), version)
         runs[name] = held
         depth = Counter(b for buckets in runs.values() for b in buckets)
         full = {b for b, n in depth.items() if n > self.limit}
@@ -101,6 +120,15 @@ class StatementLog:
             runs = {r: [b for b in h if b not in full] for r, h in runs.items()} | {merged: whole}
         self._commit(version, runs)
 
+    def changes(self, since: int, until: int | None = None) -> DataFrame:
+        """Statements that differ between two versions: source_id, webpage_id, before (null: new) and after."""
+        runs = self.runs(until)
+        later = sorted({b for r, held in runs.items() if int(r.split("-")[0]) > since for b in held})
+        after = self._stored(until, later).filter(F.col("changed_in") > since)
+        before = self._stored(since, later).select(*KEY, F.struct(*COLUMNS).alias("before"), F.col("row_hash").alias("old_hash"))
+        both = after.select(*KEY, F.struct(*COLUMNS).alias("after"), "row_hash").join(before, list(KEY), "left")
+        return both.filter("old_hash is null or old_hash <> row_hash").select(*KEY, "before", "after")
+
     def vacuum(self, keep: int = 2) -> None:
         """Drops all but the last versions, and runs that none of the kept ones names."""
         versions = self.versions()

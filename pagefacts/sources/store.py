@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagefacts.functions import values as V
 from pagefacts.sources import schemas
@@ -102,10 +103,45 @@ def load_store_jdbc(spark: SparkSession, url: str, partitions: int = 200, **opti
     return Store(**tables)
 
 
+#: Tables with a site column, and what they are sorted by in a snapshot.
+_BY_SITE = {"sources": "website_id", "webpages": "website_id"}
+SITE_BUCKETS = 64
+
+
+def _site_bucket(site: Column, buckets: int = SITE_BUCKETS) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(site), F.lit(buckets)), F.lit(-1)).cast("int")
+
+
 def save_snapshot(store: Store, path: str) -> None:
-    """Write the store as a new snapshot; statements are laid out by page for later joins."""
+    """Write the store as a new snapshot, laid out for lists of one site.
+
+    Statements lie in folders by a hash of their site, in order of page and rule; a folder is cut
+    into files by page, so a large site has many. Rules and pages are in order of their site.
+    Statements of unknown pages have a folder of their own.
+    """
+    root = path.rstrip("/")
     for name, schema in schemas.TABLES.items():
         columns = [part.split()[0] for part in schema.split(", ")]
-        getattr(store, name).select(columns).write.mode("errorifexists").parquet(
-            f"{path.rstrip('/')}/{name}"
-        )
+        rows = getattr(store, name).select(columns)
+        if name == "statements":
+            sites = store.webpages.select(F.col("id").alias("webpage_id"), _site_bucket(F.col("website_id")).alias("site_bucket"))
+            rows = rows.join(sites, "webpage_id", "left").select(*columns, F.coalesce("site_bucket", F.lit(-1)).alias("site_bucket"))
+            rows = rows.repartitionByRange("site_bucket", "webpage_id", "source_id").sortWithinPartitions("site_bucket", "webpage_id", "source_id")
+            rows.write.mode("errorifexists").partitionBy("site_bucket").parquet(f"{root}/{name}")
+            continue
+        if name in _BY_SITE:
+            rows = rows.repartitionByRange(_BY_SITE[name], "id").sortWithinPartitions(_BY_SITE[name], "id")
+        rows.write.mode("errorifexists").parquet(f"{root}/{name}")
+
+
+def load_site(spark: SparkSession, path: str, seedurl: str) -> Store:
+    """A1 for one site: its pages and their statements; of the statements only its folder is read."""
+    store = load_store(spark, path)
+    site = store.websites.filter(F.col("seedurl") == seedurl)
+    found = [r[0] for r in site.select("id").collect()]
+    pages = store.webpages.filter(F.col("website_id").isin(found))
+    buckets = [r[0] for r in site.select(_site_bucket(F.col("id"))).distinct().collect()]
+    placed = spark.read.schema(f"{schemas.STATEMENTS}, site_bucket INT").parquet(f"{path.rstrip('/')}/statements")
+    own = placed.filter(F.col("site_bucket").isin(buckets)).drop("site_bucket")
+    statements = typed(own.join(pages.select(F.col("id").alias("webpage_id")), "webpage_id", "left_semi"))
+    return store.with_(websites=site, webpages=pages, statements=statements)

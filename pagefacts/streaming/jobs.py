@@ -47,8 +47,9 @@ def refresh_stream(
     def apply(batch: DataFrame, number: int) -> None:
         latest = cut_lineage(latest_captures(batch), "captures")
         own = StatementLog(batch.sparkSession, log.root, log.buckets, limit)
-        touched = own.touched(latest, number)
-        own.append(number + 1, refresh(store.with_(statements=touched), latest, as_of, vocab))
+        near = own.buckets_of(latest)
+        touched = own.touched(latest, number, near)
+        own.append(number + 1, refresh(store.with_(statements=touched), latest, as_of, vocab), near)
         if number % KEPT_VERSIONS == KEPT_VERSIONS - 1:
             own.vacuum(KEPT_VERSIONS)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,11 +14,12 @@ from pagefacts.operators import extract as X
 from pagefacts.operators import legacy as Y
 from pagefacts.operators import reconcile as C
 from pagefacts.operators import rollups as R
+from pagefacts.operators.star import star
 from pagefacts.plans.refresh import refresh_pages, refresh_store
 from pagefacts.sources import exports, schemas
 from pagefacts.sources.captures import load_captures
 from pagefacts.sources.statement_log import StatementLog
-from pagefacts.sources.store import Store, load_store, save_snapshot
+from pagefacts.sources.store import Store, load_site, load_store, save_snapshot
 from pagefacts.streaming import jobs as T
 from pagefacts.vocab import DEFAULT, RDF_TYPE, SCHEMA
 
@@ -273,6 +275,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, got.select(*J.STATEMENT).collect())) == sorted(map(str, want.collect()))
 
 
+def test_a_site_reads_its_folder(spark, tmp_path):
+    """Lists of one site from a snapshot equal those of the whole store, and read that site's statements only."""
+    store = make_store(spark, [(1, "A", "ok", 11, 1, True, False), (2, "2024-01-01", "ok", 21, 1, True, False), (3, "x", "ok", 11, 99, True, False)])
+    more = lambda name, rows: getattr(store, name).unionByName(spark.createDataFrame(rows, schemas.TABLES[name]))
+    sites = [(i, f"Site {i}", f"site{i}", "http://g.example.org", "en", 1, T0, "10:00") for i in range(2, 12)]
+    pages = [(100 + i, f"http://s{i}.example/", "en", f"adr:x{i}", 1, i, T0, None) for i in range(2, 12)]
+    facts = [(100 + i, "v", "ok", None, T0, T0, T0, 11, 100 + i, True, False) for i in range(2, 12)]
+    store = store.with_(websites=more("websites", sites), webpages=more("webpages", pages), statements=more("statements", facts))
+    path = str(tmp_path / "snapshot")
+    save_snapshot(store, path)
+    whole = load_store(spark, path)
+    assert sorted(r.id for r in whole.statements.collect()) == [1, 2, 3, *range(102, 112)]
+    for name in ("site", "site5", "nowhere"):
+        own = load_site(spark, path, name)
+        want = star(whole).filter(F.col("seedurl") == name)
+        assert sorted(map(str, star(own).collect())) == sorted(map(str, want.collect()))
+        plan = own.statements._jdf.queryExecution().executedPlan().toString()
+        assert "site_bucket" in re.search(r"PartitionFilters: \[([^\n]*?)\], PushedFilters", plan)[1]
+
+
 def test_log_of_statements(spark, tmp_path):
     """Many batches with a replay: every version is right, and a bucket never has more runs than the limit."""
     row = lambda source, page, value: (page * 100 + source, value, "ok", None, T0, T0, T0, source, page, False, False)
@@ -299,8 +321,17 @@ def test_log_of_statements(spark, tmp_path):
     assert values(near) == {k: state[k] for k in ((1, 5), (2, 9))}
     read = {f.split("bucket=")[1].split("/")[0] for f in near.inputFiles()}
     assert read <= {str(r[0]) for r in keys.select(log.bucket()).collect()}
+    for since, until in ((0, 8), (2, 5), (7, 8), (8, 8)):
+        feed = {(r.source_id, r.webpage_id): (r.before and r.before.cache, r.after.cache) for r in log.changes(since, until).collect()}
+        a, b = wanted[since], wanted[until]
+        assert feed == {k: (a.get(k), b[k]) for k in b if a.get(k) != b[k]}
+    counted = lambda df: {r.webpage_id: (r.statements, r.flags, r.updated) for r in df.collect()}
+    kept = R.update_counters(R.page_counters(log.read(3)), log.changes(3))
+    assert counted(kept) == counted(R.page_counters(log.read()))
+    log.append(9, log.read())  # nothing differs: an empty run
+    assert log.changes(8).collect() == [] and values(log.read()) == state
     log.vacuum(keep=1)
-    assert values(log.read()) == state and log.versions() == [8]
+    assert values(log.read()) == state and log.versions() == [9]
     assert {n.name for n in (tmp_path / "log" / "runs").iterdir()} == {f"run={r}" for r in log.runs()}
 
 
