@@ -142,6 +142,7 @@ def load_site(spark: SparkSession, path: str, seedurl: str) -> Store:
     pages = store.webpages.filter(F.col("website_id").isin(found))
     buckets = [r[0] for r in site.select(_site_bucket(F.col("id"))).distinct().collect()]
     placed = spark.read.schema(f"{schemas.STATEMENTS}, site_bucket INT").parquet(f"{path.rstrip('/')}/statements")
-    own = placed.filter(F.col("site_bucket").isin(buckets)).drop("site_bucket")
-    statements = typed(own.join(pages.select(F.col("id").alias("webpage_id")), "webpage_id", "left_semi"))
+    own = placed.filter(F.col("site_bucket").isin(buckets))
+    own = own.join(pages.select(F.col("id").alias("webpage_id")), "webpage_id", "left_semi")
+    statements = typed(own.select([c for c in store.statements.columns if c in own.columns]))
     return store.with_(websites=site, webpages=pages, statements=statements)
