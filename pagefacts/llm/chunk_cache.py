@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 from collections.abc import Callable
 
 #: Characters with the Unicode property White_Space, as the tokenizers' patterns understand \s.
@@ -12,6 +13,9 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHE_ENTRIES = 850_000
 KEPT_CHUNK = 128
 
+#: How long a worker without a task keeps its cache.
+IDLE_SECONDS = 2
+
 #: Texts that are cut into chunks at a time.
 TEXTS = 250
 
@@ -69,17 +73,31 @@ class ChunkCache:
                 self.passing.append(chunk)
         return self.young.__getitem__
 
-
     def rest(self) -> None:
-        """Lets the older generation go, at the end of a task: a waiting worker holds one generation."""
+        """Lets the older generation go, at the end of a task, and soon all of it, unless another task comes.
+
+        A worker that waits while other stages run holds nothing after ``IDLE_SECONDS``.
+        """
         self.old = {}
+        timer = threading.Timer(IDLE_SECONDS, _leave, (_uses,))
+        timer.daemon = True
+        timer.start()
 
 
 _kept: dict = {}
+_uses = 0
+
+
+def _leave(uses: int) -> None:
+    """Empties the worker's cache if no task has asked for it since."""
+    if uses == _uses:
+        _kept.clear()
 
 
 def worker_cache(name: str, source: str, value: Callable, fixed: dict | None = None, split: Callable | None = None) -> ChunkCache:
-    """The cache of this worker process for a tokenizer; it outlives a task where workers are reused."""
+    """The cache of this worker process for a tokenizer; it outlives a task where the next one follows soon."""
+    global _uses
+    _uses += 1
     key = (name, hash(source), id(fixed) if fixed else 0)
     if key not in _kept:
         _kept.clear()

@@ -18,6 +18,8 @@ null or repeated ids and extra columns do no harm; an empty table gives an empty
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from bisect import bisect_right
 from collections import Counter
@@ -36,7 +38,18 @@ CACHE_WORDS = 500_000
 TEXTS = 1000
 UNKNOWN = "und"
 
-_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _category(*kinds: str) -> str:
+    """A pattern's class of the characters of some general categories, as ranges."""
+    points = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds]
+    ends = [i for i, c in enumerate(points) if i + 1 == len(points) or points[i + 1] != c + 1]
+    starts = [0, *(i + 1 for i in ends[:-1])]
+    return "".join(f"\\U{points[a]:08x}-\\U{points[b]:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+#: Words: a letter, then letters and the marks that belong to them. Signs that only count as letters, such as ½ or Ⅳ, are none.
+_WORDS = re.compile(f"[{_category('L')}][{_category('L', 'M')}]*")
 
 # First code points of Unicode ranges and the scripts they belong to.
 RANGES = (

@@ -394,13 +394,13 @@ def test_language_spans_and_held_out_accuracy(spark, docs):
     rows = [(i, gibberish(lang, 30, i), lang) for i in range(40) for lang in ALPHABETS]
     rows = [(k, t, lang) for k, (_, t, lang) in enumerate(rows)]
     model = language_id.fit(docs(rows), F.col("doc_id") % 5 != 2)
-    tests = [(1000, gibberish("aa", 20, "x") + " " + gibberish("bb", 30, "y") + " " + gibberish("aa", 5, "z"), None), (1001, None), (1002, "12 !?"), (1003, ""), (1004, "中文 中文"), (None, gibberish("cc", 9, 1))]
+    tests = [(1000, gibberish("aa", 20, "x") + " " + gibberish("bb", 30, "y") + " " + gibberish("aa", 5, "z"), None), (1001, None), (1002, "12 !?"), (1003, ""), (1004, "中文 中文"), (1005, "½ ① ² Ⅳ ٣"), (None, gibberish("cc", 9, 1))]
     got = {r.doc_id: r for r in language_id.identify(docs(rows + tests), model).select("row.doc_id", "lang_pred", "score", "spans").collect()}
     held = [(k, lang) for k, _, lang in rows if k % 5 == 2]
     assert sum(got[k].lang_pred == lang for k, lang in held) >= 0.99 * len(held)
     assert [tuple(s) for s in got[1000].spans] == [("aa", 0, 20), ("bb", 20, 50), ("aa", 50, 55)]
     assert got[1000].lang_pred == "bb" and 0.3 < got[1000].score < 0.8
-    for k in (1001, 1002, 1003):
+    for k in (1001, 1002, 1003, 1005):
         assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
     assert got[None].lang_pred == "cc" and got[1004].lang_pred in ALPHABETS
     nothing = language_id.fit(docs(rows), F.lit(False))
@@ -408,6 +408,28 @@ def test_language_spans_and_held_out_accuracy(spark, docs):
     assert language_id.identify(docs([]), model).count() == 0
 
 
+def test_words_keep_their_marks():
+    assert language_id._WORDS.findall("हिन्दी, cafe\u0301 x½y Ⅳ don't") == ["हिन्दी", "cafe\u0301", "x", "y", "don", "t"]
+
+
+def test_idle_workers_hold_no_cache(monkeypatch):
+    import time
+
+    from pagefacts.llm import chunk_cache
+
+    monkeypatch.setattr(chunk_cache, "IDLE_SECONDS", 0.2)
+    source = chunk_cache.file_text(public_tokenizers.path("byte_bpe_50k.json"))
+    one = chunk_cache.worker_cache("test", source, len)
+    assert one.covering([["word", "two"]])("word") == 1
+    one.rest()
+    assert chunk_cache.worker_cache("test", source, len) is one  # the next task is in time
+    time.sleep(0.6)
+    assert chunk_cache._kept
+    one.rest()
+    time.sleep(0.6)
+    assert not chunk_cache._kept
+
+
 def test_viterbi_equals_all_paths():
     import itertools
 
