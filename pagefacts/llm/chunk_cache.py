@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import os
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 #: Characters with the Unicode property White_Space, as the tokenizers' patterns understand \s.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -16,6 +18,9 @@ KEPT_CHUNK = 128
 #: How long a worker without a task keeps its cache.
 IDLE_SECONDS = 2
 
+#: Chunks that are encoded as one text, where white space is dropped.
+JOINED = 200
+
 #: Texts that are cut into chunks at a time.
 TEXTS = 250
 
@@ -39,10 +44,12 @@ class ChunkCache:
     What is missing in a group of texts is encoded in one call. A full generation becomes the
     older one and what is still used moves on from there, so memory stays bounded and frequent
     chunks stay known. ``split`` may name smaller chunks whose values add up to a chunk's value.
+    ``spaced`` says that the tokenizer drops white space and a value is a sequence of as many items
+    an id: chunks are then encoded many in one text, whose value is cut.
     """
 
-    def __init__(self, source: str, value: Callable, fixed: dict | None = None, split: Callable | None = None):
-        self.tokenizer, self.value, self.fixed, self.split = load_tokenizer(source), value, fixed or {}, split
+    def __init__(self, source: str, value: Callable, fixed: dict | None = None, split: Callable | None = None, spaced: bool = False):
+        self.tokenizer, self.value, self.fixed, self.split, self.spaced = load_tokenizer(source), value, fixed or {}, split, spaced
         self.young, self.old, self.passing = dict(self.fixed), {}, []
 
     def covering(self, chunks: list[list[str]]) -> Callable:
@@ -62,8 +69,7 @@ class ChunkCache:
                 fresh.add(chunk)
         encoded = list(fresh)
         self.passing = [c for c in encoded if len(c) > KEPT_CHUNK]
-        for chunk, e in zip(encoded, self.tokenizer.encode_batch(encoded, add_special_tokens=False), strict=True):
-            self.young[chunk] = self.value(e.ids)
+        self.young.update(zip(encoded, self._values(encoded), strict=True))
         for chunk, parts in composed:
             first, *rest = (self.young[p] for p in parts)
             for value in rest:
@@ -73,6 +79,21 @@ class ChunkCache:
                 self.passing.append(chunk)
         return self.young.__getitem__
 
+    def _values(self, chunks: list[str]) -> Iterator:
+        """The value of each chunk."""
+        if not self.spaced:
+            yield from (self.value(e.ids) for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False))
+            return
+        groups = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            begins = [a for a, _ in e.offsets]  # characters of the joined text
+            stops = itertools.accumulate(len(c) + 1 for c in group)
+            ids, cuts = e.ids, [bisect.bisect_left(begins, x) for x in stops]
+            data = self.value(ids)
+            width = len(data) // len(ids) if ids else 0
+            cuts = [width * c for c in cuts]
+            yield from map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))
+
     def rest(self) -> None:
         """Lets the older generation go, at the end of a task, and soon all of it, unless another task comes.
 
@@ -94,12 +115,14 @@ def _leave(uses: int) -> None:
         _kept.clear()
 
 
-def worker_cache(name: str, source: str, value: Callable, fixed: dict | None = None, split: Callable | None = None) -> ChunkCache:
+def worker_cache(
+    name: str, source: str, value: Callable, fixed: dict | None = None, split: Callable | None = None, spaced: bool = False
+) -> ChunkCache:
     """The cache of this worker process for a tokenizer; it outlives a task where the next one follows soon."""
     global _uses
     _uses += 1
     key = (name, hash(source), id(fixed) if fixed else 0)
     if key not in _kept:
         _kept.clear()
-        _kept[key] = ChunkCache(source, value, fixed, split)
+        _kept[key] = ChunkCache(source, value, fixed, split, spaced)
     return _kept[key]

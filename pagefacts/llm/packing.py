@@ -38,7 +38,7 @@ _CHUNKS = re.compile(f"[^{WHITE}]+")
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return np.asarray(ids, "<u4").tobytes()
 
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!]*)")
@@ -119,7 +119,7 @@ _PIECES = "id {}, piece int, start long, length long, ids_crc32 long, sequence_i
 
 def _pack_texts(source, capacity: int, limit: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache("ids", source.value, _packed, split=plain_parts)
+        cache = worker_cache("ids", source.value, _packed, split=plain_parts, spaced=True)
         end = _packed([end_id])
         base = TaskContext.get().partitionId() << 40
         pieces: dict[int, tuple] = {}
