@@ -412,21 +412,6 @@ def test_words_keep_their_marks():
     assert language_id._WORDS.findall("हिन्दी, cafe\u0301 x½y Ⅳ don't") == ["हिन्दी", "cafe\u0301", "x", "y", "don", "t"]
 
 
-def test_chunks_encoded_together(monkeypatch):
-    """Many chunks in one text give the ids that each has alone, also with marks, odd cases and long ones."""
-    from pagefacts.llm import chunk_cache
-
-    rng = random.Random(8)
-    letters = "abcxyzÉßİıǅﬁ中文हि\u0301'.,!?-#12٣½😀\u200d<|endoftext|>"
-    chunks = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
-    chunks += ["don't", "<|startoftext|>", "x" * 5000, "\u0301", "\u0000", "a\ufeffb", "\u00ad"]
-    chunks = list(dict.fromkeys(chunks))
-    source = chunk_cache.file_text(WORD_BPE)
-    alone, together = (chunk_cache.ChunkCache(source, packing._packed, spaced=s) for s in (False, True))
-    a, b = alone.covering([chunks]), together.covering([chunks])
-    assert [c for c in chunks if a(c) != b(c)] == []
-
-
 def test_idle_workers_hold_no_cache(monkeypatch):
     import time
 
