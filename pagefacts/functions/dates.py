@@ -175,6 +175,7 @@ def iso_datetimes(values: Column, zone: Column | None = None) -> Column:
             F.date_format(here, "yyyy-MM-dd'T'HH:mm:ss"), F.when(gap < 0, "-").otherwise("+"),
             _two((F.abs(gap) / 60).cast("int")), F.lit(":"), _two(F.abs(gap) % 60),
         )
+        # Fixed value: the error text that stands in place of a date.
         bad = lambda why: F.concat(
             F.lit("Bad input for date/time: "), x["raw"], F.lit(".  (#<ArgumentError: "), why, F.lit(">)")
         )

@@ -51,6 +51,7 @@ def output_decision(store: Store) -> DataFrame:
         .when(F.col("frame").isNotNull(), "own frame")
         .otherwise("class frame")
     )
+    # Fixed values, here and in unknown_pages: the messages that take the place of markup.
     message = F.when(
         decision == "message",
         F.concat(
