@@ -16,7 +16,7 @@ from pagefacts.session import durable_dir
 from pagefacts.sources.driver_tables import captures, driver_store, literal_rows, sources, store_sql, table
 from pagefacts.sources.statement_log import StatementLog
 from pagefacts.streaming import jobs as T
-from pagefacts.vocab import DEFAULT
+from pagefacts.vocab import DEFAULT, SCHEMA
 
 RULES = [
     (1, "xpath=//title"),
@@ -95,24 +95,64 @@ def l1_site(spark, sf):
 
 _LEGACY = f"""
 u AS (SELECT *, regexp_extract(predicate, '[^/]*$') AS prop FROM star WHERE selected AND status IN ('ok', 'updated') AND (rule_language = page_language OR rule_language = '')),
-x AS (SELECT webpage_id, rdf_uri, arg_max(cache, statement_id) FILTER (prop = 'startDate') AS d, arg_max(cache, statement_id) FILTER (prop = 'location') AS l,
-   arg_max(cache, statement_id) FILTER (prop = 'name') AS name FROM u GROUP BY webpage_id, rdf_uri),
+v AS (SELECT webpage_id, rdf_uri, page_language, prop, arg_max(value_datatype, statement_id) AS dt, arg_max(cache, statement_id) AS c FROM u
+  WHERE prop <> 'performer' AND (value_datatype <> 'xsd:anyURI' OR c_list(cache)) GROUP BY ALL),
+x AS (SELECT webpage_id, rdf_uri, page_language, max(c) FILTER (prop = 'startDate') AS d, max(c) FILTER (prop = 'location') AS l, max(c) FILTER (prop = 'name') AS name,
+  max(c) FILTER (prop = 'price') AS price FROM v GROUP BY ALL),
 y AS (SELECT *, CASE WHEN d LIKE '[%' THEN from_json(d, '["VARCHAR"]') ELSE [d] END AS ds,
    CASE WHEN l LIKE '[[%' THEN json_extract(l, '$[0]') ELSE CAST(l AS JSON) END AS g FROM x WHERE d IS NOT NULL AND l IS NOT NULL AND trim(coalesce(name, '')) <> ''),
-z AS (SELECT *, CASE WHEN json_array_length(g) > 2 THEN json_array_length(g) - 2 ELSE 0 END AS n FROM y)
-"""
+z AS (SELECT *, CASE WHEN json_array_length(g) > 2 THEN json_array_length(g) - 2 ELSE 0 END AS n FROM y),
+e AS (SELECT *, ds[i] AS "startDate", json_extract(g, '$[' || CASE WHEN n = len(ds) THEN i + 1 ELSE 2 END || ']') AS place FROM (SELECT *, generate_subscripts(ds, 1) AS i FROM z WHERE n > 0 AND (n = 1 OR n = len(ds)))),
+own AS (SELECT webpage_id, CASE WHEN prop IN ('name', 'description') THEN prop || '_' || page_language ELSE prop END AS key,
+  CASE dt WHEN 'xsd:dateTime' THEN to_json(CASE WHEN c LIKE '[%' THEN from_json(c, '["VARCHAR"]') ELSE [c] END) ELSE coalesce(to_json(c), 'null') END::VARCHAR AS value
+  FROM v WHERE prop NOT IN ('startDate', 'endDate', 'location', 'duration', 'price')),
+doc AS (
+  SELECT *, unnest([{{'k': 'name', 'v': name}}, {{'k': 'startDate', 'v': "startDate"}}, {{'k': 'place_id', 'v': place->>1}}, {{'k': 'place_name', 'v': place->>0}}, {{'k': 'place_type', 'v': g->>1}}], recursive := true) FROM e
+)
+""".replace("c_list(cache)", "json_valid(cache) AND json_type(cache) = 'ARRAY'")
 
 
 @query(
     "i11_legacy_events",
     store_sql(f"""
-SELECT webpage_id, replace(rdf_uri, 'adr:', '{DEFAULT.kg_base}') AS super_event, 'Event' AS type, i - 1 AS date_pos, ds[i] AS "startDate", name, json_extract_string(g, '$[2][1]') AS place_id
-  FROM (SELECT *, generate_subscripts(ds, 1) AS i FROM z WHERE n > 0 AND (n = 1 OR n = len(ds)))
-UNION ALL SELECT webpage_id, replace(rdf_uri, 'adr:', '{DEFAULT.kg_base}'), 'EventSeries', -1, ds[1], name, json_extract_string(g, '$[2][1]') FROM z WHERE n > 0 AND (n = 1 OR n = len(ds))""", _LEGACY),
+SELECT webpage_id, replace(rdf_uri, 'adr:', '{DEFAULT.kg_base}') AS super_event, type, date_pos, k, v FROM (
+  SELECT webpage_id, rdf_uri, 'Event' AS type, i - 1 AS date_pos, k, v FROM doc
+  UNION ALL SELECT webpage_id, rdf_uri, 'EventSeries', -1, k, v FROM doc WHERE i = 1
+  UNION ALL SELECT webpage_id, rdf_uri, 'Event', i - 1, unnest(['endDate', 'price', 'valid_from', 'availability']), unnest([left("startDate", 10), price,
+    CASE WHEN trim(price) <> '' THEN strftime(DATE '{AS_OF[:10]}' - INTERVAL 1 MONTH, '%Y-%m-%d') END, CASE WHEN trim(price) <> '' THEN '{SCHEMA}InStock' END]) FROM e
+  UNION ALL SELECT webpage_id, rdf_uri, 'Event', i - 1, 'properties.' || key, value FROM e JOIN own USING (webpage_id)
+) WHERE v IS NOT NULL""", _LEGACY),
 )
 def i11(spark, sf):
-    rows = Y.legacy_events(driver_store(spark, sf), AS_OF)
-    return rows.select("webpage_id", "super_event", "type", "date_pos", "startDate", "name", "place_id")
+    """Every event and series, with all properties, one row a name."""
+    rows = Y.legacy_events(driver_store(spark, sf), AS_OF).drop("page_language", "description", "image")
+    keys = ["webpage_id", "super_event", "type", "date_pos"]
+    plain = [c for c in rows.columns if c not in (*keys, "properties")]
+    given = F.create_map(*[x for c in plain for x in (F.lit(c), F.col(c))])
+    own = F.transform_keys(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda k, _: F.concat(F.lit("properties."), k))
+    return rows.select(*keys, F.explode(F.map_concat(given, own)).alias("k", "v")).filter("v is not null")
+
+
+@query(
+    "i11_legacy_documents",
+    store_sql(f"""
+SELECT webpage_id, CASE WHEN last THEN 'EventSeries' ELSE 'Event' END AS type, CASE WHEN last THEN -1 ELSE i - 1 END AS date_pos,
+  CASE WHEN last THEN '{SCHEMA}EventSeries' ELSE '{SCHEMA}Event' END AS cls, replace(rdf_uri, 'adr:', '{DEFAULT.kg_base}') AS about, "startDate",
+  replace(place->>1, 'adr:', '{DEFAULT.kg_base}') AS place, name, CASE WHEN NOT last AND trim(price) <> '' THEN price END AS price, CASE WHEN NOT last THEN desc_ END AS description
+FROM (SELECT *, unnest(CASE WHEN i = 1 THEN [false, true] ELSE [false] END) AS last FROM e
+  LEFT JOIN (SELECT webpage_id, value::JSON->>'$' AS desc_ FROM own WHERE key LIKE 'description_%') USING (webpage_id))""", _LEGACY),
+)
+def i11_documents(spark, sf):
+    """The objects of the markup, read back."""
+    docs = Y.legacy_documents(Y.legacy_events(driver_store(spark, sf), AS_OF))
+    at = lambda path: F.get_json_object("json", path)
+    either = lambda name: F.coalesce(at(f"$.{name}_en"), at(f"$.{name}_fr"))
+    return docs.select(
+        "webpage_id", "type", "date_pos", F.concat(F.get_json_object("json", "$.@context.@vocab"), at("$.@type")).alias("cls"),
+        F.coalesce(at("$.superEvent.@id"), at("$.@id")).alias("about"), at("$.startDate").alias("startDate"),
+        at("$.location.@id").alias("place"), either("name").alias("name"), at("$.offers.price").alias("price"),
+        either("description").alias("description"),
+    )
 
 
 @query(

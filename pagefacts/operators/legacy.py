@@ -94,30 +94,88 @@ def events_per_date(rows: DataFrame) -> DataFrame:
     )
 
 
-def legacy_events(store: Store, as_of: str, vocab: Vocabulary = DEFAULT) -> DataFrame:
-    """Events and one series row per page, from reviewed statements of selected rules
-    in the page's language or without one. The last statement (by id) of a property wins.
+def markup_values(store: Store, offer_url_props: tuple[str, ...] = ()) -> DataFrame:
+    """(webpage_id, rdf_uri, page_language, kind, key, cache): what a page's markup shows, the last statement (by id) of
+    each name.
+
+    From reviewed statements of selected rules in the page's language or without one. Performers are left out, as their
+    class is not known; a name or description carries the page's language in its key; link values that are no JSON
+    list do not count. ``offer_url_props`` are the local names of properties whose values are addresses of the offer.
     """
     rows = star(store).filter(
         F.col("selected")
         & F.col("status").isin(*REVIEWED)
         & ((F.col("rule_language") == F.col("page_language")) | (F.col("rule_language") == ""))
     )
-    prop = V.local_name("predicate")
-    pick = lambda *names: F.max_by(
-        F.when(F.col("prop").isin(*names), F.col("cache")), F.when(F.col("prop").isin(*names), F.col("statement_id"))
-    )
-    fields = rows.withColumn("prop", prop).groupBy("webpage_id", "rdf_uri", "page_language").agg(
-        pick("startDate").alias("startDate"),
-        pick("location").alias("location"),
-        pick("name").alias("name"),
-        pick("description").alias("description"),
-        pick("image").alias("image"),
-        pick("duration").alias("duration"),
-        pick("price").alias("price"),
-    )
-    durations = F.filter(V.to_array("duration"), lambda d: F.startswith(d, F.lit("PT")))
-    shaped = fields.select(
+    prop = F.col("prop")
+    kind = (
+        F.when(prop.isin(*offer_url_props), "offer_url")
+        .when(F.col("value_datatype") == "xsd:anyURI", "links")
+        .when(F.col("value_datatype") == "xsd:dateTime", "dates")
+        .when(prop == "duration", "durations")
+        .when(prop == "price", "price")
+        .otherwise("text")
+    )
+    tagged = rows.withColumn("prop", V.local_name("predicate")).filter(prop.isNotNull() & (prop != "performer"))
+    tagged = tagged.withColumn("kind", kind).filter((F.col("kind") != "links") | V.json_list("cache").isNotNull())
+    key = F.when(
+        (F.col("kind") == "text") & prop.isin("name", "description"), F.concat(prop, F.lit("_"), "page_language")
+    ).otherwise(prop)
+    return (
+        tagged.withColumn("key", key)
+        .groupBy("webpage_id", "rdf_uri", "page_language", "kind", "key")
+        .agg(F.max_by("cache", "statement_id").alias("cache"))
+    )
+
+
+def _list_text(texts: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
+
+
+def _links_json(links: Column) -> Column:
+    shown = lambda h: F.to_json(F.struct(h["type"].alias("@type"), h["name"].alias("name"), h["id"].alias("@id")))
+    return _list_text(F.transform(links, shown))
+
+
+def legacy_events(
+    store: Store, as_of: str, vocab: Vocabulary = DEFAULT, offer_url_props: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per page one event for each start date and one row of their series, with all of the page's properties.
+
+    ``properties`` maps each further name to its JSON value: places and other linked objects as objects, dates and
+    durations as lists, all else as text. Place, duration and offer address are those of the date's place in the list
+    where there are as many, else the first. ``endDate`` is the day of the start; ``name`` is the page's own.
+    """
+    values = markup_values(store, offer_url_props)
+    one = lambda kind, key=None: F.max(
+        F.when((F.col("kind") == kind) & (F.lit(True) if key is None else F.col("key") == key), F.col("cache"))
+    )
+    links, stored = nested_links(F.col("cache")), V.to_array("cache")
+    text = (
+        F.when(F.col("kind") == "links", _links_json(links))
+        .when(F.col("kind") == "dates", F.to_json(stored))
+        .otherwise(F.coalesce(V.json_text(F.col("cache")), F.lit("null")))
+    )
+    own = F.col("kind").isin("links", "dates", "text") & ~F.col("key").isin("startDate", "endDate", "location", "duration")
+    pages = values.groupBy("webpage_id", "rdf_uri", "page_language").agg(
+        one("dates", "startDate").alias("startDate"),
+        one("links", "location").alias("location"),
+        F.max(F.when((F.col("kind") == "text") & (F.col("key") == F.concat(F.lit("name_"), "page_language")), F.col("cache"))).alias("name"),
+        F.max(F.when((F.col("kind") == "text") & (F.col("key") == F.concat(F.lit("description_"), "page_language")), F.col("cache"))).alias("description"),
+        one("text", "image").alias("image"),
+        one("durations").alias("duration"),
+        one("price").alias("price"),
+        one("offer_url").alias("offer_url"),
+        F.collect_list(F.when(own, F.struct("key", "kind", text.alias("v")))).alias("shown"),
+    )
+    # a name that two kinds of property share is shown once, the text last
+    last = F.map_from_entries(
+        F.transform(
+            F.array_distinct(F.transform("shown", lambda e: e["key"])),
+            lambda k: F.struct(k.alias("key"), F.array_max(F.filter("shown", lambda e: e["key"] == k))["v"].alias("v")),
+        )
+    )
+    shaped = pages.select(
         "webpage_id",
         V.full_uri("rdf_uri", vocab).alias("super_event"),
         "page_language",
@@ -126,20 +184,66 @@ def legacy_events(store: Store, as_of: str, vocab: Vocabulary = DEFAULT) -> Data
         "image",
         F.when(F.col("startDate").isNotNull(), V.to_array("startDate")).alias("start_dates"),
         nested_links(F.col("location")).alias("places"),
-        durations.alias("durations"),
-        offer_struct(F.col("price"), F.lit(None).cast("string"), as_of).alias("offer"),
-        F.lit(None).cast("array<string>").alias("offer_urls"),
-    ).filter(legacy_publishable(F.col("start_dates"), F.col("places"), F.col("name")))
-    events = events_per_date(shaped)
-    shown = events.select(
-        "webpage_id", "super_event", F.lit("Event").alias("type"), "date_pos", "startDate", "endDate", "name",
+        F.filter(V.to_array("duration"), lambda d: F.startswith(d, F.lit("PT"))).alias("durations"),
+        offer_struct(F.col("price"), F.col("offer_url"), as_of).alias("offer"),
+        last.alias("properties"),
+    ).withColumn("offer_urls", F.col("offer.url"))
+    events = events_per_date(shaped.filter(legacy_publishable(F.col("start_dates"), F.col("places"), F.col("name"))))
+    columns = [
+        "webpage_id", "super_event", "page_language", F.lit("Event").alias("type"), "date_pos", "startDate", "endDate", "name",
         "description", "image", "duration", F.col("place.id").alias("place_id"), F.col("place.name").alias("place_name"),
-        F.col("offer.price").alias("price"), F.col("offer.validFrom").alias("valid_from"),
+        F.col("place.type").alias("place_type"), F.col("offer.price").alias("price"), F.col("offer.validFrom").alias("valid_from"),
+        F.col("offer.availability").alias("availability"), "offer_url", "properties",
+    ]
+    shown = events.select(*columns)
+    series = ("webpage_id", "super_event", "page_language", "startDate", "name", "place_id", "place_name", "place_type")
+    fixed = {"type": F.lit("EventSeries"), "date_pos": F.lit(-1)}
+    first = shown.filter("date_pos = 0").select(
+        *[
+            fixed.get(f.name, F.col(f.name) if f.name in series else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in shown.schema
+        ]
+    )
+    return shown.unionByName(first)
+
+
+def legacy_documents(events: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """(webpage_id, type, date_pos, json): the markup of ``legacy_events``, one object a row, ready for a page.
+
+    Prefixed addresses are written in full; a context maps the names with a language.
+    """
+    text, member = V.json_text, lambda k, v: F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v))
+    is_event = F.col("type") == "Event"
+    named = lambda p: f'"{p}_en":{{"@id":"{p}","@language":"en"}},"{p}_fr":{{"@id":"{p}","@language":"fr"}}'
+    context = F.when(is_event, F.lit(f'{{"@vocab":"{SCHEMA}",{named("description")},{named("name")}}}')).otherwise(
+        F.lit(f'{{"@vocab":"{SCHEMA}",{named("name")}}}')
+    )
+    place = F.to_json(
+        F.struct(F.col("place_type").alias("@type"), F.col("place_name").alias("name"), F.col("place_id").alias("@id"))
+    )
+    offer = F.to_json(
+        F.struct(
+            F.lit("Offer").alias("@type"), F.col("valid_from").alias("validFrom"), "availability", "price",
+            F.when(F.col("price").isNotNull(), F.lit("CAD")).alias("priceCurrency"), F.col("offer_url").alias("url"),
+        )
+    )
+    own = F.array_join(
+        F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(text(e["key"]), F.lit(":"), e["value"])), ","
     )
-    series = shown.filter("date_pos = 0").select(
-        "webpage_id", "super_event", F.lit("EventSeries").alias("type"), F.lit(-1).alias("date_pos"), "startDate",
-        *[F.lit(None).cast("string").alias(c) for c in ("endDate",)], "name",
-        *[F.lit(None).cast("string").alias(c) for c in ("description", "image", "duration")], "place_id", "place_name",
-        *[F.lit(None).cast("string").alias(c) for c in ("price", "valid_from")],
+    series_name = F.when(~is_event, F.concat(F.lit('"name_'), "page_language", F.lit('":'), text(F.col("name"))))
+    body = F.concat_ws(
+        ",",
+        member("@context", context),
+        member("@type", text(F.col("type"))),
+        member("superEvent", F.when(is_event, F.to_json(F.struct(F.col("super_event").alias("@id"))))),
+        member("@id", F.when(~is_event, text(F.col("super_event")))),
+        F.when(own != "", own),
+        member("startDate", text(F.col("startDate"))),
+        member("endDate", F.when(F.col("endDate").isNotNull(), text(F.col("endDate")))),
+        member("location", place),
+        member("duration", F.when(F.col("duration").isNotNull(), text(F.col("duration")))),
+        member("offers", F.when(F.col("valid_from").isNotNull(), offer)),
+        series_name,
     )
-    return shown.unionByName(series)
+    whole = F.replace(F.concat(F.lit("{"), body, F.lit("}")), F.lit(vocab.kg_prefix), F.lit(vocab.kg_base))
+    return events.select("webpage_id", "type", "date_pos", whole.alias("json"))

@@ -351,6 +351,29 @@ def test_legacy_offers_and_alignment(spark):
     assert got == [("2026-03-04T18:00", "2026-03-04", "p1", "d1", None), ("2026-03-05T18:00", "2026-03-05", "p2", "d1", None)]
 
 
+def test_legacy_documents_by_date(spark):
+    dates = ["2026-03-04T18:00", "2026-03-05T18:00"]
+    rows = spark.createDataFrame(
+        [(1, dates, [("Place", "P1", "adr:p1"), ("Place", "P2", "adr:p2")], ["PT1H"], ["http://1", "http://2"], "9"),
+         (2, dates, [("Place", 'P "3"', "adr:p3")], [], ["http://3"], "9"), (3, dates[:1], [("Place", "P4", "adr:p4")], None, None, None)],
+        "webpage_id long, start_dates array<string>, places array<struct<type:string,name:string,id:string>>, durations array<string>, "
+        "offer_urls array<string>, price string")
+    rows = Y.events_per_date(rows).select(
+        "webpage_id", F.lit("adr:e").alias("super_event"), F.lit("fr").alias("page_language"), F.lit("Event").alias("type"), "date_pos",
+        "startDate", "endDate", F.lit("Nom").alias("name"), "duration", F.col("place.id").alias("place_id"),
+        F.col("place.name").alias("place_name"), F.col("place.type").alias("place_type"), "price",
+        F.when(F.col("price").isNotNull(), "2026-01-01").alias("valid_from"), F.when(F.col("price").isNotNull(), SCHEMA + "InStock").alias("availability"),
+        "offer_url", F.create_map(F.lit("name_fr"), F.lit('"Nom"')).alias("properties"))
+    got = {(r.webpage_id, r.date_pos): json.loads(r.json) for r in Y.legacy_documents(rows).collect()}
+    assert [(k, d["location"]["name"], d.get("duration"), d.get("offers", {}).get("url")) for k, d in sorted(got.items())] == [
+        ((1, 0), "P1", "PT1H", "http://1"), ((1, 1), "P2", "PT1H", "http://2"), ((2, 0), 'P "3"', None, "http://3"),
+        ((2, 1), 'P "3"', None, "http://3"), ((3, 0), "P4", None, None)]
+    first = got[1, 0]
+    assert first["@type"] == "Event" and first["name_fr"] == "Nom" and first["endDate"] == "2026-03-04"
+    assert first["superEvent"]["@id"] == DEFAULT.kg_base + "e" and first["location"]["@id"] == DEFAULT.kg_base + "p1"
+    assert first["offers"]["price"] == "9" and "offers" not in got[3, 0]
+
+
 def test_exports(spark, tmp_path):
     docs = spark.createDataFrame([("a", '{"x":1}'), ("b", '{"x":2}'), ("a", '{"x":3}')], "seedurl string, json string")
     root = str(tmp_path / "x")
