@@ -15,6 +15,7 @@ from pagefacts.operators import legacy as Y
 from pagefacts.operators import reconcile as C
 from pagefacts.operators import rollups as R
 from pagefacts.operators.star import star
+from pagefacts.plans.cycle import scheduled_cycle
 from pagefacts.plans.refresh import refresh_pages, refresh_store
 from pagefacts.sources import exports, schemas
 from pagefacts.sources.captures import load_captures
@@ -261,6 +262,29 @@ def test_refresh_pages_end_to_end(spark):
     assert out[81, 3].cache == "The Hall"
 
 
+def test_scheduled_cycle(spark):
+    sites = [(1, "Site", "site", "http://kg.example.org", "en", 1, T0, "10:00"), (2, "Late", "late", "http://kg.example.org", "en", 1, T0, "23:00"),
+             (3, "New", "new", "http://kg.example.org", "en", 1, None, "10:00")]
+    soon, past = dt.datetime(2024, 6, 1), dt.datetime(2023, 6, 1)
+    pages = [(i, f"http://s.example/{i}", "en", u, c, w, when, None) for i, u, c, w, when in [
+        (1, "adr:e1", 1, 1, soon), (2, "adr:e2", 1, 1, past), (3, "adr:hall", 2, 1, soon), (4, "adr:e4", 1, 2, soon)]]
+    hall = '["the hall","Place",["The Hall","http://k/h"]]'
+    store = make_store(
+        spark, [(1, "Old", "ok", 11, 1, True, False), (2, "2033-01-01", "ok", 21, 1, True, False), (3, hall, "ok", 31, 1, True, False),
+                (4, "Past", "ok", 11, 2, True, False), (5, "Other", "ok", 11, 4, True, False)], websites=sites, webpages=pages)
+    html = "<title>New</title><time datetime='17 juillet 2033 - 8 h 05'></time>"
+    bodies = spark.createDataFrame([(i, f"http://s.example/{i}", html) for i in (1, 2, 3, 4)], schemas.CAPTURES)
+    done = scheduled_cycle(store, bodies, kg(spark), "2024-02-01 12:00:00")
+    assert [r.seedurl for r in done.sites.collect()] == ["site"]
+    assert {r.id: str(r.last_refresh) for r in done.store.websites.collect()} == {1: "2024-02-01 12:00:00", 2: str(T0), 3: "None"}
+    now = {r.id: (r.cache, r.status) for r in done.store.statements.collect()}
+    assert now[1] == ("New", "updated") and now[4] == ("Past", "ok") and now[5] == ("Other", "ok")
+    assert {r.seedurl for r in done.documents.select("seedurl").distinct().collect()} <= {"site"}
+    again = scheduled_cycle(done.store, bodies, kg(spark), "2024-02-01 13:00:00")  # the day has not passed
+    assert again.sites.count() == 0 and again.documents.count() == 0
+    assert {r.id: r.cache for r in again.store.statements.collect()} == {k: v[0] for k, v in now.items()}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     store = make_store(spark, [(1, "Old", "ok", 11, 1, True, False), (2, "2024-01-01", "ok", 21, 1, True, False)])
     first = [(11, 1, "A", None), (21, 1, "2024-05-05", None)]
