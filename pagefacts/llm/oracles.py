@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pagefacts.llm.licenses import TEMPLATES, THRESHOLD, bigrams
-from pagefacts.llm.quality_rules import ERROR, MAX_REPEAT_PERCENT, MIN_WORDS, RISK, RULES
+from pagefacts.llm.quality_rules import ERROR, MAX_REPEAT_PERCENT, MIN_WORDS, RISK, RULES, chain_levels, chains
 
 ORACLES: dict[str, str] = {}
 
@@ -12,13 +12,27 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _quality() -> str:
-    cuts = ", ".join(
-        f"({i}, {c})" for i, r in enumerate(RULES) for c in r.cutoffs
+    ways = chains(RULES)
+    passed = ", ".join(
+        f"CASE WHEN {r.whole} > 0 AND {r.scale} * {r.part} >= {min(r.cutoffs)} * {r.whole} THEN "
+        f"len(list_filter({list(r.cutoffs)}, lambda c: {r.scale} * {r.part} < c * {r.whole})) END AS q{i}"
+        for i, r in enumerate(RULES)
     )
-    part = " ".join(f"WHEN {i} THEN {r.scale} * {r.part}" for i, r in enumerate(RULES))
-    whole = " ".join(f"WHEN {i} THEN {r.whole}" for i, r in enumerate(RULES))
-    each = RISK / len(RULES)
-    columns = ", ".join(f"min(cut) FILTER (rule = {i}) AS cut_{r.name}" for i, r in enumerate(RULES))
+    steps = ", ".join(
+        f"{{'c': {c}, 'step': least({', '.join(f'q{r} * {len(way)} + {place + 1}' for place, r in enumerate(way))})}}"
+        for c, way in enumerate(ways)
+    )
+    facts = ", ".join(
+        f"({c}, {level!r}::DOUBLE, {len(way) * max(len(RULES[r].cutoffs) for r in way)})"
+        for c, (way, level) in enumerate(zip(ways, chain_levels(RULES, ERROR)))
+    )
+    columns = ", ".join(
+        "CASE c " + " ".join(
+            f"WHEN {c} THEN {sorted(rule.cutoffs, reverse=True)}[least((step - {way.index(i)} + {len(way) - 1}) // {len(way)}, {len(rule.cutoffs)})]"
+            for c, way in enumerate(ways) if i in way
+        ) + f" END AS cut_{rule.name}"
+        for i, rule in enumerate(RULES)
+    )
     verdict = " AND ".join(
         f"NOT coalesce({r.whole} > 0 AND {r.scale} * {r.part} >= cut_{r.name} * {r.whole}, false)" for r in RULES
     )
@@ -28,18 +42,23 @@ w AS (SELECT k, doc_id, stratum, t, regexp_extract_all(t, '{_WORD}') AS ws, list
 g AS (SELECT k, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 h AS (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS times FROM g),
 c AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM h WHERE times > 1) GROUP BY k),
-m AS (SELECT w.k, doc_id, stratum, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+m AS (SELECT w.k, doc_id, stratum, md5(t) AS key, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines FROM w LEFT JOIN c ON c.k = w.k),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
-held AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
-cuts(rule, cut) AS (VALUES {cuts}),
-tests AS (SELECT stratum, rule, cut, count(*) AS n, sum(CASE WHEN CASE rule {whole} END > 0 AND CASE rule {part} END >= cut * CASE rule {whole} END THEN 1 ELSE 0 END) AS k FROM held, cuts GROUP BY ALL),
-lim AS (SELECT {ERROR!r}::DOUBLE / count(*) AS level FROM tests),
-p AS (SELECT stratum, rule, cut, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({each!r}::DOUBLE) + (n - i) * ln(1 - {each!r}::DOUBLE))) AS p
-  FROM (SELECT *, unnest(range(0, (k + 1)::BIGINT)) AS i FROM tests WHERE k <= n * {each!r}::DOUBLE) GROUP BY ALL),
-chosen AS (SELECT stratum, {columns} FROM p, lim WHERE p <= level GROUP BY stratum)
+held AS (SELECT DISTINCT stratum, key, {passed} FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+hist AS (SELECT stratum, c, step, count(*) AS m FROM (SELECT stratum, unnest([{steps}], recursive := true) FROM held) GROUP BY ALL),
+total AS (SELECT stratum, c, sum(m)::BIGINT AS n FROM hist GROUP BY ALL),
+tests AS (SELECT stratum, c, step, n, sum(m) OVER (PARTITION BY stratum, c ORDER BY step)::BIGINT AS k
+  FROM (SELECT * FROM hist WHERE step IS NOT NULL UNION ALL SELECT stratum, c, 0, 0 FROM total) JOIN total USING (stratum, c)),
+p AS (SELECT stratum, c, step, CASE WHEN k > n * {RISK!r}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(0, k + 1),
+  lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK!r}::DOUBLE) + (n - i) * ln(1 - {RISK!r}::DOUBLE)))) END AS p FROM tests),
+facts(c, level, most) AS (VALUES {facts}),
+admitted AS (SELECT stratum, c, greatest(0, coalesce(min(step) FILTER (p > level / (SELECT count(DISTINCT stratum) FROM held)) - 1, any_value(most))) AS step
+  FROM p JOIN facts USING (c) GROUP BY ALL),
+best AS (SELECT stratum, c, step FROM admitted QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY step DESC, c) = 1),
+chosen AS (SELECT stratum, {columns} FROM best)
 SELECT doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, {names},
   NOT base_failed AND {verdict} AS kept FROM b LEFT JOIN chosen USING (stratum)"""
 

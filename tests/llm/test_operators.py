@@ -335,6 +335,44 @@ def test_cutoffs_promise_what_they_say(spark, docs, frame):
     assert kept == {i for i, t in rows if measures(t)["n_words"] >= 50 and 100 * measures(t)["n_repeat_words"] <= 50 * len(words(t))}
 
 
+def test_a_bad_rule_is_refused_alone(spark, docs, frame):
+    rng = random.Random(5)
+    good = ["\n".join(prose(1000 * i + k, 12) for k in range(6)) for i in range(400)]
+    rows = list(enumerate(good + good[:200]))  # copies are no further trials
+    labels = frame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    bad = quality_rules.Rule("bad", "n_words", "n_words", 1, (1, 1))  # rejects whatever has words
+    fine = quality_rules.Rule("fine", "n_symbols", "word_chars", 1000, (10, 20, 30))
+    other = quality_rules.Rule("other", "n_dup_lines", "n_lines", 1000, (100, 200))
+    out = quality_rules.judged(docs(rows), labels, rules=(bad, fine, other))
+    assert {(r.cut_bad, r.cut_fine, r.cut_other) for r in out.collect()} == {(None, 10, 100)}
+    # 0.98 ** 149 < 0.05: so many distinct texts suffice for one chain alone, fewer do not, however often they are repeated
+    for n, cut in ((149, 10), (148, None)):
+        few = [(i, t) for i, t in rows if i % 400 < n]
+        got = quality_rules.judged(docs(few), labels, rules=(fine,)).collect()
+        assert {r.cut_fine for r in got} == {cut}
+    # what is admitted rejects no more good texts than the test allows, in every chain
+    noisy = [(i, t if rng.random() > 0.03 else t + " #" * 40) for i, t in rows[:400]]
+    cut = {r.cut_fine for r in quality_rules.judged(docs(noisy), labels, rules=(fine, other)).collect()}
+    assert cut == {None}
+
+
+def test_chain_steps_equal_brute_force(spark):
+    rules, rng = quality_rules.RULES, random.Random(7)
+    rows = [tuple(rng.choice([0, 1, 5, 40, 400, 900]) for _ in range(6)) for _ in range(80)]
+    df = spark.createDataFrame(rows, ", ".join(f"{m} long" for m in quality_rules.MEASURES))
+    for chain in quality_rules.chains(rules):
+        got = [r[0] for r in df.select(quality_rules.first_step(rules, chain)).collect()]
+        for row, step in zip(rows, got):
+            m, want = dict(zip(quality_rules.MEASURES, row)), None
+            for at in range(10 * len(chain)):
+                rule = rules[chain[at % len(chain)]]
+                cutoff = sorted(rule.cutoffs, reverse=True)[at // len(chain)]
+                if m[rule.whole] > 0 and rule.scale * m[rule.part] >= cutoff * m[rule.whole]:
+                    want = at + 1
+                    break
+            assert step == want
+
+
 def test_binomial_tail(spark):
     cases = [(0, 10, 0.1), (3, 50, 0.1), (7, 700, 0.0125), (40, 900, 0.05), (200, 100_000, 0.003), (9, 10, 0.5)]
     df = spark.createDataFrame([(k, n) for k, n, _ in cases], "k long, n long")
