@@ -313,6 +313,22 @@ def test_token_counts_are_the_librarys(docs):
     assert token_counts.count_tokens(docs([]), BYTE_BPE).count() == 0
 
 
+def test_frequent_chunks_come_from_merged_summaries(spark, docs):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{min(int(rng.expovariate(0.05)), 300)}" for _ in range(80))) for i in range(400)]
+    source = spark.sparkContext.broadcast(token_counts.file_text(BYTE_BPE))
+    tokenizer = token_counts.load_tokenizer(source.value)
+    seen = Counter(c for _, t in rows for c in token_counts.CHUNKS.findall(t))
+    want = sorted(seen, key=lambda c: (-seen[c], c))[:40]
+    for parts, fan in ((1, 64), (23, 2), (23, 64)):
+        blob = token_counts.frequent_chunks(docs(rows).repartition(parts), "text", source, 40, fan)
+        chunks, lengths = token_counts.unpack(blob)
+        assert (lengths == [len(e.ids) for e in tokenizer.encode_batch(chunks, add_special_tokens=False)]) and len(chunks) == 40
+        if fan == 64:  # merged at once nothing is let go before the end
+            assert chunks == want
+    assert token_counts.unpack(token_counts.frequent_chunks(docs([(1, None), (2, "")]), "text", source)) == ([], [])
+
+
 # quality
 
 
