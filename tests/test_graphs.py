@@ -261,3 +261,18 @@ def test_documents_of_other_classes(spark):
     ids = [n.get("@id") for n in doc["@graph"]]
     assert len(ids) == 3 and ids.count("http://else") == 1 and "http://kg.example.org/resource/K2" not in ids
     assert [n["offers"] for n in doc["@graph"] if "offers" in n] == [{}]
+
+
+def test_graph_values_are_parsed_once(spark):
+    """No join or filter below the graph parses values, links without a URI give nothing, and the rest is whole."""
+    facts = spark.range(0, 30, 1, 2).selectExpr(
+        "id as page", "'ok' as status", "'xsd:anyURI' as value_datatype", f"'{SCHEMA}location' as predicate", "'' as rule_language",
+        "'Event' as rdfs_class_name", "cast(null as timestamp_ntz) as cache_refreshed",
+        """case id % 3 when 0 then '["x","Place"]' when 1 then '["x","Place",["x","http://x"]]' when 2 then ' ' end as cache""",
+    )
+    pages = spark.range(0, 30, 1, 2).selectExpr("id as page", "concat('adr:e', id) as rdf_uri", "'Event' as page_class")
+    graph = G.build_graph(facts.join(pages, "page"), annotate=False)
+    plan = graph._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [line for line in plan if "from_json" in line and (" Join " in line or " Filter " in line)]
+    assert {(r.p, r.o) for r in graph.collect()} == {(RDF_TYPE, SCHEMA + "Event"), (SCHEMA + "location", "http://x")}
+    assert graph.count() == 20
