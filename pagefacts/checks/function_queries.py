@@ -152,7 +152,7 @@ def h8(spark, sf):
         F.concat(day, F.lit(" 15:00")), F.lit("time_zone: Pacific Time (US & Canada)"), day, F.concat(F.lit("le "), day)
     )
     rows = table(spark, sf, "orders").select("o_orderkey", items.alias("items"))
-    out = rows.select("o_orderkey", D.convert_datetimes("items").alias("x"), D.convert_dates("items").alias("y"))
+    out = rows.withColumn("x", D.convert_datetimes("items")).withColumn("y", D.convert_dates("items", F.col("x")))
     return out.select(
         "o_orderkey", F.get("x", F.lit(0)).alias("first"), F.get("x", F.lit(1)).alias("second"), F.size("x").alias("n"),
         F.get("y", F.lit(0)).alias("day"),
