@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,19 +38,22 @@ def a1(spark, sf):
     rows = typed(store.statements).withColumnRenamed("id", "statement_id").join(
         S.rules(store).select("source_id", (F.col("value_datatype") == "xsd:anyURI").alias("linked")), "source_id"
     )
-    none, text = F.lit(-1), F.lit(None).cast("string")
-    values = rows.filter("not aborted and not linked").select("statement_id", F.posexplode("values").alias("pos", "item"))
-    groups = rows.filter("linked").select("statement_id", F.posexplode("links").alias("pos", "g"))
-    links = groups.select("statement_id", "pos", "g.class", F.posexplode("g.links").alias("hit", "l"))
-    parts = [
-        values.select("statement_id", F.lit("value").alias("kind"), "item", "pos", none.alias("hit"), text.alias("class"), text.alias("uri")),
-        groups.select("statement_id", F.lit("group").alias("kind"), F.col("g.search").alias("item"), "pos", none.alias("hit"), "g.class", text.alias("uri")),
-        links.select("statement_id", F.lit("link").alias("kind"), F.col("l.label").alias("item"), "pos", "hit", "class", "l.uri"),
-        rows.filter("aborted").select(
-            "statement_id", F.lit("aborted").alias("kind"), F.col("cache").alias("item"), none.alias("pos"), none.alias("hit"), text.alias("class"), text.alias("uri")
-        ),
-    ]
-    return functools.reduce(DataFrame.unionByName, parts)
+    # one pass: every statement's entries as one list; ``links`` and ``values`` are named once each
+    item = lambda kind, text, pos=-1, hit=-1, cls=None, uri=None: F.struct(
+        F.lit(kind).alias("kind"), text.alias("item"), *[(F.lit(n) if isinstance(n, int) else n).cast("int").alias(c) for c, n in (("pos", pos), ("hit", hit))],
+        *[(F.lit(t).cast("string") if t is None else t).alias(c) for c, t in (("class", cls), ("uri", uri))],
+    )
+    group = lambda g, i: F.concat(
+        F.array(item("group", g["search"], i, cls=g["class"])),
+        F.transform(F.coalesce(g["links"], F.array()), lambda h, j: item("link", h["label"], i, j, g["class"], h["uri"])),
+    )
+    entries = F.concat(
+        F.when(F.col("linked"), F.flatten(F.transform("links", group)))
+        .when(~F.col("linked") & ~F.col("aborted"), F.transform("values", lambda v, i: item("value", v, i)))
+        .otherwise(F.array()),
+        F.when(F.col("aborted"), F.array(item("aborted", F.col("cache")))).otherwise(F.array()),
+    )
+    return rows.select("statement_id", F.explode(entries).alias("e")).select("statement_id", "e.*")
 
 
 @query("b3_property_keys", store_sql("""SELECT DISTINCT label, rule_language, regexp_replace(lower(label), ' ', '_') || CASE WHEN rule_language = '' THEN '' ELSE '_' || rule_language END AS build_key,
