@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from pagefacts import session
 from pagefacts.operators import changes as J
 from pagefacts.operators import extract as X
 from pagefacts.operators import legacy as Y
@@ -454,3 +455,49 @@ def test_durable_folder(spark):
     Session.conf = {"spark.checkpoint.dir": "hdfs://shared"}
     assert durable_dir(Session()) == "hdfs://shared"
     assert durable_dir(spark)
+
+
+def test_a_large_bucket_has_several_writers(spark, tmp_path):
+    """What one task of the log writes follows the size of a share, not the number of buckets."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20k")
+    try:
+        rows = spark.range(0, 20000, 1, 8).selectExpr(
+            "id", "sha(cast(id as string)) as cache", "'ok' as status", "'x' as status_origin", "timestamp_ntz'2024-01-01' as cache_refreshed",
+            "timestamp_ntz'2024-01-01' as cache_changed", "timestamp_ntz'2024-01-01' as created_at", "id % 7 as source_id", "id as webpage_id",
+            "true as selected_individual", "false as manual",
+        )
+        log = StatementLog(spark, str(tmp_path / "log"), buckets=2)
+        log.start(rows)
+    finally:
+        spark.conf.set(key, before)
+    files = [f.parent.name for f in (tmp_path / "log").rglob("*.parquet")]
+    assert set(files) == {"bucket=0", "bucket=1"} and min(map(files.count, set(files))) > 2
+    assert log.read().count() == 20000
+
+
+def test_a_batch_is_planned_with_adaptive_execution(spark, tmp_path, monkeypatch):
+    """The statements of a batch are read and written by the session the stream was made in."""
+    seen = []
+
+    class Watched(StatementLog):
+        def append(self, *args):
+            seen.append(self.spark.conf.get("spark.sql.adaptive.enabled"))
+            super().append(*args)
+
+    monkeypatch.setattr(T, "StatementLog", Watched)
+    store = make_store(spark, [(1, "A", "ok", 11, 1, True, False)])
+    captured(spark, (11, 1, "B", None)).withColumn("captured_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).write.parquet(str(tmp_path / "in"))
+    T.refresh_stream(store, T.read_captures(spark, str(tmp_path / "in")), str(tmp_path / "out"), AS_OF, buckets=2).awaitTermination()
+    assert seen == ["true"]
+    assert [r.cache for r in T.streamed_statements(spark, str(tmp_path / "out")).collect()] == ["B"]
+
+
+def test_share_of_a_task(spark):
+    """Sessions without a size of their own get one that texts of a task fit in; a given one stays."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    fresh = spark.newSession()
+    assert session.tune(fresh).conf.get(key) == "16m"
+    fresh.conf.set(key, "5m")
+    assert session.tune(fresh).conf.get(key) == "5m"
