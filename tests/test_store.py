@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -501,3 +502,12 @@ def test_share_of_a_task(spark):
     assert session.tune(fresh).conf.get(key) == "16m"
     fresh.conf.set(key, "5m")
     assert session.tune(fresh).conf.get(key) == "5m"
+
+
+def test_pages_are_read_a_few_at_a_time():
+    """Answers of a large batch come in small batches, whole and in order."""
+    rule = {"source_id": 1, "algorithm": "xpath=//title", "step": 0, "values": [], "trace": []}
+    asked = [{"webpage_id": i, "url": "u", "html": f"<title>t{i}</title>", "rules": [rule]} for i in range(1000)]
+    done = list(X._evaluate(iter([pa.RecordBatch.from_pylist(asked)])))
+    assert max(b.num_rows for b in done) <= X.PAGES_AT_ONCE
+    assert [v for b in done for v in b.column("values").to_pylist()] == [[f"t{i}"] for i in range(1000)]
