@@ -91,14 +91,16 @@ UNION ALL SELECT DISTINCT 'others', seedurl, s, p, o, lang, datatype FROM graph
 def a9(spark, sf):
     """The whole export, read back from its documents as facts per site."""
     store = driver_store(spark, sf)
-    return document_rows(P.export_site(store, knowledge_graph(spark, sf)), "dump", "seedurl")
+    docs = cut_lineage(P.export_site(store, knowledge_graph(spark, sf)), "dumps")  # read twice
+    return document_rows(docs, "dump", "seedurl")
 
 
 @query("a9b_resource_export", _export_sql("adr:r20"))
 def a9b(spark, sf):
     """The export of one resource, read back as facts."""
     store = driver_store(spark, sf)
-    return document_rows(P.export_resource(store, knowledge_graph(spark, sf), uri="adr:r20"), "seedurl")
+    docs = cut_lineage(P.export_resource(store, knowledge_graph(spark, sf), uri="adr:r20"), "dumps")  # read twice
+    return document_rows(docs, "seedurl")
 
 
 def leaves(docs, *keys, depth: int = 7):
