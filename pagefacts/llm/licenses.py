@@ -7,7 +7,9 @@ and the whole text; so the standard sentences and paragraphs of a licence are fo
 text stands, whether wrapped or not. A unit with a distinct bigrams can reach Dice ``threshold`` with
 a template of b only if ``a`` lies between ``b t / (2 - t)`` and ``b (2 - t) / t``; other
 templates are pruned before any comparison, by a list of templates for each size, and most units
-have no template left.
+have no template left. Such a unit also shares most bigrams of its template, so it has a word of any
+set of words that is in enough of them (``anchors``): a text, and then a unit, without one is not
+taken to words at all.
 
 Templates are a fixed small table, so they are constants of the plan. Everything is DataFrame
 functions inside a document's row: matches are gathered per row, nothing is shuffled.
@@ -79,6 +81,48 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+#: Frequent words, which tell little; they are taken as anchors only where no others are enough.
+_FREQUENT = frozenset("a all and any as at be by for from in is it may not of on or other that the this to under use with you".split())
+
+
+def anchors(templates: dict[str, str], threshold: float) -> list[str]:
+    """Words of which every unit that reaches ``threshold`` with a template has at least one; none where that cannot be told.
+
+    Such a unit shares ``k = ceil(t (n + a) / 2)`` or more of a template's n bigrams, a being the least size that can reach it;
+    so of any ``n - k + 1`` bigrams it has one, and the words chosen are in as many.
+    """
+    out = set()
+    for text in templates.values():
+        grams = [g.split() for g in bigrams(text)]
+        n = len(grams)
+        low = math.ceil(n * threshold / (2 - threshold) - 1e-9)
+        need = n - math.ceil(threshold * (n + low) / 2 - 1e-9) + 1
+        if not n:
+            continue
+        if not 0 < need <= n:
+            return []
+        left = grams
+        for word in sorted({w for g in grams for w in g}, key=lambda w: (w in _FREQUENT, -len(w), w)):
+            if n - len(left) >= need:
+                break
+            rest = [g for g in left if word not in g]
+            if len(rest) < len(left):
+                out.add(word)
+                left = rest
+    return sorted(out)
+
+
+def _anchored(column: str, words: list[str]) -> str:
+    """Whether a text has one of the words, as a SQL condition; the words stand by their first letter."""
+    if not words:
+        return "true"
+    tails: dict[str, list[str]] = {}
+    for word in words:
+        tails.setdefault(word[0], []).append(word[1:])
+    found = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in tails.items())
+    return f"{column} rlike '(?i)(?<![a-z0-9])(?:{found})(?![a-z0-9])'"
+
+
 def _constant(templates: dict[str, str], threshold: float) -> tuple[str, str]:
     """The templates as a SQL array of (id, rank, bigrams, n), and for each size of a unit the places of those it can reach."""
     rows, reach = [], {}
@@ -104,12 +148,14 @@ def scan(
     """Per document row: id, license (best template or null), dice, n_units (matching units)."""
     constant, reach = _constant(templates, threshold)
     steps = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    words = anchors(templates, threshold)
+    units = (
+        r"array_distinct(concat(array(t), split(t, '\n'), split(t, '(?<=[.!?])[\\x20\\x09-\\x0D]+'), "
+        r"split(t, '\n(?:[\\x20\\x09\\x0B-\\x0D*#/;%-]*\n)+')))"
+    )
     steps = steps.select(
         "id",
-        F.expr(
-            r"array_distinct(concat(array(t), split(t, '\n'), split(t, '(?<=[.!?])[\\x20\\x09-\\x0D]+'), "
-            r"split(t, '\n(?:[\\x20\\x09\\x0B-\\x0D*#/;%-]*\n)+')))"
-        ).alias("units"),
+        F.expr(f"if({_anchored('t', words)}, filter({units}, u -> {_anchored('u', words)}), cast(array() as array<string>))").alias("units"),
     )
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     steps = steps.select(

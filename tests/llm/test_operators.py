@@ -17,7 +17,7 @@ import pytest
 from brute import dedup, edited, measures, near_classes, overlaps, prose, words
 
 from pagefacts.llm import (
-    decontaminate, katz, language_id, licenses, line_dedup, ngram_join, packing, quality_rules, token_counts, warc,
+    chunk_cache, decontaminate, katz, language_id, licenses, line_dedup, ngram_join, packing, quality_rules, token_counts, warc,
 )
 from pagefacts.llm.components import components
 
@@ -181,6 +181,27 @@ def test_license_pruning_loses_nothing(docs):
             assert got[i].license is None
 
 
+def test_license_anchors_are_in_every_match(docs):
+    found = set(licenses.anchors(licenses.TEMPLATES, licenses.THRESHOLD))
+    assert found and not found & {"this", "the", "by", "under"}
+    rng = random.Random(8)
+    for t in licenses.TEMPLATES.values():
+        own, matches = set(licenses.bigrams(t)), 0
+        for _ in range(200):
+            kept = licenses.normal_words(t)
+            for _ in range(rng.randrange(1 + len(kept) // 6)):
+                kept.pop(rng.randrange(len(kept)))
+            a = set(licenses.bigrams(" ".join(kept)))
+            if 2 * len(a & own) >= licenses.THRESHOLD * (len(a) + len(own)):
+                matches += 1
+                assert found & set(kept)
+        assert matches
+    assert licenses.anchors({"x": "this is the one thing"}, 0.8) == ["one", "thing"] and licenses.anchors({"x": "to be"}, 0.0) == []
+    rows = [(1, "Vorwort\nALL-rights/RESERVED!\nall rights (reserved)"), (2, "unreserved rights"), (3, None)]
+    got = {r.doc_id: (r.license, r.n_units) for r in licenses.scan(docs(rows), templates={"x": "All rights reserved."}).collect()}
+    assert got == {1: ("x", 3), 2: (None, 0), 3: (None, 0)}
+
+
 # WARC
 
 
@@ -279,6 +300,25 @@ def test_packing_is_whole_and_gapless(docs):
     assert packing.pack(docs([]), WORD_BPE).count() == 0
 
 
+def test_chunks_are_encoded_without_offsets(monkeypatch):
+    source, asked = packing.file_text(WORD_BPE), []
+    cache = chunk_cache.ChunkCache(source, packing._packed, split=packing.plain_parts)
+    plain = cache.tokenizer
+
+    class Fast:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.append(list(texts))
+            return plain.encode_batch(texts, add_special_tokens=add_special_tokens)
+
+    cache.tokenizer = Fast()
+    for group in ([["Some", "words,"], ["some", "Words,", "Ünï"]], [["some"], ["words,"]]):
+        ids_of = cache.covering(group)
+        for chunk in (c for own in group for c in own):
+            assert ids_of(chunk) == np.array(plain.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(asked) == 2 and not asked[1]
+    assert sorted(asked[0]) == sorted(set(asked[0]))
+
+
 def test_open_bins_stay_bounded():
     rng = random.Random(1)
     bins, held = packing.OpenBins(100, 5), Counter()
