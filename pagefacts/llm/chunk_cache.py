@@ -36,7 +36,7 @@ def file_text(path: str) -> str:
 class ChunkCache:
     """Chunk -> a value made of its token ids, in two generations of bounded size.
 
-    What is missing in a group of texts is encoded in one call. A full generation becomes the
+    What is missing in a group of texts is encoded in one call, which keeps no offsets. A full generation becomes the
     older one and what is still used moves on from there, so memory stays bounded and frequent
     chunks stay known. ``split`` may name smaller chunks whose values add up to a chunk's value.
     """
@@ -62,7 +62,7 @@ class ChunkCache:
                 fresh.add(chunk)
         encoded = list(fresh)
         self.passing = [c for c in encoded if len(c) > KEPT_CHUNK]
-        for chunk, e in zip(encoded, self.tokenizer.encode_batch(encoded, add_special_tokens=False), strict=True):
+        for chunk, e in zip(encoded, self.tokenizer.encode_batch_fast(encoded, add_special_tokens=False), strict=True):
             self.young[chunk] = self.value(e.ids)
         for chunk, parts in composed:
             first, *rest = (self.young[p] for p in parts)

@@ -17,10 +17,10 @@ row is packed on its own; extra columns are ignored; an empty table gives no pie
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,7 +38,7 @@ _CHUNKS = re.compile(f"[^{WHITE}]+")
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!]*)")
