@@ -10,13 +10,14 @@ so that each context's probabilities add up to one.
 Counting: a map task hashes its words, counts words or pairs over runs of ``RUN_TOKENS`` and
 sends arrays to buckets. A pair goes by its context; contexts among the ``HEAD_WORDS`` most
 frequent words are dealt to as many buckets as their share of the corpus asks for, so that no
-context fills one. Tables of words, pairs and contexts are written in the shared folder.
+context fills one. Tables of words, pairs and contexts are written in the shared folder, a row of numbers each:
+a bucket's pairs as one row would be held whole by every task that reads them.
 
 Scoring adds up log P(w) + log alpha(h) over all tokens and, for each kept pair, the difference
 (gain) to its own probability: the recursion, summed in another order. The most frequent words
 and pairs (a fixed number) are broadcast and looked up in the map task, which also keeps any key
 from filling a bucket. The rest is sent to the buckets of the tables as arrays; per portion of
-documents and bucket one row of sums comes back. No token is a row.
+documents and bucket one row of sums comes back. No token is a row there.
 
 Words are compared by 64-bit hashes. Defined cases: null and empty texts are the end token
 alone; repeated rows count as often in training and each get the score; without training rows
@@ -41,7 +42,7 @@ from pagefacts.session import cut_lineage
 GT_MAX = 5
 MIN_COUNT = 1
 RUN_TOKENS = 1_000_000
-BUCKET_BYTES = 32_000_000
+BUCKET_BYTES = 16_000_000
 HEAD_WORDS = 131_072
 HEAD_PAIRS = 524_288
 
@@ -234,11 +235,19 @@ _BOXES = pa.schema(
 _TABLES = "bucket int, kind int, h array<long>, n array<int>, w array<long>, c array<long>, cw array<long>, x array<double>"
 
 
+#: Rows of the table of pairs by kind.
+COUNTS, KNOWN, ASKED = 0, 1, 2
+_PAIR_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("h", pa.int64()), ("w", pa.int64()), ("c", pa.int64()), ("cw", pa.int64())])
+
+#: Rows that cross to or from a Python worker as one piece, where they are rows of numbers.
+PIECE = 262_144
+
+
 def _sum_pairs(frequent):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Kept pairs of one bucket, by whether the word's count is known here, and the histogram of all counts."""
-        w, c = np.concatenate(group["w"].to_list()), np.concatenate(group["c"].to_list())
-        h = np.repeat(np.concatenate(group["h"].to_list()), np.concatenate(group["n"].to_list()))
+    def run(group: pa.Table) -> pa.Table:
+        """A row for each kept pair of one bucket, by whether the word's count is known here, and the histogram of all counts."""
+        h, n, w, c = (np.concatenate([x.flatten().to_numpy() for x in group.column(name).chunks]) for name in ("h", "n", "w", "c"))
+        h = np.repeat(h, n)
         order, starts = distinct(pair_key(h, w))
         total = np.add.reduceat(c[order].astype("i8"), starts[:-1]) if len(c) else np.zeros(0, "i8")
         h, w = h[order[starts[:-1]]], w[order[starts[:-1]]]
@@ -247,24 +256,54 @@ def _sum_pairs(frequent):
         kept = kept[np.argsort(h[kept], kind="stable")]
         at, there = frequent.value.find(w[kept])
         known, asked = kept[there], kept[~there]
-        none = np.zeros(0, "i8")
-        counts = frequent.value.values[0][at[there]] if len(known) else none
-        rows = [("known", h[known], w[known], total[known], counts), ("asked", h[asked], w[asked], total[asked], none), ("counts", values, none, times, none)]
-        return pd.DataFrame([(group["bucket"].iloc[0], *r) for r in rows], columns=["bucket", "kind", "h", "w", "c", "cw"])
+        number = group.column("bucket")[0].as_py()
+
+        def pieces(kind, *columns):
+            for k in range(0, len(columns[0]), PIECE):
+                part = [pa.array(x[k : k + PIECE], pa.int64()) for x in columns]
+                part += [pa.nulls(len(part[0]), pa.int64())] * (4 - len(part))
+                same = [pa.array(np.full(len(part[0]), x, "i4")) for x in (number, kind)]
+                yield pa.RecordBatch.from_arrays([*same, *part], schema=_PAIR_ROWS)
+
+        counts = frequent.value.values[0][at[there]] if len(known) else np.zeros(0, "i8")
+        batches = [
+            *pieces(KNOWN, h[known], w[known], total[known], counts), *pieces(ASKED, h[asked], w[asked], total[asked]),
+            *pieces(COUNTS, values, np.zeros(len(values), "i8"), times),
+        ]
+        return pa.Table.from_batches(batches, _PAIR_ROWS)
 
     return run
 
 
-def _runs_of_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (bucket, h[], w[], c[], cw[]) with each context once and the number of its words."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of as many batches as make up a piece."""
+    held, size = [], 0
+
+    def columns():
+        return [np.concatenate([x.to_numpy() for x in parts]) for parts in zip(*(b.columns for b in held), strict=True)]
+
     for batch in batches:
-        rows = []
-        for k in range(batch.num_rows):
-            h, w, c, cw = (batch.column(i)[k].values.to_numpy() for i in range(1, 5))
-            order = np.argsort(h, kind="stable")
-            own, n = np.unique(h, return_counts=True)
-            rows.append((batch.column(0)[k].as_py(), 2, own, n, w[order], c[order], cw[order], None))
-        yield _batch(rows, _BOXES)
+        held.append(batch)
+        size += batch.num_rows
+        if size >= PIECE:
+            yield columns()
+            held, size = [], 0
+    if size:
+        yield columns()
+
+
+def _runs_of_contexts(buckets: int):
+    """Pairs (bucket, h, w, c, cw) as arrays for their buckets, each context once with the number of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, h, w, c, cw in _gathered(batches):
+            rows = []
+            for b, at in _portions(np.lexsort((h, bucket)), bucket, buckets):
+                own, n = np.unique(h[at], return_counts=True)  # the portion is in the order of h
+                rows.append((b, 2, own, n, w[at], c[at], cw[at], None))
+            yield _batch(rows, _BOXES)
+
+    return run
 
 
 def discounts(pairs_with: dict[int, int], most: int = GT_MAX) -> list[float]:
@@ -282,7 +321,7 @@ def discounts(pairs_with: dict[int, int], most: int = GT_MAX) -> list[float]:
 class Fitted:
     """The tables and numbers of a model; logarithms are to base 10.
 
-    words: (w, c, alpha). pairs: (bucket, h[], w[], c[], cw[]). contexts: (h, total, alpha).
+    words: (w, c, alpha). pairs: (bucket, h, w, c, cw). contexts: (h, total, alpha).
     """
 
     words: DataFrame
@@ -339,21 +378,20 @@ def fit(docs: DataFrame, learn: Column, text: str = "text") -> Fitted:
             _count_pairs(sent, share, buckets), "bucket int, h array<long>, n array<int>, w array<long>, c array<int>"
         )
         .groupBy("bucket")
-        .applyInPandas(_sum_pairs(sent), "bucket int, kind string, h array<long>, w array<long>, c array<long>, cw array<long>"),
+        .applyInArrow(_sum_pairs(sent), "bucket int, kind int, h long, w long, c long, cw long"),
         "katz-pairs",
     )
     context._jvm.System.gc()  # lets Spark's cleaner drop the shuffle of the pair counts
 
-    def rows(kind: str, *names: str) -> DataFrame:
-        part = summed.filter(F.col("kind") == kind)
-        return part.select("bucket", F.explode(F.arrays_zip(*names)).alias("x")).select("bucket", "x.*")
+    def rows(kind: int, *names: str) -> DataFrame:
+        return summed.filter(F.col("kind") == kind).select("bucket", *names)
 
-    histogram = rows("counts", "h", "c").filter(f"h <= {GT_MAX + 1}").groupBy("h").agg(F.sum("c").alias("c")).collect()
+    histogram = rows(COUNTS, "h", "c").filter(f"h <= {GT_MAX + 1}").groupBy("h").agg(F.sum("c").alias("c")).collect()
     d = discounts({r.h: r.c for r in histogram})
     # P(w) of second words: frequent ones were known in the buckets, the rest comes by a join
     rare = words.filter((F.col("c") < high) & (F.col("c") >= MIN_COUNT)).select("w", F.col("c").alias("cw"))
-    joined = cut_lineage(rows("asked", "h", "w", "c").join(rare, "w").select("bucket", "h", "w", "c", "cw"), "katz-rare")
-    every = rows("known", "h", "c", "cw").select("h", "c", "cw").unionByName(joined.select("h", "c", "cw"))
+    joined = cut_lineage(rows(ASKED, "h", "w", "c").join(rare, "w").select("bucket", "h", "w", "c", "cw"), "katz-rare")
+    every = rows(KNOWN, "h", "c", "cw").select("h", "c", "cw").unionByName(joined.select("h", "c", "cw"))
     factor = F.coalesce(*[F.when(F.col("c") == r, F.lit(d[r])) for r in range(1, GT_MAX + 1)], F.lit(1.0))
     sums = every.groupBy("h").agg(F.sum(factor * F.col("c")).alias("kept"), (F.sum(F.col("cw") + 1) / F.lit(float(n + v + 1))).alias("p"))
     begin = docs.sparkSession.range(1).select(F.lit(BEGIN).cast("long").alias("w"), F.lit(totals.texts or 0).cast("long").alias("c"))
@@ -366,10 +404,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text") -> Fitted:
     )
     alphas = contexts.select(F.col("h").alias("w"), "alpha")
     table = cut_lineage(words.join(alphas, "w", "left").select("w", "c", F.coalesce("alpha", F.lit(0.0)).alias("alpha")), "katz-word-table")
-    grouped = joined.groupBy("bucket", "h").agg(*[F.collect_list(x).alias(x) for x in ("w", "c", "cw")])
-    pairs = summed.filter("kind = 'known'").select("bucket", "h", "w", "c", "cw").unionByName(
-        grouped.select("bucket", F.transform("w", lambda _: F.col("h")).alias("h"), "w", "c", "cw")
-    )  # the rare words after one context within one bucket
+    pairs = rows(KNOWN, "h", "w", "c", "cw").unionByName(joined)
     start = contexts.filter(F.col("h") == BEGIN).first()
     context._jvm.System.gc()
     return Fitted(table, pairs, contexts, n, v, d, start.alpha if start else 0.0, frequent, share, buckets)
@@ -389,7 +424,7 @@ def _gains(h, w, c, cw, contexts, discount: list[float], norm: float) -> tuple[n
 
 def _frequent_pairs(model: Fitted, most: int) -> Table:
     """The gains of at most ``most`` pairs with the highest counts."""
-    rows = model.pairs.select(F.explode(F.arrays_zip("h", "w", "c", "cw")).alias("x")).select("x.*")
+    rows = model.pairs
     top = rows.filter(F.col("c") >= _high_count(rows.select("c"), most)).join(model.contexts, "h")
     h, w, c, cw, total, alpha = _arrays(top.select("h", "w", "c", "cw", "total", "alpha"))
     _, one = np.unique(h, return_index=True)
@@ -529,8 +564,7 @@ def _boxed(kind: int, buckets: int, contexts, share: float = 1.0):
     """Rows (key, number, logarithm) as arrays for their buckets; a dealt context goes to each of its own."""
 
     def run(batches):
-        for batch in batches:
-            key, c, x = (batch.column(i).to_numpy() for i in range(3))
+        for key, c, x in _gathered(batches):
             part = np.zeros(len(key), "i8")
             if contexts is not None:
                 parts = parts_of(key, contexts.value, share)
@@ -561,7 +595,7 @@ def score(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text: str = "t
     tables = (
         model.words.select("w", "c", "alpha").mapInArrow(_boxed(1, model.buckets, None), _TABLES)
         .unionByName(model.contexts.select("h", "total", "alpha").mapInArrow(_boxed(3, model.buckets, frequent, model.share), _TABLES))
-        .unionByName(model.pairs.select("bucket", "h", "w", "c", "cw").mapInArrow(_runs_of_contexts, _TABLES))
+        .unionByName(model.pairs.select("bucket", "h", "w", "c", "cw").mapInArrow(_runs_of_contexts(model.buckets), _TABLES))
     )
     sums = (
         asked.groupBy("bucket").cogroup(tables.groupBy("bucket"))

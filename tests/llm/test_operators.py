@@ -605,6 +605,13 @@ def test_katz_cases(docs):
     assert katz.score(docs([]), katz.fit(docs([]), F.lit(True))).count() == 0
 
 
+def test_katz_tables_have_no_large_rows(docs):
+    frame = docs([(k, prose(k, 400)) for k in range(1, 12)])
+    pairs = katz.fit(frame, F.lit(True)).pairs
+    assert not [f.name for f in pairs.schema if "array" in f.dataType.simpleString()]
+    assert pairs.count() > 1000
+
+
 def test_katz_keeps_pairs_seen_once(docs):
     from pyspark.sql import functions as F
 
