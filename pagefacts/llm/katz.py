@@ -230,14 +230,14 @@ def _count_pairs(frequent, share: float, buckets: int):
 
 
 _BOXES = pa.schema(
-    [("bucket", pa.int32()), ("kind", pa.int32()), ("h", _LONGS), ("n", _INTS), ("w", _LONGS), ("c", _LONGS), ("cw", _LONGS), ("x", pa.list_(pa.float64()))]
+    [("bucket", pa.int32()), ("kind", pa.int32()), ("h", _LONGS), ("n", _INTS), ("w", _LONGS), ("at", _INTS), ("c", _LONGS), ("cw", _LONGS), ("x", pa.list_(pa.float64()))]
 )
-_TABLES = "bucket int, kind int, h array<long>, n array<int>, w array<long>, c array<long>, cw array<long>, x array<double>"
+_TABLES = "bucket int, kind int, h array<long>, n array<int>, w array<long>, at array<int>, c array<long>, cw array<long>, x array<double>"
 
 
 #: Rows of the table of pairs by kind.
 COUNTS, KNOWN, ASKED = 0, 1, 2
-_PAIR_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("h", pa.int64()), ("w", pa.int64()), ("c", pa.int64()), ("cw", pa.int64())])
+_PAIR_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("h", pa.int64()), ("w", pa.int64()), ("at", pa.int32()), ("c", pa.int64()), ("cw", pa.int64())])
 
 #: Rows that cross to or from a Python worker as one piece, where they are rows of numbers.
 PIECE = 262_144
@@ -245,7 +245,10 @@ PIECE = 262_144
 
 def _sum_pairs(frequent):
     def run(group: pa.Table) -> pa.Table:
-        """A row for each kept pair of one bucket, by whether the word's count is known here, and the histogram of all counts."""
+        """A row for each kept pair of one bucket, and the histogram of all counts.
+
+        A frequent second word stands as its place among the frequent ones, with its count; the others' counts are not known here.
+        """
         h, n, w, c = (np.concatenate([x.flatten().to_numpy() for x in group.column(name).chunks]) for name in ("h", "n", "w", "c"))
         h = np.repeat(h, n)
         order, starts = distinct(pair_key(h, w))
@@ -258,17 +261,19 @@ def _sum_pairs(frequent):
         known, asked = kept[there], kept[~there]
         number = group.column("bucket")[0].as_py()
 
-        def pieces(kind, *columns):
-            for k in range(0, len(columns[0]), PIECE):
-                part = [pa.array(x[k : k + PIECE], pa.int64()) for x in columns]
-                part += [pa.nulls(len(part[0]), pa.int64())] * (4 - len(part))
-                same = [pa.array(np.full(len(part[0]), x, "i4")) for x in (number, kind)]
-                yield pa.RecordBatch.from_arrays([*same, *part], schema=_PAIR_ROWS)
+        def pieces(kind, **columns):
+            for k in range(0, len(columns["h"]), PIECE):
+                part = {name: x[k : k + PIECE] for name, x in columns.items()}
+                size = len(part["h"])
+                part |= {"bucket": np.full(size, number, "i4"), "kind": np.full(size, kind, "i4")}
+                arrays = [pa.array(part[f.name], f.type) if f.name in part else pa.nulls(size, f.type) for f in _PAIR_ROWS]
+                yield pa.RecordBatch.from_arrays(arrays, schema=_PAIR_ROWS)
 
-        counts = frequent.value.values[0][at[there]] if len(known) else np.zeros(0, "i8")
+        places = at[there]
+        counts = frequent.value.values[0][places] if len(known) else np.zeros(0, "i8")
         batches = [
-            *pieces(KNOWN, h[known], w[known], total[known], counts), *pieces(ASKED, h[asked], w[asked], total[asked]),
-            *pieces(COUNTS, values, np.zeros(len(values), "i8"), times),
+            *pieces(KNOWN, h=h[known], at=places, c=total[known], cw=counts), *pieces(ASKED, h=h[asked], w=w[asked], c=total[asked]),
+            *pieces(COUNTS, h=values, c=times),
         ]
         return pa.Table.from_batches(batches, _PAIR_ROWS)
 
@@ -293,14 +298,19 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _runs_of_contexts(buckets: int):
-    """Pairs (bucket, h, w, c, cw) as arrays for their buckets, each context once with the number of its words."""
+    """Pairs (bucket, h, w, at, c, cw) as arrays for their buckets, each context once with the number of its words.
+
+    A frequent word goes as its place alone, which is half of what is sent otherwise.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, h, w, c, cw in _gathered(batches):
+        for bucket, h, w, at, c, cw in _gathered(batches):
             rows = []
-            for b, at in _portions(np.lexsort((h, bucket)), bucket, buckets):
-                own, n = np.unique(h[at], return_counts=True)  # the portion is in the order of h
-                rows.append((b, 2, own, n, w[at], c[at], cw[at], None))
+            for kind, chosen in ((2, np.flatnonzero(at < 0)), (4, np.flatnonzero(at >= 0))):
+                order = chosen[np.lexsort((h[chosen], bucket[chosen]))]
+                for b, mine in _portions(order, bucket, buckets):
+                    own, n = np.unique(h[mine], return_counts=True)  # the portion is in the order of h
+                    rows.append((b, kind, own, n, w[mine], None, c[mine], cw[mine], None) if kind == 2 else (b, kind, own, n, None, at[mine], c[mine], None, None))
             yield _batch(rows, _BOXES)
 
     return run
@@ -321,7 +331,8 @@ def discounts(pairs_with: dict[int, int], most: int = GT_MAX) -> list[float]:
 class Fitted:
     """The tables and numbers of a model; logarithms are to base 10.
 
-    words: (w, c, alpha). pairs: (bucket, h, w, c, cw). contexts: (h, total, alpha).
+    words: (w, c, alpha). pairs: (bucket, h, w, at, c, cw), with
+    the place ``at`` among the frequent words instead of w where it has one. contexts: (h, total, alpha).
     """
 
     words: DataFrame
@@ -378,12 +389,12 @@ def fit(docs: DataFrame, learn: Column, text: str = "text") -> Fitted:
             _count_pairs(sent, share, buckets), "bucket int, h array<long>, n array<int>, w array<long>, c array<int>"
         )
         .groupBy("bucket")
-        .applyInArrow(_sum_pairs(sent), "bucket int, kind int, h long, w long, c long, cw long"),
+        .applyInArrow(_sum_pairs(sent), "bucket int, kind int, h long, w long, at int, c long, cw long"),
         "katz-pairs",
     )
     context._jvm.System.gc()  # lets Spark's cleaner drop the shuffle of the pair counts
 
-    def rows(kind: int, *names: str) -> DataFrame:
+    def rows(kind: int, *names: str | Column) -> DataFrame:
         return summed.filter(F.col("kind") == kind).select("bucket", *names)
 
     histogram = rows(COUNTS, "h", "c").filter(f"h <= {GT_MAX + 1}").groupBy("h").agg(F.sum("c").alias("c")).collect()
@@ -404,7 +415,9 @@ def fit(docs: DataFrame, learn: Column, text: str = "text") -> Fitted:
     )
     alphas = contexts.select(F.col("h").alias("w"), "alpha")
     table = cut_lineage(words.join(alphas, "w", "left").select("w", "c", F.coalesce("alpha", F.lit(0.0)).alias("alpha")), "katz-word-table")
-    pairs = rows(KNOWN, "h", "w", "c", "cw").unionByName(joined)
+    pairs = rows(KNOWN, "h", F.lit(0).cast("long").alias("w"), F.coalesce("at", F.lit(-1)).alias("at"), "c", "cw").unionByName(
+        joined.withColumn("at", F.lit(-1))
+    )
     start = contexts.filter(F.col("h") == BEGIN).first()
     context._jvm.System.gc()
     return Fitted(table, pairs, contexts, n, v, d, start.alpha if start else 0.0, frequent, share, buckets)
@@ -426,7 +439,8 @@ def _frequent_pairs(model: Fitted, most: int) -> Table:
     """The gains of at most ``most`` pairs with the highest counts."""
     rows = model.pairs
     top = rows.filter(F.col("c") >= _high_count(rows.select("c"), most)).join(model.contexts, "h")
-    h, w, c, cw, total, alpha = _arrays(top.select("h", "w", "c", "cw", "total", "alpha"))
+    h, w, at, c, cw, total, alpha = _arrays(top.select("h", "w", "at", "c", "cw", "total", "alpha"))
+    w = np.where(at < 0, w, model.frequent.keys[at])
     _, one = np.unique(h, return_index=True)
     contexts = Table(h[one], total[one], alpha[one])
     return Table(*_gains(h, w, c, cw, contexts, model.discount, model.tokens + model.vocabulary + 1.0))
@@ -510,7 +524,7 @@ def _request(head, share: float, begin_alpha: float, buckets: int):
     return run
 
 
-def _lookup(discount: list[float], norm: float):
+def _lookup(discount: list[float], norm: float, frequent):
     def joined(column) -> np.ndarray:
         parts = [x for x in column if x is not None and len(x)]
         return np.concatenate(parts) if parts else np.zeros(0, "i8")
@@ -520,10 +534,15 @@ def _lookup(discount: list[float], norm: float):
         words = tables[tables["kind"] == 1]
         table = Table(*[joined(words[x]) for x in ("h", "c", "x")])
         table.replace_keys(shortened(table.keys))
-        contexts, pairs = tables[tables["kind"] == 3], tables[tables["kind"] == 2]
+        contexts, pairs, placed = (tables[tables["kind"] == k] for k in (3, 2, 4))
         known = Table(*[joined(contexts[x]) for x in ("h", "c", "x")])
-        h = np.repeat(joined(pairs["h"]), joined(pairs["n"]))
-        keys, gain = _gains(h, *[joined(pairs[x]) for x in ("w", "c", "cw")], known, discount, norm)
+        h = np.concatenate([np.repeat(joined(x["h"]), joined(x["n"])) for x in (pairs, placed)])
+        at = joined(placed["at"])
+        w = np.concatenate([joined(pairs["w"]), frequent.value.keys[at]])
+        c = np.concatenate([joined(pairs["c"]), joined(placed["c"])])
+        cw = np.concatenate([joined(pairs["cw"]), frequent.value.values[0][at]])
+        keys, gain = _gains(h, w, c, cw, known, discount, norm)
+        del h, at, w, c, cw, contexts, pairs, placed
         kept = Table(shortened(keys), gain)
         rows = []
         for base, portion in asked.groupby("base", sort=False):
@@ -575,7 +594,7 @@ def _boxed(kind: int, buckets: int, contexts, share: float = 1.0):
             rows = []
             for b, at in _portions(np.lexsort((key, bucket)), bucket, buckets):
                 at = at[np.r_[True, key[at][1:] != key[at][:-1]]]  # two parts of a context may share a bucket
-                rows.append((b, kind, key[at], None, None, c[at], None, x[at]))
+                rows.append((b, kind, key[at], None, None, None, c[at], None, x[at]))
             yield _batch(rows, _BOXES)
 
     return run
@@ -595,11 +614,11 @@ def score(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text: str = "t
     tables = (
         model.words.select("w", "c", "alpha").mapInArrow(_boxed(1, model.buckets, None), _TABLES)
         .unionByName(model.contexts.select("h", "total", "alpha").mapInArrow(_boxed(3, model.buckets, frequent, model.share), _TABLES))
-        .unionByName(model.pairs.select("bucket", "h", "w", "c", "cw").mapInArrow(_runs_of_contexts(model.buckets), _TABLES))
+        .unionByName(model.pairs.select("bucket", "h", "w", "at", "c", "cw").mapInArrow(_runs_of_contexts(model.buckets), _TABLES))
     )
     sums = (
         asked.groupBy("bucket").cogroup(tables.groupBy("bucket"))
-        .applyInPandas(_lookup(model.discount, norm), "base long, who array<smallint>, sums array<double>, doc array<string>")
+        .applyInPandas(_lookup(model.discount, norm, frequent), "base long, who array<smallint>, sums array<double>, doc array<string>")
         .groupBy("base")
         .applyInPandas(_merged, "doc string, tokens double, known double, base double, more double")
     )

@@ -606,10 +606,12 @@ def test_katz_cases(docs):
 
 
 def test_katz_tables_have_no_large_rows(docs):
+    from pyspark.sql import functions as F
+
     frame = docs([(k, prose(k, 400)) for k in range(1, 12)])
     pairs = katz.fit(frame, F.lit(True)).pairs
     assert not [f.name for f in pairs.schema if "array" in f.dataType.simpleString()]
-    assert pairs.count() > 1000
+    assert pairs.count() > 1000 and not pairs.filter("at >= 0 and w <> 0").count() and pairs.filter("at >= 0").count() > 1000
 
 
 def test_katz_keeps_pairs_seen_once(docs):
