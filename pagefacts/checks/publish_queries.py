@@ -104,21 +104,23 @@ def a9b(spark, sf):
 
 
 def leaves(docs, *keys, depth: int = 7):
-    """(keys, path, value) of JSON documents: the scalar values by their names; list positions are left out."""
+    """(keys, path, value) of JSON documents: the scalar values by their names; list positions are left out.
+
+    A document is parsed once and opened level by level; what is no longer an object or a list stays as it is."""
     rows = docs.select(*keys, F.lit("").alias("path"), F.parse_json("json").alias("v"))
-    done = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        scalar = rows.filter(~kind.rlike("^(OBJECT|ARRAY)")).select(*keys, "path", F.col("v").cast("string").alias("value"))
-        done = scalar if done is None else done.unionByName(scalar)
-        rows = spread(rows.filter(kind.rlike("^(OBJECT|ARRAY)")), *keys)
-    return done
+    for _ in range(depth - 1):
+        rows = spread(rows, *keys)
+    # what is still open here is empty or deeper than asked for
+    return rows.filter(~F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")).select(*keys, "path", F.col("v").cast("string").alias("value"))
 
 
 def spread(rows, *keys):
+    opened = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+    closed = F.col("pos").isNull()
     step = F.concat("path", F.when(F.col("key").isNull(), "").otherwise(F.concat(F.when(F.col("path") == "", "").otherwise("."), "key")))
-    opened = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
-    return opened.select(*keys, step.alias("path"), F.col("value").alias("v"))
+    return opened.select(
+        *keys, F.when(closed, F.col("path")).otherwise(step).alias("path"), F.when(closed, F.col("v")).otherwise(F.col("value")).alias("v")
+    )
 
 
 def _enriched(spark, sf):

@@ -289,3 +289,43 @@ def test_rewrite_meets_in_one_aggregate(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     lost = graph(spark, [a], gid=None)
     assert G.rewrite(lost, lost, g).filter("graph_id is null").count() == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_facts_are_gathered_once(spark):
+    """A frame's facts are written as one row a subject; later steps read that, not the graph."""
+    g = graph(spark, BASE + STARTS + [uri(U, "location", "http://p"), uri("http://p", "type", "Place"), text("http://p", "name", "Hall")])
+    docs = J.frame(G.drop_annotations(g))
+    assert "RDD" not in _plan(docs) and "LocalTableScan" not in _plan(docs)
+    assert json.loads(docs.first().json)["location"]["name"] == "Hall"
+
+
+def test_marks_in_texts_and_lists_of_objects(spark):
+    odd = 'a "b" \\ c\né '
+    g = graph(spark, [
+        uri(U, "type", "Event"), text(U, "name", odd), text(U, "name", "Nom", lang="fr"), text(U, "description", ""),
+        uri(U, "location", "http://a"), uri("http://a", "type", "Place"), uri(U, "location", "http://b"),
+        uri("http://b", "type", "VirtualLocation"), uri("http://a", "address", "http://a#1"), uri("http://a", "address", "http://a#2"),
+        uri("http://a#1", "type", "PostalAddress"), uri("http://a#2", "type", "PostalAddress"), text("http://a#2", "postalCode", "J"),
+    ])
+    doc = json.loads(J.frame(g).first().json)
+    assert odd in doc["name"] and {"@language": "fr", "@value": "Nom"} in doc["name"] and doc["description"] == ""
+    place = {p["@id"]: p for p in doc["location"]}
+    assert set(place) == {"http://a", "http://b"} and len(place["http://a"]["address"]) == 2
+    assert place["http://a"]["address"][1] == {"@id": "http://a#2", "@type": "PostalAddress", "postalCode": "J"}
+
+
+def test_documents_are_parsed_once(spark):
+    from pagefacts.checks.publish_queries import leaves
+
+    docs = spark.createDataFrame([(1, '{"a":[1,{"b":null,"c":{}},[]],"d":"x","e":{"f":{"g":true}}}'), (2, '"t"'), (3, "{}")], "id int, json string")
+    rows = leaves(docs, "id")
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(
+        [(1, "a", "1"), (1, "a.b", None), (1, "d", "x"), (1, "e.f.g", "true"), (2, "", "t")], key=str
+    )
+    deep = spark.createDataFrame([(1, '{"a":[[[[[7]]]]],"b":[[[[[[8]]]]]]}')], "id int, json string")
+    assert [tuple(r) for r in leaves(deep, "id").collect()] == [(1, "a", "7")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
