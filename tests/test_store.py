@@ -537,3 +537,23 @@ def test_export_joins_the_store_once(spark, monkeypatch):
         ("events", f"{DEFAULT.kg_base}e1"), ("others", f"{DEFAULT.kg_base}hall")
     }
     assert len(made) == 1
+
+
+def test_markup_joins_the_store_once(spark, monkeypatch):
+    """The star join is written once, and so are the entries that both kinds of documents are made of."""
+    from pagefacts.plans import publish as P
+
+    made, framed = [], []
+    real_star, real_entries = P.star, P.D.frame_entries
+    monkeypatch.setattr(P, "star", lambda *a: made.append(1) or real_star(*a))
+    monkeypatch.setattr(P.L, "star", lambda *a: made.append(1) or real_star(*a))
+    monkeypatch.setattr(P.D, "frame_entries", lambda *a, **k: framed.append(1) or real_entries(*a, **k))
+    rows = [(1, "Show", "ok", 11, 1, True, False), (2, "2024-05-05", "ok", 21, 1, True, False),
+            (3, '["Hall","Place",["Hall","http://h"]]', "ok", 31, 1, True, False)]
+    pages = [(1, "http://s.example/1", "en", "adr:e1", 1, 1, T0, 2), (2, "http://s.example/2", "fr", "adr:e1", 1, 1, T0, None)]
+    outputs = [(2, "short", '{"@explicit":true,"name":{}}')]
+    store = make_store(spark, rows, webpages=pages, jsonld_outputs=outputs)
+    kg = spark.createDataFrame([("", "http://h", RDF_TYPE, SCHEMA + "Place", "uri", "", "", None)], schemas.GRAPH)
+    got = {r.webpage_id: json.loads(r.markup) for r in P.page_markup(store, kg).collect()}
+    assert set(got[1]) == {"@context", "@type", "name"} and got[2]["location"]["@id"] == "http://h"
+    assert len(made) == 1 and len(framed) == 1
