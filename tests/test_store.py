@@ -557,3 +557,19 @@ def test_markup_joins_the_store_once(spark, monkeypatch):
     got = {r.webpage_id: json.loads(r.markup) for r in P.page_markup(store, kg).collect()}
     assert set(got[1]) == {"@context", "@type", "name"} and got[2]["location"]["@id"] == "http://h"
     assert len(made) == 1 and len(framed) == 1
+
+
+def test_newest_statements_are_written_once(spark, tmp_path):
+    """Jobs that read the statements several times read what was written, not the window over all values."""
+    from pagefacts.sources import driver_tables as T_
+
+    items = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    day = dt.datetime(2001, 1, 1)
+    rows = [(2, 1, 3, 1, 1.0, 1.0, 0.0, 0.0, "A", "F", day), (2, 2, 3, 1, 1.0, 1.0, 0.0, 0.0, "A", "F", day + dt.timedelta(1)), (None, 1, 3, 1, 1.0, 1.0, 0.0, 0.0, "A", "F", day)]
+    spark.createDataFrame(rows, items).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, "old", "t"), (2, "new", "t")], "p_partkey long, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    plain = T_.driver_store(spark, str(tmp_path))
+    once = T_.stored(plain).statements
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, plain.statements.collect()), key=str)
+    assert "Window" not in once._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["cache"] for r in once.filter("webpage_id = 2").collect()] == ["new"]
