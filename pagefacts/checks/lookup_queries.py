@@ -13,7 +13,7 @@ from pagefacts.operators import lookups as L
 from pagefacts.operators import reconcile as C
 from pagefacts.operators import star as S
 from pagefacts.session import durable_dir
-from pagefacts.sources.driver_tables import KG_SQL, driver_store, knowledge_graph, store_sql, table
+from pagefacts.sources.driver_tables import KG_SQL, driver_store, knowledge_graph, store_sql, stored, table
 from pagefacts.vocab import DEFAULT, RDF_TYPE, SCHEMA
 
 
@@ -245,7 +245,7 @@ LEFT JOIN kn ON lower(kn.label) = lower(json_extract_string(g.g, '$[0]'))
 )
 def c6(spark, sf):
     """Scraped texts are those the stored links were once found with."""
-    store = driver_store(spark, sf)
+    store = stored(driver_store(spark, sf))
     rows = S.star(store).filter("value_datatype = 'xsd:anyURI'")
     from pagefacts.functions import values as V
 

@@ -559,6 +559,20 @@ def test_markup_joins_the_store_once(spark, monkeypatch):
     assert len(made) == 1 and len(framed) == 1
 
 
+def test_names_are_looked_up_from_written_items(spark):
+    store = make_store(spark, [(1, "Hall", "ok", 81, 3, True, False)])
+    kg = spark.createDataFrame([], schemas.GRAPH)
+    rows = spark.createDataFrame(
+        [(7, "adr:x", "xsd:anyURI", "Place", [" Hall ", "", "Bar"]), (8, "adr:x", "xsd:anyURI", "Place", None)],
+        "statement_id long, rdf_uri string, value_datatype string, expected_class string, values array<string>",
+    )
+    linked = C.link_values(rows, store, kg)
+    found = sorted((r.statement_id, r.item_pos, r.text, r.uri) for r in linked.collect())
+    # the page is not the hall itself, so the hit of the first name stands
+    assert found == [(7, 0, "Hall", "adr:hall".replace("adr:", DEFAULT.kg_base)), (7, 2, "Bar", None)]
+    assert "posexplode" not in linked._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_newest_statements_are_written_once(spark, tmp_path):
     """Jobs that read the statements several times read what was written, not the window over all values."""
     from pagefacts.sources import driver_tables as T_
