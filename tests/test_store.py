@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+import time
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -587,3 +589,67 @@ def test_newest_statements_are_written_once(spark, tmp_path):
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, plain.statements.collect()), key=str)
     assert "Window" not in once._jdf.queryExecution().optimizedPlan().toString()
     assert [r["cache"] for r in once.filter("webpage_id = 2").collect()] == ["new"]
+
+
+def _shuffle_files(spark):
+    held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", held))
+
+
+def test_shuffles_go_with_their_job(spark, tmp_path):
+    """A written frame leaves no shuffle behind, and a frame that nobody reads any more can go as well."""
+    before = _shuffle_files(spark)
+    kept = session.cut_lineage(spark.range(2000).repartition(5, "id"), "kept")
+    for _ in range(50):  # the files go shortly after the job
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert kept.count() == 2000
+    folder = Path(re.sub("^file:/*", "/", kept.inputFiles()[0])).parent
+    session.discard(kept)
+    assert not folder.exists()
+
+
+def test_a_batch_reads_the_runs_once(spark, tmp_path, monkeypatch):
+    """What a batch touches is looked for once and written; the refresh and the comparison read that."""
+    read = []
+
+    class Watched(StatementLog):
+        def _read(self, *args, **kwargs):
+            read.append(1)
+            return super()._read(*args, **kwargs)
+
+        def append(self, *args):
+            read.append(args[1].inputFiles())
+            super().append(*args)
+
+    monkeypatch.setattr(T, "StatementLog", Watched)
+    store = make_store(spark, [(1, "A", "ok", 11, 1, True, False), (2, "2024-01-01", "ok", 21, 1, True, False)])
+    captured(spark, (11, 1, "B", None), (11, 2, "C", None)).withColumn("captured_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).write.parquet(str(tmp_path / "in"))
+    T.refresh_stream(store, T.read_captures(spark, str(tmp_path / "in")), str(tmp_path / "out"), AS_OF, buckets=2).awaitTermination()
+    assert read.count(1) == 1 and len(read) == 2
+    assert not [f for f in read[1] if "/runs/" in f]
+    assert sorted((r.source_id, r.webpage_id, r.cache) for r in StatementLog(spark, str(tmp_path / "out" / "statements")).read().collect()) == [
+        (11, 1, "B"), (11, 2, "C"), (21, 1, "2024-01-01")
+    ]
+
+
+def test_a_feed_reads_later_runs_and_the_columns_asked_for(spark, tmp_path):
+    row = lambda page, status: (page, "v" * 9, status, None, T0, T0, T0, 11, page, True, False)
+    frame = lambda rows: spark.createDataFrame(rows, schemas.STATEMENTS)
+    log = StatementLog(spark, str(tmp_path / "log"), buckets=2)
+    log.start(frame([row(p, "ok") for p in range(20)]))
+    log.append(1, frame([row(3, "problem"), row(4, "ok"), row(99, "updated")]))
+    feed = log.changes(0, columns=R.COUNTED)
+    assert feed.schema["after"].dataType.names == feed.schema["before"].dataType.names == list(R.COUNTED)
+    assert {(r.webpage_id, r.before and r.before.status, r.after.status) for r in feed.collect()} == {(3, "ok", "problem"), (99, None, "updated")}
+    first = next(r for r in log.runs() if r.startswith("0" * 12))
+    assert feed._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+    assert "cache" not in re.sub(r"Relation.*", "", feed._jdf.queryExecution().optimizedPlan().toString())
+    assert len([f for f in feed.inputFiles() if first in f]) == len([f for f in log.read(0).inputFiles() if any(f"bucket={b}/" in f for b in log.runs()[max(log.runs())])])
+    counted = lambda df: {r.webpage_id: (r.statements, r.flags, r.updated) for r in df.collect()}
+    kept = R.update_counters(R.page_counters(log.read(0)), feed)
+    assert counted(kept) == counted(R.page_counters(log.read()))
+    # one aggregate of the counters and of the feed, which is not read once for each side
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("LeftOuter") == 1
