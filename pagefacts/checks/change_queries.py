@@ -230,7 +230,7 @@ LEFT JOIN (SELECT webpage_id, t_website, t_property, t_language, count(*) AS n F
   ON o.webpage_id = q.webpage_id AND o.t_website = q.t_website AND o.t_property = q.t_property AND o.t_language = q.t_language)""", callbacks("act", "after", AS_OF)),
 )
 def j10_statements(spark, sf):
-    store = _overridden(spark, sf, True)
+    store = stored(_overridden(spark, sf, True))  # read by the picks, their rules and what becomes of them
     chosen = store.statements.filter("status = 'updated' and manual").select(F.col("id").alias("statement_id"))
     return J.activate_sources(store, chosen, AS_OF)[1].select(_ID_COLS)
 
