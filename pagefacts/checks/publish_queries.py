@@ -13,7 +13,7 @@ from pagefacts.checks.rollup_queries import _BUILD_KEY, _INDEX, _nested_sql
 from pagefacts.operators import graph as G
 from pagefacts.operators import jsonld as D
 from pagefacts.plans import publish as P
-from pagefacts.session import cut_lineage, durable_dir
+from pagefacts.session import cut_lineage, discard, durable_dir
 from pagefacts.sources import exports as X
 from pagefacts.sources.driver_tables import KG_SQL, driver_store, knowledge_graph, store_sql, table
 from pagefacts.vocab import DEFAULT, RDF_TYPE, SCHEMA
@@ -123,8 +123,12 @@ def spread(rows, *keys):
     )
 
 
-def _enriched(spark, sf):
-    return cut_lineage(G.drop_annotations(G.enrich(stored_graph(spark, sf), knowledge_graph(spark, sf))), "enriched")
+def _nodes(spark, sf):
+    """The enriched graph, gathered for its documents; it is read once for that, so it is not written itself."""
+    graph = stored_graph(spark, sf)
+    nodes = D.frame_nodes(G.drop_annotations(G.enrich(graph, knowledge_graph(spark, sf))))
+    discard(graph)
+    return nodes
 
 
 _FRAMED = f"""
@@ -151,7 +155,7 @@ FROM main m""", GRAPH_SQL, KG_SQL,
 )
 def i8_fields(spark, sf):
     """Counts read from the nested event documents."""
-    docs = D.frame(_enriched(spark, sf)).filter("cls = 'Event'")
+    docs = D.frame_texts(D.frame_entries(None, nodes=_nodes(spark, sf))).filter("cls = 'Event'")
 
     def items(path):
         found = F.get_json_object("json", path)
@@ -218,7 +222,10 @@ doc AS (
 )
 def i8(spark, sf):
     """Every framed document, read back as its entries."""
-    return leaves(cut_lineage(D.frame(_enriched(spark, sf)), "framed"), "graph_id", "cls")
+    nodes = _nodes(spark, sf)
+    docs = cut_lineage(D.frame_texts(D.frame_entries(None, nodes=nodes)), "framed")
+    discard(nodes)
+    return leaves(docs, "graph_id", "cls")
 
 
 @query("i9_page_markup")
